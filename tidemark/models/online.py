@@ -11,19 +11,18 @@ slice, and only the weights travel to the next round. The updates and their orde
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.models.weights import HIDDEN, OUTPUT
+from tidemark.models.weights import OUTPUT
 from tidemark.panel import ROW_NUMBER, Panel
 from tidemark.session import shared_dir, shared_path
 
 WEIGHT, EPOCH, TRACE = "weight", "epoch", "trace"
-STATE = ["kind", "layer", "src", "dst", "weight", "step", "epoch", "sse", "hits", "rows"]
 SETTINGS = ["eta", "momentum", "epochs"]
 
 
@@ -41,7 +40,7 @@ class Fit:
     @property
     def curve(self) -> DataFrame:
         """Half squared error summed over the epoch and share of hits, both measured before each update."""
-        success = F.col("hits") / F.col("rows")
+        success = F.try_divide(F.col("hits"), F.col("rows"))
         rows = self.table.filter(F.col("kind") == EPOCH)
         return rows.select(*self.ids, "epoch", "sse", success.alias("success"))
 
@@ -104,10 +103,10 @@ def fit_online(
         "_batch": F.pmod(F.xxhash64("model_id"), F.lit(batches)).cast("int"),
     }
     spread = F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))
-    schema = T.StructType([f for f in state.schema.fields])
+    schema = state.schema
 
-    def train(rows: DataFrame, models: DataFrame, order: list[str], whole: bool, epoch: int = 0, first: bool = True) -> DataFrame:
-        job = _Task(panel.series, order, features, label, perceptron, trace_every, whole, epoch, first)
+    def train(rows: DataFrame, models: DataFrame, order: list[str], whole: bool, epoch: int = 0) -> DataFrame:
+        job = _Task(panel.series, order, features, label, perceptron, trace_every, whole, epoch)
         rows = rows.withColumn("_batch", spread).groupBy("_bucket", "_batch")
         return rows.cogroup(models.withColumns(place).groupBy("_bucket", "_batch")).applyInPandas(job.run, schema)
 
@@ -124,11 +123,15 @@ def fit_online(
     state = state.checkpoint()
     rounds = state.agg(F.max("epochs")).first()[0] or 0
     slices = -(-panel.stats.longest // panel.segment_rows)
+    traced = []
     for epoch in range(rounds):
         for number in range(slices):
             part = stored.filter(F.col("_slice") == number).drop("_slice")
-            state = train(part, state, [ROW_NUMBER], False, epoch, number == 0).checkpoint()
-    return Fit(state, ids)
+            trained = train(part, state, [ROW_NUMBER], whole=False, epoch=epoch).checkpoint()
+            state = trained.filter(F.col("kind") != TRACE)
+            if trace_every:
+                traced.append(trained.filter(F.col("kind") == TRACE))
+    return Fit(reduce(DataFrame.unionByName, traced, state), ids)
 
 
 @dataclass(frozen=True)
@@ -143,22 +146,149 @@ class _Task:
     trace_every: int | None
     whole: bool
     epoch: int
-    first: bool
 
     def run(self, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        ids = [*self.series, "model_id"]
-        out_columns = [*ids, *STATE, *SETTINGS]
         if state.empty:
-            return state.reindex(columns=out_columns)
+            return state
+        ids = [*self.series, "model_id"]
         rows = rows.sort_values([*self.series, *self.order], kind="stable")
         x = rows[self.features].to_numpy(dtype=float)
         y = rows[self.label].to_numpy(dtype=float)
-        spans = rows.assign(_at=np.arange(len(rows))).groupby(self.series, sort=False)["_at"].agg(["min", "size"])
-        history = state[state["kind"] != WEIGHT]
+        places = rows[self.series].assign(start=np.arange(len(rows)))
+        places = places.groupby(self.series, sort=False)["start"].agg(start="min", length="size").reset_index()
+
         weights = state[state["kind"] == WEIGHT].sort_values([*ids, "layer", "dst", "src"])
+        history = state[state["kind"] != WEIGHT]
         models = weights.groupby(ids, sort=False).agg(
             size=("weight", "size"), neurons=("dst", "max"), **{s: (s, "first") for s in SETTINGS}
         ).reset_index()
-        models = models.merge(spans, how="left", left_on=self.series, right_index=True)
-        models[["min", "size_y"]] = models[["min", "size_y"]].fillna(0).astype(int) if "size_y" in models else 0
-        raise NotImplementedError
+        models = models.merge(places, how="left", on=self.series).fillna({"start": 0, "length": 0})
+        done = history.groupby(ids)["rows"].sum().rename("done").reset_index()
+        models = models.merge(done, how="left", on=ids).fillna({"done": 0})
+
+        # Models of one shape are trained together.
+        weights = weights.merge(models[[*ids, "size", "neurons", "epochs"]], on=ids, suffixes=("", "_"))
+        results = [history]
+        for shape, fleet_models in models.groupby(["size", "neurons", "epochs"], sort=True):
+            member = (weights["size"] == shape[0]) & (weights["neurons"] == shape[1]) & (weights["epochs"] == shape[2])
+            results += self._train(fleet_models, weights[member], x, y, ids)
+        table = pd.concat([r for r in results if len(r)], ignore_index=True)[list(state.columns)]
+        if not self.whole:
+            table = _sum_epochs(table, ids)
+        return table
+
+    def _train(self, models: pd.DataFrame, weights: pd.DataFrame, x, y, ids: list[str]) -> list[pd.DataFrame]:
+        size, neurons, epochs = (int(models[c].iloc[0]) for c in ("size", "neurons", "epochs"))
+        # Longest series first, so that the models that still have a row are always a prefix.
+        rank = np.argsort(-models["length"].to_numpy(), kind="stable")
+        lanes = models.iloc[rank]
+        shaped = weights[["weight", "step"]].to_numpy().reshape(len(models), size, 2)[rank]
+        fleet = _Fleet(lanes, shaped[:, :, 0], shaped[:, :, 1], neurons, self.perceptron)
+
+        curves, traces = [], []
+        numbers = range(epochs) if self.whole else [self.epoch] if self.epoch < epochs else []
+        for number in numbers:
+            sse, hits, traced = fleet.advance(x, y, self.trace_every)
+            curves.append(
+                lanes[[*ids, *SETTINGS]].assign(
+                    kind=EPOCH, layer="", src=0, dst=0, weight=0.0, step=0.0, epoch=number + 1, sse=sse, hits=hits,
+                    rows=lanes["length"].astype("int64"),
+                )
+            )
+            traces += traced
+        trained = np.stack([fleet.weights(), fleet.steps()], axis=2)
+        back = np.empty_like(trained)
+        back[rank] = trained
+        done = weights.assign(weight=back[:, :, 0].ravel(), step=back[:, :, 1].ravel())
+        return [done, *curves, *(_trace_rows(lanes, ids, *t) for t in traces)]
+
+
+def _trace_rows(models: pd.DataFrame, ids: list[str], lanes: np.ndarray, step: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
+    """One row per weight of the models that were about to make update number ``step``."""
+    count, size = weights.shape
+    rows = models.iloc[np.repeat(lanes, size)][[*ids, *SETTINGS]]
+    return rows.assign(
+        kind=TRACE, layer=OUTPUT, src=np.tile(np.arange(size), count), dst=0, weight=weights.ravel(), step=0.0, epoch=0,
+        sse=0.0, hits=0, rows=np.repeat(step, size),
+    )
+
+
+def _sum_epochs(table: pd.DataFrame, ids: list[str]) -> pd.DataFrame:
+    """Merge what the slices of one epoch have contributed to its curve."""
+    is_epoch = table["kind"] == EPOCH
+    sums = {"sse", "hits", "rows"}
+    merged = table[is_epoch].groupby([*ids, "epoch"], as_index=False, sort=False).agg(
+        {c: "sum" if c in sums else "first" for c in table.columns if c not in (*ids, "epoch")}
+    )
+    return pd.concat([table[~is_epoch], merged], ignore_index=True)[list(table.columns)]
+
+
+class _Fleet:
+    """Equal-shaped models side by side: axis 0 is the model."""
+
+    def __init__(self, lanes: pd.DataFrame, weights: np.ndarray, steps: np.ndarray, neurons: int, perceptron: bool):
+        self.start = lanes["start"].to_numpy(dtype=np.int64)
+        self.length = lanes["length"].to_numpy(dtype=np.int64)
+        self.done = lanes["done"].to_numpy(dtype=np.int64)
+        self.eta = lanes["eta"].to_numpy(dtype=float)
+        self.momentum = lanes["momentum"].to_numpy(dtype=float)
+        self.neurons = neurons
+        self.perceptron = perceptron
+        cut = weights.shape[1] - (neurons + 1) if neurons else 0
+        split = lambda a: (a[:, :cut].reshape(len(a), neurons, -1).copy() if neurons else None, a[:, cut:].copy())
+        self.hidden, self.output = split(weights)
+        self.hidden_step, self.output_step = split(steps)
+
+    def _flat(self, hidden, output) -> np.ndarray:
+        return output if hidden is None else np.concatenate([hidden.reshape(len(hidden), -1), output], axis=1)
+
+    def weights(self) -> np.ndarray:
+        return self._flat(self.hidden, self.output)
+
+    def steps(self) -> np.ndarray:
+        return self._flat(self.hidden_step, self.output_step)
+
+    def advance(self, x: np.ndarray, y: np.ndarray, trace_every: int | None):
+        """One pass over the rows of every model."""
+        count = len(self.start)
+        sse, hits, traced = np.zeros(count), np.zeros(count, dtype=np.int64), []
+        longest = int(self.length[0]) if count else 0
+        active = count - np.searchsorted(self.length[::-1], np.arange(longest), side="right")
+        update = self._two_layer if self.neurons else self._one_layer
+        with np.errstate(over="ignore"):
+            for position, m in enumerate(active):
+                if trace_every and not self.neurons:
+                    step = self.done[:m] + position
+                    lanes = np.flatnonzero(step % trace_every == 0)
+                    traced.append((lanes, step[lanes], self.output[lanes].copy()))
+                at = self.start[:m] + position
+                target = y[at]
+                p = update(m, x[at], target)
+                sse[:m] += 0.5 * (target - p) ** 2
+                hits[:m] += (p >= 0.5) == (target >= 0.5)
+        self.done = self.done + self.length
+        return sse, hits, traced
+
+    def _one_layer(self, m: int, x: np.ndarray, target: np.ndarray) -> np.ndarray:
+        w = self.output[:m]
+        p = 1.0 / (1.0 + np.exp(-np.einsum("mk,mk->m", x, w)))
+        error = target - ((p >= 0.5) if self.perceptron else p)
+        w += (self.eta[:m] * error * p * (1.0 - p))[:, None] * x
+        return p
+
+    def _two_layer(self, m: int, x: np.ndarray, target: np.ndarray) -> np.ndarray:
+        hidden, output = self.hidden[:m], self.output[:m]
+        eta, momentum = self.eta[:m, None], self.momentum[:m, None]
+        h = 1.0 / (1.0 + np.exp(-np.matmul(hidden, x[:, :, None])[:, :, 0]))
+        p = 1.0 / (1.0 + np.exp(-(output[:, 0] + np.einsum("mn,mn->m", h, output[:, 1:]))))
+        e = ((p - target) * p * (1.0 - p))[:, None]
+        slope = e * output[:, 1:] * h * (1.0 - h)
+        move, hidden_move = self.output_step[:m], self.hidden_step[:m]
+        move *= momentum
+        move[:, :1] += eta * e
+        move[:, 1:] += eta * e * h
+        hidden_move *= momentum[:, :, None]
+        hidden_move += (eta * slope)[:, :, None] * x[:, None, :]
+        output -= move
+        hidden -= hidden_move
+        return p

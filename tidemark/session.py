@@ -47,3 +47,14 @@ def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "tidemark
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers when it is not installed there."""
+    import shutil
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tidemark-code-")
+    archive = shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)
