@@ -108,7 +108,11 @@ def fit_online(
     def train(rows: DataFrame, models: DataFrame, order: list[str], whole: bool, epoch: int = 0) -> DataFrame:
         job = _Task(panel.series, order, features, label, perceptron, trace_every, whole, epoch)
         rows = rows.withColumn("_batch", spread).groupBy("_bucket", "_batch")
-        return rows.cogroup(models.withColumns(place).groupBy("_bucket", "_batch")).applyInPandas(job.run, schema)
+        # Rows and models may share lineage; fresh column identities keep the two sides of the cogroup apart.
+        nets = models.select(*(F.col(c).alias(c) for c in models.columns)).withColumns(place)
+        return rows.cogroup(nets.groupBy("_bucket", "_batch")).applyInPandas(
+            lambda part, state: job.run(part, state), schema
+        )
 
     columns = [*panel.series, *features, label]
     if not panel.is_long:
@@ -148,6 +152,7 @@ class _Task:
     epoch: int
 
     def run(self, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        state = state.drop(columns=["_bucket", "_batch"])
         if state.empty:
             return state
         ids = [*self.series, "model_id"]

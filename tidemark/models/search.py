@@ -21,7 +21,7 @@ def best_trial(curve: DataFrame, by: list[str]) -> DataFrame:
 
 def trials_of(models: DataFrame, trials: int) -> DataFrame:
     """Number the restarts of each series from 1."""
-    return models.withColumn("model_id", F.explode(F.sequence(F.lit(1), F.lit(trials))).cast("long"))
+    return models.withColumn("model_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trials).cast("long"))))
 
 
 def restart_search(

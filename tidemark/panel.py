@@ -27,6 +27,9 @@ from tidemark.session import shared_dir
 ROW_NUMBER = "rn"
 SERIES_ROWS = "series_rows"
 
+# Lower bound for the rows per task of the range sort that numbers very long series.
+SLICE_ROWS = 250_000
+
 # One row per series is broadcast only up to this many series (some 100 bytes each).
 BROADCAST_SERIES = 200_000
 
@@ -154,9 +157,8 @@ class Panel:
         """
         spark = self.df.sparkSession
         shared_dir(spark)
-        slices = max(
-            int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.stats.rows // self.segment_rows)
-        )
+        slice_rows = max(self.segment_rows, SLICE_ROWS)
+        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.stats.rows // slice_rows))
         pinned = (
             self.df.repartitionByRange(slices, *self.keys)
             .sortWithinPartitions(*self.keys)

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import pct_change
+from tidemark.functions.rolling import forward_change, pct_change
 from tidemark.models.scoring import score_by_key
 from tidemark.models.search import restart_search, staged_fit
 from tidemark.operators.evaluation import calibration, conditional_return, with_errors
-from tidemark.operators.running import cum_abs_error, cum_sum
+from tidemark.operators.running import cum_sum
 from tidemark.operators.selection import chrono_split
 from tidemark.operators.summaries import histogram
 from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel
+from tidemark.session import shared_dir
 
 
 def train_test_eval(
@@ -36,6 +37,7 @@ def train_test_eval(
     Returns the scored held-out rows (``p``, ``y``), the weights and the error curve. The split rows are stored once,
     because training reads them in several jobs.
     """
+    shared_dir(design.df.sparkSession)
     split = chrono_split(design, {"train": train_share})
     split = split.replace(split.df.select(*split.keys, *features, label, "split").checkpoint())
     train = split.replace(split.df.filter("split = 'train'").drop("split"), same_rows=False)
@@ -60,21 +62,28 @@ class Report:
     conditional_returns: DataFrame
 
 
-def error_series(scored: Panel, returns: str) -> Panel:
+def with_returns(panel: Panel, x: str, horizon: str = "backward", name: str = "change") -> Panel:
+    """Add the relative change of ``x``: up to this row (``backward``) or to the next one (``forward``).
+
+    The label of a row is about the next row, so ``forward`` is the return that the score predicts. Add it before rows
+    are dropped or split.
+    """
+    if horizon not in ("backward", "forward"):
+        raise ValueError("horizon is 'backward' or 'forward'")
+    return panel.roll({name: pct_change(x) if horizon == "backward" else forward_change(x)})
+
+
+def error_series(scored: Panel) -> Panel:
     """Scored rows with residual, loss, hit flag, and their running sums per series."""
     panel = scored.replace(with_errors(scored.df))
-    panel = panel.roll({"change": pct_change(returns)})
-    panel = cum_sum(panel, {"cum_d": "d", "cum_hits": F.col("hit").cast("double")})
-    panel = cum_abs_error(panel, "cum_abs_d", "d")
+    panel = cum_sum(panel, {"cum_d": "d", "cum_abs_d": F.abs("d"), "cum_hits": F.col("hit").cast("double")})
     return panel.drop(*(c for c in (ROW_NUMBER, SERIES_ROWS) if c in panel.df.columns))
 
 
-def evaluation_report(scored: Panel, returns: str, threshold: float = 0.8, bins: int = 20) -> Report:
+def evaluation_report(scored: Panel, returns: str = "change", threshold: float = 0.8, bins: int = 20) -> Report:
     """Everything the evaluation shows. The rows are stored once, since every table below reads them."""
-    from tidemark.session import shared_dir
-
     shared_dir(scored.df.sparkSession)
-    rows = error_series(scored, returns).df.checkpoint()
+    rows = error_series(scored).df.checkpoint()
     absolute = rows.withColumn("abs_d", F.abs("d"))
     return Report(
         rows,
@@ -83,5 +92,5 @@ def evaluation_report(scored: Panel, returns: str, threshold: float = 0.8, bins:
         histogram(rows, "half_sq", bins),
         histogram(rows, "p", bins),
         calibration(rows, bins=bins),
-        conditional_return(rows, "p", "change", threshold),
+        conditional_return(rows, "p", returns, threshold),
     )
