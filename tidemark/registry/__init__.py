@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.registry import fits, reports, rows, windows  # noqa: F401
+from tidemark.registry import chains, fits, reports, rows, windows  # noqa: F401
 from tidemark.registry.core import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -80,19 +80,23 @@ def weights_sql(name: str, neurons: int, extra: str = "") -> str:
 
 
 def curve_sql(name: str) -> str:
-    return (f"(SELECT user_id, cast(model_id AS bigint) AS model_id, cast(ceil(step / len) AS bigint) AS epoch, sum(0.5e0 * d * d) AS sse, "
+    return (f"(SELECT user_id, cast(model_id AS bigint) AS model_id, cast(ceil(step / nullif(len, 0)) AS bigint) AS epoch, sum(0.5e0 * d * d) AS sse, "
             f"avg(hit) AS success FROM {name} WHERE step > 0 GROUP BY ALL)")
 
 
 # -- the same start in Spark -------------------------------------------------------------------
 
 WEIGHT_SQL = "sin({src} + 3e0 * {dst} + 7e0 * {hid} + model_id)"
-WEIGHT = F.sin(F.col("src") + 3.0 * F.col("dst") + F.when(F.col("layer") == HIDDEN, 7.0).otherwise(0.0) + F.col("model_id"))
+
+
+def start_weight():
+    layer = F.when(F.col("layer") == HIDDEN, 7.0).otherwise(0.0)
+    return F.sin(F.col("src") + 3.0 * F.col("dst") + layer + F.col("model_id"))
 
 
 def start(panel, trials: int, neurons: int):
     models = search.trials_of(panel.df.select("user_id").distinct(), trials)
-    return wt.weight_rows(models, IN, neurons, WEIGHT)
+    return wt.weight_rows(models, IN, neurons, start_weight())
 
 
 def weights_out(df, *extra: str):
@@ -187,7 +191,7 @@ _GRID = ("0.1e0 AS eta, [{m}][(model_id - 1) % 3 + 1] AS mu, [{e}][(model_id - 1
 def param_grid(spark, sf):
     panel = design_events(spark, sf)
     grid = search.param_grid(spark, [2], GRID_EPOCHS, GRID_MOMENTUM)
-    return curve_out(search.grid_search(panel, FEATURES, "y", grid, WEIGHT, batches=2).curve)
+    return curve_out(search.grid_search(panel, FEATURES, "y", grid, start_weight(), batches=2).curve)
 
 
 STAGED = (f"WITH RECURSIVE {DESIGN}, {lanes_sql(1, 2, WEIGHT_SQL, SETTINGS.format(mu='0.7e0', epochs=2))}, {replay_sql('f', 'lanes', 2)}, "

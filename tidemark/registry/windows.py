@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
@@ -21,11 +23,12 @@ def feat(*columns: str) -> str:
     return f", feat AS (SELECT *, {', '.join(columns)} FROM ev)"
 
 
-def rolled(name: str, sql: str, **indicators: R.Rolling) -> None:
-    """Register a query that adds indicators to the event panel."""
+def rolled(name: str, sql: str, make: Callable[[], dict[str, R.Rolling]]) -> None:
+    """Register a query that adds indicators to the event panel. They are made when a session exists."""
 
     @register(name, sql)
     def query(spark, sf):
+        indicators = make()
         return out(panel_events(spark, sf).roll(indicators).df, EV_KEYS, list(indicators))
 
 
@@ -41,18 +44,18 @@ CCI_SQL = (
 SIGNAL_SQL = "CASE WHEN round(s5 - s10, 9) > 0 THEN 1 WHEN round(s5 - s10, 9) <= 0 THEN 0 END"
 LABEL_SQL = "CASE WHEN nxt > x THEN 1 WHEN nxt <= x THEN 0 END"
 
-rolled("lag_k", from_ev(q6("prev", "lag_1"), q6(f"lag(x, 3) {W}", "lag_3")), lag_1=R.lag_k("x"), lag_3=R.lag_k("x", 3))
-rolled("merge_self_lag", from_ev(q6("x", "now"), q6("prev", "before")), now=R.value("x"), before=R.lag_k("x"))
-rolled("diff_1", from_ev(q6("x - prev", "d")), d=R.diff_1("x"))
-rolled("pct_change", from_ev(q6("(x - prev) / nullif(prev, 0)", "pct")), pct=R.pct_change("x"))
-rolled("log_return", from_ev(q6(f"100e0 * ({ln_sql('x')} - {ln_sql('prev')})", "ret")), ret=R.log_return("x"))
-rolled("roc_n", from_ev(q6(f"{ln_sql('x')} - {ln_sql('l5')}", "roc"), more=feat(f"lag(x, 5) {W} AS l5")), roc=R.roc_n("x", 5))
-rolled("sma_n", from_ev(q6(sma_sql(5), "sma_5"), q6(sma_sql(10), "sma_10")), sma_5=R.sma_n("x", 5), sma_10=R.sma_n("x", 10))
-rolled("wma_n", from_ev(q6(WMA_SQL, "wma_10")), wma_10=R.wma_n("x", 10))
-rolled("label_next_up", from_ev(q6(LABEL_SQL, "up")), up=R.label_next_up("x"))
-rolled("sma_spread", from_ev(q6("s5 - s10", "spread"), more=feat(f"{sma_sql(5)} AS s5", f"{sma_sql(10)} AS s10")), spread=R.sma_spread("x"))
-rolled("sma_signal", from_ev(q6(SIGNAL_SQL, "signal"), more=feat(f"{sma_sql(5)} AS s5", f"{sma_sql(10)} AS s10")), signal=R.sma_signal("x"))
-rolled("cci_n", from_ev(q6(CCI_SQL, "cci"), more=feat(f"{CCI_MEAN} AS m", CCI_PARTS)), cci=R.cci_n("x", 15))
+rolled("lag_k", from_ev(q6("prev", "lag_1"), q6(f"lag(x, 3) {W}", "lag_3")), lambda: dict(lag_1=R.lag_k("x"), lag_3=R.lag_k("x", 3)))
+rolled("merge_self_lag", from_ev(q6("x", "now"), q6("prev", "before")), lambda: dict(now=R.value("x"), before=R.lag_k("x")))
+rolled("diff_1", from_ev(q6("x - prev", "d")), lambda: dict(d=R.diff_1("x")))
+rolled("pct_change", from_ev(q6("(x - prev) / nullif(prev, 0)", "pct")), lambda: dict(pct=R.pct_change("x")))
+rolled("log_return", from_ev(q6(f"100e0 * ({ln_sql('x')} - {ln_sql('prev')})", "ret")), lambda: dict(ret=R.log_return("x")))
+rolled("roc_n", from_ev(q6(f"{ln_sql('x')} - {ln_sql('l5')}", "roc"), more=feat(f"lag(x, 5) {W} AS l5")), lambda: dict(roc=R.roc_n("x", 5)))
+rolled("sma_n", from_ev(q6(sma_sql(5), "sma_5"), q6(sma_sql(10), "sma_10")), lambda: dict(sma_5=R.sma_n("x", 5), sma_10=R.sma_n("x", 10)))
+rolled("wma_n", from_ev(q6(WMA_SQL, "wma_10")), lambda: dict(wma_10=R.wma_n("x", 10)))
+rolled("label_next_up", from_ev(q6(LABEL_SQL, "up")), lambda: dict(up=R.label_next_up("x")))
+rolled("sma_spread", from_ev(q6("s5 - s10", "spread"), more=feat(f"{sma_sql(5)} AS s5", f"{sma_sql(10)} AS s10")), lambda: dict(spread=R.sma_spread("x")))
+rolled("sma_signal", from_ev(q6(SIGNAL_SQL, "signal"), more=feat(f"{sma_sql(5)} AS s5", f"{sma_sql(10)} AS s10")), lambda: dict(signal=R.sma_signal("x")))
+rolled("cci_n", from_ev(q6(CCI_SQL, "cci"), more=feat(f"{CCI_MEAN} AS m", CCI_PARTS)), lambda: dict(cci=R.cci_n("x", 15)))
 
 CUM = f"{W[:-1]} ROWS UNBOUNDED PRECEDING)"
 
