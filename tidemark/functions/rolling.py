@@ -12,11 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ColumnLike, as_column, binary_flag, ratio, safe_ln
 
+FLAT = 1e-12
+
 
 class WindowColumns:
     """The distinct window columns that a set of indicators asks for."""
@@ -29,8 +31,10 @@ class WindowColumns:
         name, _ = self._asked.setdefault((kind, source, at), (f"_window_{len(self._asked)}", write))
         return F.col(name)
 
-    def add_to(self, df: DataFrame, w: WindowSpec) -> DataFrame:
-        return df.select("*", *(write(w).alias(name) for name, write in self._asked.values()))
+    def add_to(self, df: DataFrame, w: WindowSpec, running: dict[str, Column]) -> DataFrame:
+        from_start = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = [write(w).alias(name) for name, write in self._asked.values()]
+        return df.select("*", *own, *(c.over(from_start).alias(name) for name, c in running.items()))
 
     def names(self) -> list[str]:
         return [name for name, _ in self._asked.values()]
@@ -47,11 +51,16 @@ class Rolling:
         return Rolling(max(self.back + k, 0), max(self.ahead - k, 0), lambda w, s: self.at(w, s + k))
 
 
-def add_rolling(df: DataFrame, w: WindowSpec, indicators: dict[str, Rolling]) -> DataFrame:
-    """Add the indicators for an ordered window: one window operator, then row-local arithmetic."""
+def add_rolling(
+    df: DataFrame, w: WindowSpec, indicators: dict[str, Rolling], running: dict[str, Column] | None = None
+) -> DataFrame:
+    """Add the indicators for an ordered window, and aggregates ``running`` from the first row to the current one.
+
+    One window operator computes what is asked for, once; what follows is row-local arithmetic.
+    """
     asked = WindowColumns()
     results = {name: r.at(asked, 0) for name, r in indicators.items()}
-    return asked.add_to(df, w).withColumns(results).drop(*asked.names())
+    return asked.add_to(df, w, running or {}).withColumns(results).drop(*asked.names())
 
 
 def combine(fn: Callable[..., Column], *parts: Rolling) -> Rolling:
@@ -134,9 +143,8 @@ def cci_n(x: ColumnLike, n: int = 15, c: float = 0.015) -> Rolling:
         deviation = F.abs(values[0] - mean)
         for v in values[1:]:
             deviation = deviation + F.abs(v - mean)
-        # A flat stretch has no deviation; compare the values, because their mean may be off by a bit.
-        moves = F.greatest(*values) > F.least(*values)
-        return F.when(moves, ratio(values[0] - mean, c * deviation / n))
+        # On a flat stretch the mean may differ from the values by a rounding error; that is no deviation.
+        return F.when(deviation > FLAT * F.abs(mean), (values[0] - mean) / (c / n * deviation))
 
     return combine(channel, *parts)
 

@@ -19,9 +19,8 @@ def finite_or_null(c: ColumnLike) -> Column:
 
 
 def safe_ln(c: ColumnLike) -> Column:
-    """Natural logarithm, NULL for anything not above zero."""
-    c = as_column(c)
-    return F.when(c > 0, F.ln(c))
+    """Natural logarithm; NULL for anything not above zero, which is what ``ln`` does here."""
+    return F.ln(as_column(c))
 
 
 def ratio(numerator: ColumnLike, denominator: ColumnLike) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import diff_1, lag_k, sma_n
+from tidemark.functions.rolling import add_rolling, diff_1, lag_k, sma_n
 from tidemark.functions.scalars import ColumnLike, as_column, ratio
 from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel, attach
 
@@ -61,19 +61,24 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
         span = int(SAFE_DIGITS / max(s.decay_digits for s in outputs.values()))
 
     given = panel.df.columns
-    was_numbered = ROW_NUMBER in given
-    panel = panel.with_columns({f"_x_{n}": as_column(s.x).cast("double") for n, s in outputs.items()}).numbered()
-    panel = panel.roll(
-        {f"_seed_{n}": sma_n(f"_x_{n}", s.n) for n, s in outputs.items()}
-        | {f"_before_{n}": lag_k(f"_x_{n}") for n in outputs}
-    )
+    panel = panel.with_columns({f"_x_{n}": as_column(s.x).cast("double") for n, s in outputs.items()})
+    seeds = {f"_seed_{n}": sma_n(f"_x_{n}", s.n) for n, s in outputs.items()}
     rn = F.col(ROW_NUMBER)
-    firsts: dict[str, Column] = {}
-    for n in outputs:
-        x, before = F.col(f"_x_{n}"), F.col(f"_before_{n}")
-        firsts[f"_start_{n}"] = F.min(F.when(x.isNotNull(), rn))
-        firsts[f"_gap_{n}"] = F.min(F.when(x.isNull() & before.isNotNull(), rn))
-    panel = panel.per_series(firsts)
+    missing = {n: F.col(f"_x_{n}").isNull() for n in outputs}
+    starts = {f"_start_{n}": F.min(F.when(~missing[n], rn)) for n in outputs}
+    if not panel.is_long:
+        # First value and last gap up to the row; a gap counts if it lies behind the first value.
+        gaps = {f"_gap_{n}": F.max(F.when(missing[n], rn)) for n in outputs}
+        numbered = panel.df if ROW_NUMBER in given else panel.df.withColumn(ROW_NUMBER, F.row_number().over(panel.window()))
+        rows = add_rolling(numbered, panel.window(), seeds, starts | gaps)
+        unbroken = {n: F.col(f"_gap_{n}").isNull() | (F.col(f"_gap_{n}") < F.col(f"_start_{n}")) for n in outputs}
+    else:
+        given = list(dict.fromkeys([*given, ROW_NUMBER, SERIES_ROWS]))
+        panel = panel.numbered().roll(seeds | {f"_before_{n}": lag_k(f"_x_{n}") for n in outputs})
+        breaks = {n: missing[n] & F.col(f"_before_{n}").isNotNull() for n in outputs}
+        panel = panel.per_series(starts | {f"_gap_{n}": F.min(F.when(breaks[n], rn)) for n in outputs})
+        rows = panel.df
+        unbroken = {n: F.col(f"_gap_{n}").isNull() | (rn < F.col(f"_gap_{n}")) for n in outputs}
 
     # Distance to the seed row: negative before it, 0 on it.
     after_seed = {n: rn - F.col(f"_start_{n}") - (s.n - 1) for n, s in outputs.items()}
@@ -84,11 +89,11 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
         return F.when(k == 0, F.col(f"_seed_{name}") * scale).when(k > 0, s.alpha * F.col(f"_x_{name}") * scale)
 
     if panel.stats.longest <= span and not panel.is_long:
-        rows, w = panel.df, panel.window()
+        w = panel.window()
         carry = {n: F.lit(0.0) for n in outputs}
     else:
         keys = [*panel.series, "_span"]
-        rows = panel.df.withColumn("_span", F.floor((rn - 1) / span).cast("long"))
+        rows = rows.withColumn("_span", F.floor((rn - 1) / span).cast("long"))
         rows = attach(
             rows, _left_over(rows, keys, outputs, term, position, span), keys,
             panel.stats.series + panel.stats.rows // span,
@@ -102,10 +107,8 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
         q = F.lit(1.0 - s.alpha)
         level = F.sum(term(n, F.pow(q, -position))).over(running)
         smoothed = F.pow(q, position) * (F.coalesce(level, F.lit(0.0)) + q * carry[n])
-        usable = (after_seed[n] >= 0) & (F.col(f"_gap_{n}").isNull() | (rn < F.col(f"_gap_{n}")))
-        results.append(F.when(usable, smoothed).alias(n))
-    kept = given if was_numbered else [*given, ROW_NUMBER, SERIES_ROWS]
-    return panel.replace(rows.select(*kept, *results))
+        results.append(F.when((after_seed[n] >= 0) & unbroken[n], smoothed).alias(n))
+    return panel.replace(rows.select(*given, *results))
 
 
 def _left_over(rows, keys, outputs, term, position, span):
