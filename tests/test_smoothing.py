@@ -27,6 +27,17 @@ def test_average_equals_the_loop(spark, options, span):
         assert close(column(panel, "wilder", name), serial_average(values, 5, 1 / 5)), name
 
 
+def test_several_default_spans(spark):
+    """Window frames carry the level from span to span; nothing is joined."""
+    values = walk(9000, 21)
+    panel = S.smooth(make_panel(spark, {"a": values, "b": values[:100]}), {"ema": Smoothing("x", 9), "slow": Smoothing("x", 26)})
+    assert close(column(panel, "ema"), serial_average(values, 9, 0.2))
+    assert close(column(panel, "slow"), serial_average(values, 26, 2 / 27))
+    assert close(column(panel, "ema", "b"), serial_average(values[:100], 9, 0.2))
+    plan = panel.df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_long_memory_survives_many_spans(spark):
     """After a burst the input is zero: only what is handed from span to span is left."""
     values = [1e6] * 5 + [0.0] * 1500

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import sigmoid
-from tidemark.models.weights import HIDDEN, OUTPUT
+from tidemark.models.weights import HIDDEN, OUTPUT, connections
+from tidemark.panel import attach
 
 MAX_LITERAL_WEIGHTS = 100_000
 
@@ -63,16 +64,20 @@ plr_score = score
 
 
 def score_by_key(
-    df: DataFrame, features: list[str], weights: DataFrame, on: list[str], neurons: int = 0, name: str = "p"
+    df: DataFrame, features: list[str], weights: DataFrame, on: list[str], neurons: int = 0, name: str = "p",
+    models: int | None = None,
 ) -> DataFrame:
-    """Add the score of the model that belongs to each row's key; rows without a model get NULL."""
-    from tidemark.models.weights import connections
+    """Add the score of the model that belongs to each row's key; rows without a model get NULL.
 
+    ``models``, if known, lets a small table of weights be broadcast; its rows have one column per weight.
+    """
     label = {c: f"_{c[0]}_{c[1]}_{c[2]}" for c in connections(len(features), neurons)}
     pick = [
         F.max(F.when((F.col("layer") == a) & (F.col("src") == s) & (F.col("dst") == d), F.col("weight"))).alias(label[a, s, d])
         for a, s, d in label
     ]
     wide = weights.groupBy(*on).agg(*pick)
-    scored = df.join(wide, on, "left").withColumn(name, forward(features, neurons, lambda *c: F.col(label[c])))
+    rows = None if models is None else models * len(label) // 8
+    joined = df.join(wide, on, "left") if rows is None else attach(df, wide, on, rows)
+    scored = joined.withColumn(name, forward(features, neurons, lambda *c: F.col(label[c])))
     return scored.drop(*label.values())

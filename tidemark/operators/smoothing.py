@@ -23,6 +23,8 @@ from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel, attach
 # Powers up to 10^200 leave room for inputs of any sensible size below the limit of a double.
 SAFE_DIGITS = 200
 LOWEST_DIGITS = 324
+# Earlier spans looked at with window frames; averages of very different memory in one call need more and use a join.
+MAX_FRAMES = 16
 
 
 @dataclass(frozen=True)
@@ -88,36 +90,55 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
         s, k = outputs[name], after_seed[name]
         return F.when(k == 0, F.col(f"_seed_{name}") * scale).when(k > 0, s.alpha * F.col(f"_x_{name}") * scale)
 
-    if panel.stats.longest <= span and not panel.is_long:
-        w = panel.window()
-        carry = {n: F.lit(0.0) for n in outputs}
-    else:
-        keys = [*panel.series, "_span"]
+    reach = {n: max(1, math.ceil(LOWEST_DIGITS / (s.decay_digits * span))) for n, s in outputs.items()}
+    furthest = max(reach.values())
+    spanned = panel.is_long or panel.stats.longest > span
+    keys = [*panel.series, "_span"]
+    if spanned:
         rows = rows.withColumn("_span", F.floor((rn - 1) / span).cast("long"))
-        rows = attach(
-            rows, _left_over(rows, keys, outputs, term, position, span), keys,
-            panel.stats.series + panel.stats.rows // span,
-        )
-        w = Window.partitionBy(*keys).orderBy(ROW_NUMBER)
-        carry = {n: F.coalesce(F.col(f"_carry_{n}"), F.lit(0.0)) for n in outputs}
+    if spanned and (panel.is_long or furthest > MAX_FRAMES):
+        parts = panel.stats.series + panel.stats.rows // span
+        rows = attach(rows, _left_over(rows, keys, outputs, term, position, span, furthest), keys, parts)
 
+    w = Window.partitionBy(*keys).orderBy(ROW_NUMBER) if spanned else panel.window()
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+    q = {n: F.lit(1.0 - s.alpha) for n, s in outputs.items()}
+    levels = {n: F.coalesce(F.sum(term(n, F.pow(q[n], -position))).over(running), F.lit(0.0)) for n in outputs}
+    rows = rows.withColumns({f"_level_{n}": level for n, level in levels.items()})
+    if not spanned:
+        carry = {n: F.lit(0.0) for n in outputs}
+    elif panel.is_long or furthest > MAX_FRAMES:
+        carry = {n: F.coalesce(F.col(f"_carry_{n}"), F.lit(0.0)) for n in outputs}
+    else:
+        rows = rows.select("*", *_carried(panel, outputs, q, position, span, reach))
+        carry = {n: F.col(f"_carry_{n}") for n in outputs}
+
     results = []
-    for n, s in outputs.items():
-        q = F.lit(1.0 - s.alpha)
-        level = F.sum(term(n, F.pow(q, -position))).over(running)
-        smoothed = F.pow(q, position) * (F.coalesce(level, F.lit(0.0)) + q * carry[n])
+    for n in outputs:
+        smoothed = F.pow(q[n], position) * (F.col(f"_level_{n}") + q[n] * carry[n])
         results.append(F.when((after_seed[n] >= 0) & unbroken[n], smoothed).alias(n))
     return panel.replace(rows.select(*given, *results))
 
 
-def _left_over(rows, keys, outputs, term, position, span):
-    """What the spans before each span contribute to its start: aggregates only, no order involved."""
+def _carried(panel: Panel, outputs, q, position, span, reach) -> list[Column]:
+    """What earlier spans of the same series contribute, read from the last row of each: windows, no join."""
+    by_span = Window.partitionBy(*panel.series).orderBy("_span")
+    columns = []
+    for n in outputs:
+        end = F.when(position == span - 1, F.col(f"_level_{n}") * F.pow(q[n], F.lit(span - 1)))
+        total = F.lit(0.0)
+        for k in range(1, reach[n] + 1):
+            part = F.max(end).over(by_span.rangeBetween(-k, -k)) * F.pow(q[n], F.lit(span * (k - 1)))
+            total = total + F.coalesce(part, F.lit(0.0))
+        columns.append(total.alias(f"_carry_{n}"))
+    return columns
+
+
+def _left_over(rows, keys, outputs, term, position, span, reach):
+    """The same by aggregates and a join, for series that must not be in one window."""
     ends = rows.groupBy(*keys).agg(
         *(F.sum(term(n, F.pow(F.lit(1.0 - s.alpha), span - 1 - position))).alias(f"_end_{n}") for n, s in outputs.items())
     )
-    slowest = min(s.decay_digits for s in outputs.values())
-    reach = max(1, math.ceil(LOWEST_DIGITS / (slowest * span)))
     handed_on = ends.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(reach))))
     return (
         handed_on.select(

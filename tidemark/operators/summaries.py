@@ -58,7 +58,8 @@ def histogram(df: DataFrame, column: str, bins: int = 20, by: By = ()) -> DataFr
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
         placed = values
-        lo, hi = bounds.select("_lo").scalar(), bounds.select("_hi").scalar()
+        ends = bounds.select(F.struct("_lo", "_hi")).scalar()
+        lo, hi = ends.getField("_lo"), ends.getField("_hi")
     index = F.ceil(ratio((F.col("_v") - lo) * bins, hi - lo))
     counted = (
         placed.select(*by, F.greatest(F.lit(1), F.coalesce(index, F.lit(1))).cast("int").alias("bin"))

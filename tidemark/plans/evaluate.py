@@ -47,7 +47,9 @@ def train_test_eval(
     start = search.weights.join(best.select(*train.series, "model_id"), [*train.series, "model_id"])
     weights, curve = staged_fit(train, features, label, start, [{"eta": eta, **stage} for stage in stages])
     held_out = split.replace(split.df.filter("split = 'test'").drop("split"), same_rows=False)
-    scored = score_by_key(held_out.df, features, weights, split.series, neurons)
+    scored = score_by_key(
+        held_out.df, features, weights, split.series, neurons, models=design.stats.series
+    )
     return held_out.replace(scored.withColumn("y", F.col(label))), weights, curve
 
 

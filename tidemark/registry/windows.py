@@ -180,6 +180,17 @@ def ema_spans(spark, sf):
     return df.select("day", *(r6(F.col(c) / 1000).alias(c) for c in wanted))
 
 
+@register("macd_signal_spans", f"""WITH RECURSIVE {MARKET}, src AS (SELECT series, day, x, row_number() OVER (PARTITION BY series ORDER BY day) AS rn FROM market),
+  {smoothed_sql('fast', 'src', 'x', 12, '2e0/13e0', key='series')}, {smoothed_sql('slow', 'src', 'x', 26, '2e0/27e0', key='series')},
+  macd AS (SELECT series, rn, 100e0 * (fast.y / nullif(slow.y, 0) - 1) AS m FROM fast JOIN slow USING (series, rn)),
+  {smoothed_sql('sig', 'macd', 'm', 9, '0.2e0', 26, key='series')}
+  SELECT src.day, {q6('m', 'macd')}, {q6('y', 'signal')} FROM src LEFT JOIN macd USING (series, rn) LEFT JOIN sig USING (series, rn)""")
+def macd_signal_spans(spark, sf):
+    """One series of some thousand rows, longer than a span of the signal line."""
+    df = smoothing.momentum_indicators(daily_market(spark, sf), "x", macd="macd", signal="signal").df
+    return out(df, ["day"], ["macd", "signal"])
+
+
 @register("chrono_split_long", f"WITH {EV} SELECT user_id, event_id, CASE WHEN rn <= round_even(n * 0.3::double, 0) THEN 'train' ELSE 'test' END AS split FROM ev")
 def chrono_split_long(spark, sf):
     return selection.chrono_split(panel_events(spark, sf, **LONG), {"train": 0.3}).df.select(*EV_KEYS, "split")
