@@ -25,10 +25,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Quotients of two-decimal values can lie exactly between two six-decimal numbers, where engines round either way.
+# The same small shift in both takes them off the middle.
+OFF_MIDDLE = "1.7e-9"
+
+
 def r6(c: Column | str) -> Column:
     """Six decimals, and no negative zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6) + 0.0
+    return F.round(c.cast("double") + F.lit(float(OFF_MIDDLE)), 6) + 0.0
 
 
 def out(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -36,4 +41,4 @@ def out(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def q6(expression: str, name: str) -> str:
-    return f"round(cast({expression} as double), 6) + 0.0 AS {name}"
+    return f"round(cast({expression} as double) + {OFF_MIDDLE}, 6) + 0.0 AS {name}"
