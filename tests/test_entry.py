@@ -24,6 +24,8 @@ plr_fit plr_modes mlp_fit batch_gradient mlp_score plr_score restart_search para
 weights_unchanged principal_component
 technical_features macro_features design_table train_test_eval evaluation_report
 """.split()
+# No day of the smallest tables has orders of all five priorities.
+EMPTY_IN_THE_SMALLEST = {"complete_cases"}
 WITHOUT_SQL = {"random_init", "train_test_eval"}
 
 
@@ -47,7 +49,7 @@ def test_query_equals_sql(spark, sf, database, name):
     actual = spark_rows(entry_point.queries()[name](spark, sf))
     expected = sql_rows(database, entry_point.oracle_sql()[name])
     assert not differences(expected, actual)
-    assert expected[1]
+    assert expected[1] or name in EMPTY_IN_THE_SMALLEST
 
 
 @pytest.mark.parametrize("name", sorted(WITHOUT_SQL))

@@ -173,20 +173,23 @@ def momentum_indicators(
     slow: int = 26,
     signal: str | None = None,
     signal_n: int = 9,
+    move: str | None = None,
     span: int | None = None,
 ) -> Panel:
     """RSI, MACD and the MACD signal line, sharing one pass over the series.
 
     RSI is ``100*U/(U+D)`` with Wilder averages of gains and losses, NULL while nothing has moved. MACD is
     ``100*(fast/slow - 1)``; its signal line is an exponential average that starts at the first MACD value.
+    ``move`` names a column that already holds the difference to the row before, which saves a window.
     """
-    given = panel.df.columns
+    given = [c for c in panel.df.columns if c != move]
     wanted: dict[str, Smoothing] = {}
     if rsi:
-        panel = panel.roll({"_move": diff_1(x)})
-        move = F.col("_move")
-        wanted["_gain"] = Smoothing(F.when(move > 0, move).when(move <= 0, 0.0), rsi_n, "wilder")
-        wanted["_loss"] = Smoothing(F.when(move < 0, -move).when(move >= 0, 0.0), rsi_n, "wilder")
+        if move is None:
+            panel, move = panel.roll({"_move": diff_1(x)}), "_move"
+        d = F.col(move)
+        wanted["_gain"] = Smoothing(F.when(d > 0, d).when(d <= 0, 0.0), rsi_n, "wilder")
+        wanted["_loss"] = Smoothing(F.when(d < 0, -d).when(d >= 0, 0.0), rsi_n, "wilder")
     if macd or signal:
         wanted["_fast"] = Smoothing(x, fast)
         wanted["_slow"] = Smoothing(x, slow)

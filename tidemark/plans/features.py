@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rolling import (
     Rolling,
     cci_n,
+    diff_1,
     label_next_up,
     log_return,
     pct_change,
@@ -36,6 +37,8 @@ FEATURES = [INTERCEPT, *TECHNICAL, *MACRO]
 
 SCALED_TECHNICAL = ["SP_WMA_10_return", "SP_SMA_5_return", "SP_SMA_10_return", "Momentum_5", "MACD", "CCI_15"]
 
+MOVE = "_move"
+
 
 def technical_rollings(x: str) -> dict[str, Rolling]:
     return {
@@ -45,6 +48,7 @@ def technical_rollings(x: str) -> dict[str, Rolling]:
         "Momentum_5": roc_n(x, 5),
         "CCI_15": cci_n(x, 15),
         "Signal": sma_signal(x, 5, 10),
+        MOVE: diff_1(x),
     }
 
 
@@ -55,7 +59,7 @@ def macro_rollings(columns: dict[str, str]) -> dict[str, Rolling]:
 def technical_features(panel: Panel, x: str) -> Panel:
     """The eight technical features, unscaled except RSI, which is divided by 100."""
     panel = panel.roll(technical_rollings(x))
-    panel = momentum_indicators(panel, x, rsi="RSI_15", macd="MACD")
+    panel = momentum_indicators(panel, x, rsi="RSI_15", macd="MACD", move=MOVE)
     return panel.with_columns({"RSI_15": F.col("RSI_15") / 100.0, "Signal": F.col("Signal").cast("double")})
 
 
@@ -72,7 +76,7 @@ def design_table(panel: Panel, x: str, macro: dict[str, str], fit_on: Column | N
     All fixed-reach indicators share one window, all scale bounds another.
     """
     panel = panel.roll(technical_rollings(x) | macro_rollings(macro) | {LABEL: label_next_up(x)})
-    panel = momentum_indicators(panel, x, rsi="RSI_15", macd="MACD")
+    panel = momentum_indicators(panel, x, rsi="RSI_15", macd="MACD", move=MOVE)
     panel = panel.with_columns(
         {INTERCEPT: F.lit(1.0), "RSI_15": F.col("RSI_15") / 100.0, "Signal": F.col("Signal").cast("double")}
         | {name: finite_or_null(name) for name in macro}
