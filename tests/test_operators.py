@@ -40,12 +40,23 @@ def test_splits_round_half_to_even(spark, options):
     assert column(three, "split") == ["setup", "train", "train", "test", "test"]
 
 
+def _scan_plan(spark, selection) -> str:
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "value")
+    return selection.time_range(events, "ts", dt.datetime(2024, 1, 11))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_range_and_time_range(spark):
     panel = make_panel(spark, {"a": walk(6, 1), "b": walk(2, 2)})
     assert [r[0] for r in columns(selection.row_range(panel, 2, 4), "t")["a"]] == [1, 2, 3]
     assert selection.time_range(panel.df, "t", 3).count() == 3
     assert selection.time_range(panel.df, "t", 1, 1).count() == 2
     assert selection.time_range(panel.df, "t").count() == 8
+    days = spark.range(10).select(F.expr("date'2020-01-01' + cast(id AS int)").alias("day"), F.expr("timestamp_ntz'2020-01-01 12:00:00' + make_dt_interval(cast(id AS int))").alias("at"))
+    since = selection.time_range(days, "day", dt.date(2020, 1, 5), warmup=dt.timedelta(days=2))
+    assert since.agg(F.min("day")).first()[0] == dt.date(2020, 1, 3)
+    until = selection.time_range(days, "at", dt.datetime(2020, 1, 3, 12), dt.datetime(2020, 1, 4, 11, 59))
+    assert [r["at"] for r in until.collect()] == [dt.datetime(2020, 1, 3, 12)]
+    assert "PushedFilters: [IsNotNull" in _scan_plan(spark, selection)
 
 
 def test_missing_values(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from operator import and_, or_
 
@@ -39,17 +40,24 @@ def row_range(panel: Panel, first: int, last: int) -> DataFrame:
     return panel.numbered().df.filter(F.col(ROW_NUMBER).between(first, last)).drop(ROW_NUMBER, SERIES_ROWS)
 
 
-def time_range(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
+def time_range(df: DataFrame, ts: str, start=None, end=None, warmup: dt.timedelta | None = None) -> DataFrame:
     """Rows from ``start`` to ``end``, both included, either one open.
 
     Applied before the windows it reaches the scan, and indicators then start afresh at ``start``; applied
-    after them it keeps the values they have over the full history.
+    after them it keeps the values they have over the full history. To have both, filter before with a ``warmup``
+    that covers the reach of the indicators and again after without it.
     """
+    kind = df.schema[ts].dataType
+
+    def bound(value) -> Column:
+        # As text, so that a naive time means the same whatever the session's time zone.
+        return F.lit(str(value) if isinstance(value, dt.date) else value).cast(kind)
+
     bounds: list[Column] = []
     if start is not None:
-        bounds.append(F.col(ts) >= F.lit(start))
+        bounds.append(F.col(ts) >= bound(start - warmup if warmup is not None else start))
     if end is not None:
-        bounds.append(F.col(ts) <= F.lit(end))
+        bounds.append(F.col(ts) <= bound(end))
     return df.filter(reduce(and_, bounds)) if bounds else df
 
 

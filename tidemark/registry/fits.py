@@ -220,6 +220,7 @@ def random_init(spark, sf):
     return weights_out(wt.random_init(models, IN, 5, sd=1.0, seed=7))
 
 
+@register("load_model", f"{PLR} {weights_sql('f', 0)}")
 @register("save_model", f"{PLR} {weights_sql('f', 0)}")
 def save_model(spark, sf):
     path = shared_path(spark, "model")
