@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ratio
+from tidemark.functions.scalars import normal_density, ratio
 
 By = list[str] | tuple[str, ...]
 
@@ -27,20 +27,10 @@ def jarque_bera(df: DataFrame, column: str, by: By = ()) -> DataFrame:
     return moments.select(*by, "n", statistic.alias("statistic"), F.exp(-statistic / 2.0).alias("p_value"))
 
 
-def _bounds(df: DataFrame, column: str, by: By) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.min(column).alias("_lo"),
-        F.max(column).alias("_hi"),
-        F.count(column).alias("_n"),
-        F.avg(column).alias("_mean"),
-        F.stddev_samp(column).alias("_sd"),
-    )
-
-
-def _bin_rows(bounds: DataFrame, bins: int) -> DataFrame:
-    """One row per bin with its edges. The bounds are one row per group, so this stays small."""
+def _bin_rows(groups: DataFrame, bins: int) -> DataFrame:
+    """One row per bin with its edges, for a table of one row per group."""
     width = (F.col("_hi") - F.col("_lo")) / bins
-    return bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))).withColumns(
+    return groups.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))).withColumns(
         {"_width": width, "bin_low": F.col("_lo") + width * (F.col("bin") - 1), "bin_high": F.col("_lo") + width * F.col("bin")}
     )
 
@@ -52,38 +42,35 @@ def histogram(df: DataFrame, column: str, bins: int = 20, by: By = ()) -> DataFr
     """
     by = list(by)
     values = df.select(*by, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    bounds = _bounds(values, "_v", by)
+    ends = values.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     if by:
-        placed = values.join(bounds.select(*by, "_lo", "_hi"), by)
-        lo, hi = F.col("_lo"), F.col("_hi")
+        placed = values.join(ends, by)
     else:
-        placed = values
-        ends = bounds.select(F.struct("_lo", "_hi")).scalar()
-        lo, hi = ends.getField("_lo"), ends.getField("_hi")
-    index = F.ceil(ratio((F.col("_v") - lo) * bins, hi - lo))
+        pair = ends.select(F.struct("_lo", "_hi")).scalar()
+        placed = values.withColumns({"_lo": pair.getField("_lo"), "_hi": pair.getField("_hi")})
+    index = F.ceil(ratio((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
     counted = (
-        placed.select(*by, F.greatest(F.lit(1), F.coalesce(index, F.lit(1))).cast("int").alias("bin"))
+        placed.withColumn("bin", F.greatest(F.lit(1), F.coalesce(index, F.lit(1))).cast("int"))
         .groupBy(*by, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     )
-    return (
-        _bin_rows(bounds, bins)
-        .join(counted, [*by, "bin"], "left")
-        .select(
-            *by,
-            "bin",
-            "bin_low",
-            "bin_high",
-            F.coalesce("n", F.lit(0)).alias("n"),
-            ratio(F.coalesce("n", F.lit(0)), F.col("_n") * F.col("_width")).alias("density"),
-        )
+    # At most one entry per bin, so the map of a group is small; it saves reading the input once more for the frame.
+    groups = counted.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"),
+        F.min("_lo").alias("_lo"),
+        F.max("_hi").alias("_hi"),
+        F.sum("n").alias("_n"),
     )
+    n = F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0))
+    rows = _bin_rows(groups, bins).withColumn("n", n)
+    return rows.select(*by, "bin", "bin_low", "bin_high", "n", ratio("n", F.col("_n") * F.col("_width")).alias("density"))
 
 
 def normal_overlay(df: DataFrame, column: str, bins: int = 20, by: By = ()) -> DataFrame:
     """Normal density with the sample's mean and deviation at the middle of each histogram bin."""
-    from tidemark.functions.scalars import normal_density
-
     middle = (F.col("bin_low") + F.col("bin_high")) / 2.0
-    rows = _bin_rows(_bounds(df, column, by), bins)
+    moments = df.groupBy(*by).agg(
+        F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_sd")
+    )
+    rows = _bin_rows(moments, bins)
     return rows.select(*by, "bin", middle.alias("x"), normal_density(middle, "_mean", "_sd").alias("density"))
