@@ -108,3 +108,76 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = fit(documents, table(spark, sf_dir, "labels"))
     return classify(documents, trees).select("doc_id", "held_out", "score", "predicted")
+
+
+# Pattern of weights, cap, block and seed of the mixing query, in its SQL as well.
+MIX_SQL = """
+WITH d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS place
+  FROM documents),
+s0 AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS ss FROM d GROUP BY k),
+s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM s0),
+total AS (SELECT sum(ss)::BIGINT AS t, count(*) AS m FROM s1),
+s2 AS (SELECT *, row_number() OVER r AS rank, sum(3 * ss) OVER r AS held, sum(w) OVER () - sum(w) OVER r AS rest
+  FROM s1 WINDOW r AS (ORDER BY ss::DOUBLE / w, k ROWS UNBOUNDED PRECEDING)),
+levels AS (
+  SELECT 0 AS n, (SELECT t FROM total)::DOUBLE / (SELECT sum(w) FROM s1)::DOUBLE AS level
+  UNION ALL SELECT rank, ((SELECT t FROM total) - held)::DOUBLE / rest::DOUBLE FROM s2 WHERE rest > 0),
+level AS (
+  SELECT level FROM levels WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE rank > n AND 3 * ss < level * w)
+  ORDER BY n LIMIT 1),
+s3 AS (SELECT k, source, ss, least((3 * ss)::DOUBLE, (SELECT level FROM level) * w) AS target FROM s1),
+n AS (SELECT floor(t::DOUBLE / 128 + 0.5)::BIGINT AS blocks, (2 * floor(t::DOUBLE / 128 + 0.5) + m) / t::DOUBLE AS last FROM total),
+seats AS (
+  SELECT k, (2 * i + 1)::DOUBLE / target AS o
+  FROM (SELECT k, target, unnest(range(0, greatest(0, floor((target * (SELECT last FROM n) - 1) / 2 + 1e-6)::BIGINT + 1))) AS i
+        FROM s3 WHERE target > 0)),
+won AS (SELECT k, count(*) AS blocks FROM (SELECT k FROM seats ORDER BY o, k LIMIT (SELECT blocks FROM n)) GROUP BY k),
+p0 AS (SELECT s3.*, least(coalesce(blocks, 0) * 128, 3 * ss)::BIGINT AS wanted FROM s3 LEFT JOIN won USING (k)),
+p AS (
+  SELECT k, ss, target, CASE WHEN ss > 0 THEN wanted // ss ELSE 0 END AS passes, CASE WHEN ss > 0 THEN wanted % ss ELSE 0 END AS rest,
+    greatest(ceil(ss / 128), 1)::BIGINT AS nb FROM p0),
+q AS (
+  SELECT *, ceil(rest / 128)::BIGINT AS chosen,
+    CASE WHEN 1048583 % nb <> 0 THEN 1048583 WHEN 1048589 % nb <> 0 THEN 1048589 WHEN 1048601 % nb <> 0 THEN 1048601
+      WHEN 1048609 % nb <> 0 THEN 1048609 ELSE 1 END AS step,
+    ('0x' || substr(md5('17|' || k), 1, 15))::BIGINT % nb AS shift FROM p),
+blocks AS (
+  SELECT k, b * 128 AS lo, b * 128 + least(128, rest - o * 128) AS hi
+  FROM (SELECT k, rest, chosen, b, (b * step + shift) % nb AS o FROM (SELECT *, unnest(range(0, nb)) AS b FROM q))
+  WHERE o < chosen),
+placed AS (
+  SELECT doc_id, source, size, k, sum(size) OVER (PARTITION BY k ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size AS at FROM d),
+touched AS (SELECT doc_id, k, at, at + size AS stop, unnest(range((at // 128)::BIGINT, ((at + size - 1) // 128)::BIGINT + 1)) AS b
+  FROM placed WHERE size > 0),
+partly AS (
+  SELECT t.doc_id, t.k, t.at, sum(greatest(0, least(t.stop, hi) - greatest(t.at, lo))) AS n
+  FROM touched t JOIN blocks ON blocks.k = t.k AND blocks.lo = t.b * 128 GROUP BY ALL)
+SELECT d.doc_id, d.source, d.size, q.ss AS source_size, q.target, (q.passes * d.size + coalesce(partly.n, 0))::BIGINT AS taken
+FROM placed d JOIN q ON q.k = d.k LEFT JOIN partly ON partly.k = d.k AND partly.at = d.at AND partly.doc_id = d.doc_id AND d.size > 0
+"""
+
+
+@register("op2_source_mixing", MIX_SQL)
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))[0]
+
+
+@register("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import pii
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(documents, pii.fit(documents))
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(count(kind) for kind in pii.BASE),
+        F.sha2(pii.ledger(pii.base_only(F.col("found"))), 256).alias("base_sha256"), pii.ledger(F.col("found")).alias("spans"),
+    )
