@@ -43,42 +43,48 @@ class Encoder:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
-    def begins(self, text: str) -> list[int]:
-        return [p.begin for p in self.model.encode(text, out_type="immutable_proto").pieces]
+    def begins(self, data: bytes) -> list[int]:
+        """Where the tokens begin, in bytes."""
+        return [p.begin for p in self.model.encode(data.decode(), return_type="proto").pieces]
 
 
-def stable(text: str, low: int, high: int) -> int | None:
-    """The last place in [low, high) with a single space between two characters that aren't spaces."""
-    at = text.rfind(" ", low, high)
+def stable(data: bytes, low: int, high: int) -> int | None:
+    """The last place in [low, high) of a single space between two characters that are neither spaces nor space marks."""
+    mark = MARK.encode()
+    at = data.rfind(b" ", low, high)
     while at >= 0:
-        if 0 < at < len(text) - 1 and text[at - 1] != " " and text[at + 1] != " ":
-            return at
-        at = text.rfind(" ", low, at)
+        if 0 < at < len(data) - 1 and data[at - 1 : at] != b" " != data[at + 1 : at + 2]:
+            if data[max(0, at - 3) : at] != mark != data[at + 1 : at + 4]:
+                return at
+        at = data.rfind(b" ", low, at)
     return None
 
 
 def long_count(encoder: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a huge text.
+    """Tokens of a huge text; `chunk` and `overlap` in bytes.
 
     Chunks overlap; tokens of the left chunk count up to a stable place in the overlap, those of the right chunk from there on,
     provided that in both encodings a token begins there. If the overlap has no such place it is doubled, and then the chunk.
     """
-    if not encoder.splices or len(text) <= chunk:
+    data = text.encode()
+    if not encoder.splices or len(data) <= chunk:
         return encoder.counts([text])[0]
-    # Of the chunk from `start`, tokens from text position `shift` on count: the chunk to the left counts those before.
+    # Of the chunk from `start`, tokens from place `shift` on count: the chunk to the left counts those before.
     total, start, shift, size = 0, 0, 0, chunk
     while True:
-        end = min(len(text), start + size)
-        left = [start + b for b in encoder.begins(text[start:end])]
+        end = min(len(data), start + size)
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        left = [start + b for b in encoder.begins(data[start:end])]
         places = set(left)
         if shift and shift not in places and start != shift + 1:
             return encoder.counts([text])[0]
-        if end == len(text):
+        if end == len(data):
             return total + sum(b >= shift for b in left)
         at, wide = None, overlap
         while at is None:
             low = max(shift + 1, end - wide)
-            at = stable(text, low, end - 1)
+            at = stable(data, low, end - 1)
             if at is not None and at not in places:
                 at = None
             if low == shift + 1:
@@ -87,7 +93,8 @@ def long_count(encoder: Encoder, text: str, chunk: int = CHUNK, overlap: int = O
         if at is None:
             size *= 2
             continue
-        before = stable(text, max(shift + 1, at - overlap), at)
+        # The right chunk begins at a stable place of its own before, so that the two overlap around the place of the splice.
+        before = stable(data, max(shift + 1, at - overlap), at)
         total += sum(shift <= b < at for b in left)
         start, shift, size = (at if before is None else before) + 1, at, chunk
 
