@@ -149,14 +149,14 @@ blocks AS (
   FROM (SELECT k, rest, chosen, b, (b * step + shift) % nb AS o FROM (SELECT *, unnest(range(0, nb)) AS b FROM q))
   WHERE o < chosen),
 placed AS (
-  SELECT doc_id, source, size, k, sum(size) OVER (PARTITION BY k ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size AS at FROM d),
-touched AS (SELECT doc_id, k, at, at + size AS stop, unnest(range((at // 128)::BIGINT, ((at + size - 1) // 128)::BIGINT + 1)) AS b
+  SELECT doc_id, source, size, k, sum(size) OVER (PARTITION BY k ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos FROM d),
+touched AS (SELECT doc_id, k, pos, pos + size AS stop, unnest(range((pos // 128)::BIGINT, ((pos + size - 1) // 128)::BIGINT + 1)) AS b
   FROM placed WHERE size > 0),
 partly AS (
-  SELECT t.doc_id, t.k, t.at, sum(greatest(0, least(t.stop, hi) - greatest(t.at, lo))) AS n
+  SELECT t.doc_id, t.k, t.pos, sum(greatest(0, least(t.stop, hi) - greatest(t.pos, lo))) AS n
   FROM touched t JOIN blocks ON blocks.k = t.k AND blocks.lo = t.b * 128 GROUP BY ALL)
 SELECT d.doc_id, d.source, d.size, q.ss AS source_size, q.target, (q.passes * d.size + coalesce(partly.n, 0))::BIGINT AS taken
-FROM placed d JOIN q ON q.k = d.k LEFT JOIN partly ON partly.k = d.k AND partly.at = d.at AND partly.doc_id = d.doc_id AND d.size > 0
+FROM placed d JOIN q ON q.k = d.k LEFT JOIN partly ON partly.k = d.k AND partly.pos = d.pos AND partly.doc_id = d.doc_id AND d.size > 0
 """
 
 
