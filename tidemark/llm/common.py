@@ -41,6 +41,28 @@ def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
+def row_keys(doc_id: str, text: str) -> dict[str, Column]:
+    """Two hashes that name a row by its id and its whole text; equal for repeated rows, never null."""
+    d, t = F.col(doc_id), F.col(text)
+    return {"key1": F.xxhash64(d, t), "key2": F.xxhash64(t, d, F.lit(1))}
+
+
+#: Row keys that are broadcast at most: two longs each.
+KEYS_BROADCAST = 500_000
+
+
+def without(df: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` whose row key isn't in `gone` (`key1`, `key2`), with the columns of `df`.
+
+    Few keys are broadcast, so that no text is shuffled; more than KEYS_BROADCAST meet the rows in a shuffle.
+    """
+    gone = stored(gone.select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2")).distinct(), "gone")
+    if gone.count() <= KEYS_BROADCAST:
+        gone = F.broadcast(gone)
+    keyed = df.withColumns({f"_{n}": c for n, c in row_keys(doc_id, text).items()})
+    return keyed.join(gone, ["_key1", "_key2"], "left_anti").select(*df.columns)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that the named text column has at most about `most_bytes` in each (one row at least)."""
     for batch in batches:

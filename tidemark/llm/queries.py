@@ -181,3 +181,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(kind) for kind in pii.BASE),
         F.sha2(pii.ledger(pii.base_only(F.col("found"))), 256).alias("base_sha256"), pii.ledger(F.col("found")).alias("spans"),
     )
+
+
+@register("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@register("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_found", "n_verbatim", "coverage", "kind")
