@@ -22,38 +22,48 @@ UNITS = (
 
 
 def prepared(df: DataFrame, text: str) -> DataFrame:
-    """Adds `_raw` and `_form`, arrays of the same length: the words, lower-cased, and the same words with slots.
+    """Adds `_raw`, `_form` and `_plain`, arrays of the same length: the words, lower-cased, and the words with slots.
 
     Words are runs of letters and digits, cut where a letter follows a digit. A word that starts with a digit becomes `<num>`, a unit
-    after a number `<unit>`, any other word that starts with a capital `<name>`. A null or empty text has no words.
+    after a number `<unit>`; in `_form`, but not in `_plain`, any other word that starts with a capital and a small letter is `<name>`.
+    A null or empty text has no words.
     """
-    t = whole(text)
-    plain = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    df = df.withColumn("_plain", plain)
-    p = F.col("_plain")
-    df = df.withColumn("_plain", F.when(F.rlike(p, F.lit(r"\p{N}\p{L}")), F.regexp_replace(p, r"(?<=\p{N})(?=\p{L})", " ")).otherwise(p))
-    form = F.regexp_replace(p, r"(?<![^ ])\p{Lu}[^ ]*+", "<name>")
-    df = df.withColumn("_form", form)
-    f = F.col("_form")
-    numbers = F.regexp_replace(f, r"(?<![^ ])\p{N}[^ ]*+", "<num>")
-    units = F.regexp_replace(numbers, rf"(?i)(?<=<num> )(?:{'|'.join(UNITS)})(?![^ ])", "<unit>")
-    df = df.withColumn("_form", F.lower(F.when(F.rlike(f, F.lit(r"\p{N}")), units).otherwise(f)))
+    df = df.withColumn("_text", F.trim(F.regexp_replace(whole(text), r"[^\p{L}\p{N}]+", " ")))
+    t = F.col("_text")
+    df = df.withColumn("_text", F.when(F.rlike(t, F.lit(r"\p{N}\p{L}")), F.regexp_replace(t, r"(?<=\p{N})(?=\p{L})", " ")).otherwise(t))
+    df = df.withColumn("_marked", F.regexp_replace(t, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*+", "<name>"))
     none = F.array().cast("array<string>")
-    return df.withColumns({
-        "_raw": F.when(p == "", none).otherwise(F.split(F.lower(p), " ")),
-        "_form": F.when(p == "", none).otherwise(F.split(f, " ")),
-    }).drop("_plain")
+
+    def words(name: str, slots: bool = True) -> Column:
+        c = F.col(name)
+        numbers = F.regexp_replace(c, r"(?<![^ ])\p{N}[^ ]*+", "<num>")
+        units = F.regexp_replace(numbers, rf"(?i)(?<=<num> )(?:{'|'.join(UNITS)})(?![^ ])", "<unit>")
+        slotted = F.when(F.rlike(c, F.lit(r"\p{N}")), units).otherwise(c) if slots else c
+        return F.when(t == "", none).otherwise(F.split(F.lower(slotted), " "))
+
+    return df.withColumns({"_raw": words("_text", False), "_form": words("_marked"), "_plain": words("_text")}).drop("_text", "_marked")
 
 
 def _windows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each window with enough words outside slots: its place, hash, words and template."""
+    """One row for each window with enough words outside slots; two if it has a name: as a slot, and as a word.
+
+    The second finds texts whose case was changed throughout. `words` tells which array the window was taken from.
+    """
     n = F.size("_form")
-    each = df.filter(n >= WINDOW).select(*columns, "_raw", "_form", F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("at"))
-    words = [F.get(F.col("_form"), F.col("at") + k) for k in range(WINDOW)]
+    codes = F.explode(F.sequence(F.lit(0), 2 * (n - WINDOW) + 1)).alias("code")
+    each = df.filter(n >= WINDOW).select(*columns, "_raw", "_form", "_plain", codes)
+    at, plain = F.shiftright("code", 1), F.col("code").bitwiseAND(F.lit(1)) == 1
+    named = [F.get("_form", at + k) == "<name>" for k in range(WINDOW)]
+    has_name = named[0]
+    for x in named[1:]:
+        has_name = has_name | x
+    each = each.filter(~plain | has_name)
+    words = [F.get(F.when(plain, F.col("_plain")).otherwise(F.col("_form")), at + k) for k in range(WINDOW)]
     literal = sum((F.when(F.substring(w, 1, 1) == "<", 0).otherwise(1) for w in words), F.lit(0))
-    return each.select(*columns, "at", "_raw", "_form", F.xxhash64(*words).alias("hash"), literal.alias("literal")).filter(
-        F.col("literal") >= LITERALS
-    )
+    return each.select(
+        *columns, at.alias("at"), "_raw", F.when(plain, F.col("_plain")).otherwise(F.col("_form")).alias("_form"),
+        F.xxhash64(*words).alias("hash"), literal.alias("literal"),
+    ).filter(F.col("literal") >= LITERALS)
 
 
 def _cut(words: str) -> Column:
@@ -77,7 +87,7 @@ def contamination(
     """
     items = _windows(prepared(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "text"), ["item_id"])
     items = stored(
-        items.select("item_id", "hash", F.xxhash64("item_id", "hash", _cut("_raw")).alias("window"), _cut("_raw").alias("words"),
+        items.select("item_id", "hash", F.xxhash64("item_id", _cut("_raw")).alias("window"), _cut("_raw").alias("words"),
                      F.transform(_cut("_form"), lambda w: F.substring(w, 1, 1) == "<").alias("slots")).distinct(),
         "benchmark",
     )
