@@ -1,4 +1,8 @@
-"""What several of the operators share: word pattern, row identity, tables in the shared folder, bounded Arrow batches."""
+"""What several of the operators share: word pattern, row identity, tables in the shared folder, bounded Arrow batches.
+
+Operators that return the columns of their input use names that begin with an underscore for what they add on the way; a column of the
+input with such a name may be replaced or dropped.
+"""
 
 from __future__ import annotations
 

@@ -18,6 +18,7 @@ CHUNK = 1 << 16
 # Primes above 2^20, of which the first that doesn't divide the number of blocks permutes them.
 STEPS = (1048583, 1048589, 1048601, 1048609)
 BITS = 30
+RESULT = ("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def _key(source: Column) -> Column:
@@ -104,7 +105,7 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """What the mix takes of every document, and the blocks of each source in each shard.
 
-    Returns one row per row of `df`: `doc_id`, the columns in `keep`, `source`, `size` (words; null text: 0), `source_size`, `target`
+    Returns one row per row of `df`: `doc_id`, the columns in `keep` (those that aren't named like a result), `source`, `size` (words; null text: 0), `source_size`, `target`
     and `taken` (words, repeats counted); and a table of `shard`, `source` and `blocks`. Sources weigh what `weights`
     (`source`, `weight`) says, others nothing, or else `pattern` repeats over them by code point, null last: a null source is
     a source. All targets together are the words of `df`; none exceeds `cap` times its source.
@@ -114,10 +115,11 @@ def mix(
     misses its target by two blocks at most. A source without words gets nothing. Equal rows are told apart by their
     place on the line only, so which of them is taken may differ, but not what the result holds. An empty table gives empty tables.
     """
-    spark = df.sparkSession
+    keep = [c for c in keep if c not in RESULT]
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(0)
     sized = stored(
         df.select(
-            F.col(doc_id).alias("doc_id"), *keep, F.col(source).alias("source"), _key(F.col(source)).alias("source_key"),
+            F.col(doc_id).alias("doc_id"), kept.alias("kept"), F.col(source).alias("source"), _key(F.col(source)).alias("source_key"),
             F.size(words_of(whole(text))).cast("bigint").alias("size"),
             seeded(seed, F.col(doc_id), F.col(text)).alias("place"),
         ),
@@ -172,6 +174,6 @@ def mix(
     touched = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
     partly = F.aggregate(touched, F.lit(0).cast("bigint"), overlap)
     taken = F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("chosen") > 0), partly).otherwise(0)
-    result = placed.select("doc_id", *keep, "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    result = placed.select("doc_id", *(F.col("kept")[c].alias(c) for c in keep), "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
     named = shards.join(sources.select("source_key", "source"), "source_key").select("shard", "source", "blocks")
     return result, named

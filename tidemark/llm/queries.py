@@ -204,3 +204,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     removed = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op3_license_scans")
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
