@@ -174,6 +174,9 @@ def mix(
     touched = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
     partly = F.aggregate(touched, F.lit(0).cast("bigint"), overlap)
     taken = F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("chosen") > 0), partly).otherwise(0)
-    result = placed.select("doc_id", *(F.col("kept")[c].alias(c) for c in keep), "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    # In two steps, so that no kept column is taken for one of the same name that the expression means.
+    result = placed.withColumn("taken", taken.cast("bigint")).select(
+        "doc_id", *(F.col("kept")[c].alias(c) for c in keep), "source", "size", "source_size", "target", "taken"
+    )
     named = shards.join(sources.select("source_key", "source"), "source_key").select("shard", "source", "blocks")
     return result, named
