@@ -4,6 +4,7 @@ import pytest
 from helpers import LONG, close, column, columns, make_panel, walk
 
 from tidemark.functions import rolling as R
+from tidemark.panel import ROW_NUMBER, SERIES_ROWS
 
 
 @pytest.mark.parametrize("options", [{}, {"max_series_rows": 2, "segment_rows": 3}])
@@ -76,13 +77,14 @@ def test_slices_give_what_whole_series_give(spark):
 
 def test_numbering_of_long_series(spark):
     series = {"a": walk(57, 1), "b": walk(5, 2), "c": walk(1, 3)}
-    whole = columns(make_panel(spark, series).numbered(), "rn", "series_rows")
-    sliced = columns(make_panel(spark, series, **LONG).numbered(), "rn", "series_rows")
+    whole = columns(make_panel(spark, series).numbered().rows, ROW_NUMBER, SERIES_ROWS)
+    sliced = columns(make_panel(spark, series, **LONG).numbered().rows, ROW_NUMBER, SERIES_ROWS)
     assert whole == sliced
     assert whole["b"] == [(i, 5) for i in range(1, 6)]
 
 
-def test_a_lone_long_series_refuses_one_window(spark):
-    panel = make_panel(spark, {"a": walk(30, 1)}, **LONG)
-    with pytest.raises(ValueError):
-        panel.window()
+@pytest.mark.parametrize("options", [{}, LONG])
+def test_signal_at_any_scale(spark, options):
+    panel = make_panel(spark, {"a": [1e-10 * (i + 1) for i in range(60)], "b": [0.1] * 30}, **options).roll({"sig": R.sma_signal("x")})
+    got = columns(panel, "sig")
+    assert [v for v, in got["a"]] == [None] * 9 + [1] * 51 and [v for v, in got["b"]] == [None] * 9 + [0] * 21

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ColumnLike, as_column, binary_flag, ratio, safe_ln
 
+#: Means of the same rows can differ by rounding. Differences up to this share of a mean are taken as none.
 FLAT = 1e-12
 
 
@@ -154,8 +155,11 @@ def sma_spread(x: ColumnLike, fast: int = 5, slow: int = 10) -> Rolling:
 
 
 def sma_signal(x: ColumnLike, fast: int = 5, slow: int = 10) -> Rolling:
-    """1 while the fast mean is above the slow one, else 0. Equal means give 0 on any summation order."""
-    return combine(lambda d: binary_flag(d, digits=9), sma_spread(x, fast, slow))
+    """1 while the fast mean is above the slow one by more than rounding (``FLAT`` of the slow mean), else 0.
+
+    The comparison is relative, so it means the same at any scale of the values.
+    """
+    return combine(lambda f, s: binary_flag(f - s - FLAT * F.abs(s)), sma_n(x, fast), sma_n(x, slow))
 
 
 def label_next_up(x: ColumnLike) -> Rolling:

@@ -93,9 +93,13 @@ def bin_index(p: ColumnLike, bins: int) -> Column:
 
 
 def bin_label(index: ColumnLike, bins: int) -> Column:
-    """``"0.05 to 0.10"`` for bin 2 of 20; decimals come from the integer, so the text is exact."""
+    """``"0.05 to 0.10"`` for bin 2 of 20; decimals come from the integer, so the text is exact.
+
+    There are two decimals, and more where neighbouring bins would otherwise share a label.
+    """
     index = as_column(index)
-    edge = lambda i: (i.cast("decimal(9,0)") / F.lit(bins).cast("decimal(9,0)")).cast("decimal(4,2)").cast("string")
+    digits = max(2, len(str(bins - 1)))
+    edge = lambda i: (i.cast("decimal(9,0)") / F.lit(bins).cast("decimal(9,0)")).cast(f"decimal({digits + 2},{digits})").cast("string")
     return F.concat_ws(" to ", edge(index - 1), edge(index))
 
 

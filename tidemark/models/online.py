@@ -121,7 +121,7 @@ def fit_online(
 
     panel, segment, _ = panel.segments(panel.segment_rows)
     path = shared_path(spark, "rounds")
-    rows = panel.df.select(*columns, ROW_NUMBER, segment.alias("_slice"), place["_bucket"].alias("_bucket"))
+    rows = panel.rows.select(*columns, ROW_NUMBER, segment.alias("_slice"), place["_bucket"].alias("_bucket"))
     rows.repartition(tasks, "_slice", "_bucket").write.partitionBy("_slice").parquet(path)
     stored = spark.read.parquet(path)
     state = state.checkpoint()

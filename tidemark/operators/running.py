@@ -21,17 +21,17 @@ def cum_sum(panel: Panel, sums: dict[str, ColumnLike], na: str = "propagate") ->
     if not panel.is_long:
         w = panel.window().rowsBetween(Window.unboundedPreceding, 0)
         columns = [_running(c, w, None, None, na).alias(name) for name, c in inputs.items()]
-        return panel.replace(panel.df.select("*", *columns))
+        return panel.replace(panel.rows.select("*", *columns))
 
     # Sum within slices of bounded size, and add to each slice what the slices before it hold.
     panel, segment, _ = panel.pinned().segments(panel.segment_rows)
-    keys = [*panel.series, "_segment"]
-    rows = panel.df.withColumns({"_segment": segment, **{f"_in_{n}": c for n, c in inputs.items()}})
+    keys = [*panel.series, "__segment"]
+    rows = panel.rows.withColumns({"__segment": segment, **{f"_in_{n}": c for n, c in inputs.items()}})
     totals = rows.groupBy(*keys).agg(
         *(F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in inputs),
         *(F.count_if(F.col(f"_in_{n}").isNull()).alias(f"_gaps_{n}") for n in inputs),
     )
-    before = Window.partitionBy(*panel.series).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*panel.series).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys,
         *(F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in inputs),
@@ -44,7 +44,7 @@ def cum_sum(panel: Panel, sums: dict[str, ColumnLike], na: str = "propagate") ->
         _running(F.col(f"_in_{n}"), w, F.col(f"_carry_{n}"), F.col(f"_lost_{n}"), na).alias(n) for n in inputs
     ]
     helpers = [f"_{part}_{n}" for n in inputs for part in ("in", "carry", "lost")]
-    return panel.replace(joined.select("*", *columns).drop("_segment", *helpers))
+    return panel.replace(joined.select("*", *columns).drop("__segment", *helpers))
 
 
 def _running(c: Column, w, carry: Column | None, lost: Column | None, na: str) -> Column:

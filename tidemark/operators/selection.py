@@ -26,8 +26,8 @@ def add_intercept(df: DataFrame, name: str = "x_0") -> DataFrame:
 
 
 def as_series(panel: Panel, columns: list[str]) -> DataFrame:
-    """The canonical form: key columns, row number, values."""
-    return panel.numbered().df.select(*panel.keys, ROW_NUMBER, *columns)
+    """The canonical form: key columns, row number ``rn`` (from 1 within the series), values."""
+    return panel.numbered().rows.select(*panel.keys, F.col(ROW_NUMBER).alias("rn"), *columns)
 
 
 def time_order(df: DataFrame, order: list[str]) -> DataFrame:
@@ -37,7 +37,7 @@ def time_order(df: DataFrame, order: list[str]) -> DataFrame:
 
 def row_range(panel: Panel, first: int, last: int) -> DataFrame:
     """Rows ``first`` to ``last`` of every series, both included."""
-    return panel.numbered().df.filter(F.col(ROW_NUMBER).between(first, last)).drop(ROW_NUMBER, SERIES_ROWS)
+    return panel.numbered().rows.filter(F.col(ROW_NUMBER).between(first, last)).drop(ROW_NUMBER, SERIES_ROWS)
 
 
 def time_range(df: DataFrame, ts: str, start=None, end=None, warmup: dt.timedelta | None = None) -> DataFrame:

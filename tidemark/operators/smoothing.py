@@ -71,15 +71,15 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
     if not panel.is_long:
         # First value and last gap up to the row; a gap counts if it lies behind the first value.
         gaps = {f"_gap_{n}": F.max(F.when(missing[n], rn)) for n in outputs}
-        numbered = panel.df if ROW_NUMBER in given else panel.df.withColumn(ROW_NUMBER, F.row_number().over(panel.window()))
+        numbered = panel.df.withColumn(ROW_NUMBER, F.row_number().over(panel.window()))
         rows = add_rolling(numbered, panel.window(), seeds, starts | gaps)
         unbroken = {n: F.col(f"_gap_{n}").isNull() | (F.col(f"_gap_{n}") < F.col(f"_start_{n}")) for n in outputs}
     else:
-        given = list(dict.fromkeys([*given, ROW_NUMBER, SERIES_ROWS]))
+        given = [*given, ROW_NUMBER, SERIES_ROWS]
         panel = panel.numbered().roll(seeds | {f"_before_{n}": lag_k(f"_x_{n}") for n in outputs})
         breaks = {n: missing[n] & F.col(f"_before_{n}").isNotNull() for n in outputs}
         panel = panel.per_series(starts | {f"_gap_{n}": F.min(F.when(breaks[n], rn)) for n in outputs})
-        rows = panel.df
+        rows = panel.rows
         unbroken = {n: F.col(f"_gap_{n}").isNull() | (rn < F.col(f"_gap_{n}")) for n in outputs}
 
     # Distance to the seed row: negative before it, 0 on it.
@@ -204,8 +204,8 @@ def momentum_indicators(
         panel = smooth(panel, {signal: Smoothing("_macd", signal_n)}, span)
     if macd:
         panel = panel.with_columns({macd: F.col("_macd")})
-    kept = [c for c in panel.df.columns if not c.startswith("_") or c in given]
-    return panel.replace(panel.df.select(*kept))
+    kept = [c for c in panel.rows.columns if not c.startswith("_") or c in (*given, ROW_NUMBER, SERIES_ROWS)]
+    return panel.replace(panel.rows.select(*kept))
 
 
 def rsi_n(panel: Panel, name: str, x: ColumnLike, n: int = 15, **options) -> Panel:

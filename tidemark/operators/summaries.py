@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,19 +41,22 @@ def _bin_rows(groups: DataFrame, bins: int) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 20, by: By = ()) -> DataFrame:
     """Counts and density in exactly ``bins`` equal right-closed bins between minimum and maximum.
 
-    Every bin has a row, an empty one a zero. When all values are equal they are in bin 1 and the density is NULL.
+    Every bin has a row, an empty one a zero. When all values are equal they are in bin 1 and the density is NULL. The maximum is in
+    the last bin, whatever its quotient rounds to. A NULL in ``by`` is a group.
     """
     by = list(by)
     values = df.select(*by, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     ends = values.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     if by:
-        placed = values.join(ends, by)
+        names = {c: f"__{i}" for i, c in enumerate(by)}
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+        placed = values.join(ends.withColumnsRenamed(names), same).drop(*names.values())
     else:
         pair = ends.select(F.struct("_lo", "_hi")).scalar()
         placed = values.withColumns({"_lo": pair.getField("_lo"), "_hi": pair.getField("_hi")})
     index = F.ceil(ratio((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
     counted = (
-        placed.withColumn("bin", F.greatest(F.lit(1), F.coalesce(index, F.lit(1))).cast("int"))
+        placed.withColumn("bin", F.least(F.lit(bins), F.greatest(F.lit(1), F.coalesce(index, F.lit(1)))).cast("int"))
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     )

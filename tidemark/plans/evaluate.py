@@ -14,7 +14,7 @@ from tidemark.operators.evaluation import calibration, conditional_return, with_
 from tidemark.operators.running import cum_sum
 from tidemark.operators.selection import chrono_split
 from tidemark.operators.summaries import histogram
-from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel
+from tidemark.panel import Panel
 from tidemark.session import shared_dir
 
 
@@ -78,8 +78,7 @@ def with_returns(panel: Panel, x: str, horizon: str = "backward", name: str = "c
 def error_series(scored: Panel) -> Panel:
     """Scored rows with residual, loss, hit flag, and their running sums per series."""
     panel = scored.replace(with_errors(scored.df))
-    panel = cum_sum(panel, {"cum_d": "d", "cum_abs_d": F.abs("d"), "cum_hits": F.col("hit").cast("double")})
-    return panel.drop(*(c for c in (ROW_NUMBER, SERIES_ROWS) if c in panel.df.columns))
+    return cum_sum(panel, {"cum_d": "d", "cum_abs_d": F.abs("d"), "cum_hits": F.col("hit").cast("double")})
 
 
 def evaluation_report(scored: Panel, returns: str = "change", threshold: float = 0.8, bins: int = 20) -> Report:

@@ -83,4 +83,4 @@ def design_table(panel: Panel, x: str, macro: dict[str, str], fit_on: Column | N
     )
     panel = minmax_scale(panel, {name: name for name in [*SCALED_TECHNICAL, *macro]}, fit_on)
     columns = [INTERCEPT, *TECHNICAL, *macro, LABEL]
-    return panel.replace(complete_cases(panel.df.select(*panel.keys, *columns), columns), same_rows=False)
+    return panel.subset(complete_cases(panel.df.select(*panel.keys, *columns), columns))

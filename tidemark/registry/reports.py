@@ -103,7 +103,7 @@ def histogram_sql(ctes: str, source: str, v: str, bins: int, by: str = "") -> st
     key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     join = f"JOIN b USING ({by})" if by else "CROSS JOIN b"
     return f"""{ctes}, b AS (SELECT {key}min({v}) AS lo, max({v}) AS hi, count({v}) AS total, avg({v}) AS mean, stddev_samp({v}) AS sd FROM {source} {group}),
-  placed AS (SELECT {key}cast(greatest(1, coalesce(ceil(({v} - lo) * {bins} / nullif(hi - lo, 0)), 1)) AS bigint) AS bin, count(*) AS n
+  placed AS (SELECT {key}cast(least({bins}, greatest(1, coalesce(ceil(({v} - lo) * {bins} / nullif(hi - lo, 0)), 1))) AS bigint) AS bin, count(*) AS n
              FROM {source} {join} WHERE {v} IS NOT NULL GROUP BY ALL),
   frame AS (SELECT *, (hi - lo) / {bins} AS width FROM b CROSS JOIN generate_series(1, {bins}) AS g(bin))"""
 
@@ -125,6 +125,20 @@ def histogram_counts(spark, sf):
     return df.select("user_id", F.col("bin").cast("long").alias("bin"), F.col("n").cast("long").alias("n"))
 
 
+@register("histogram_density_100", f"""WITH {histogram_sql(RETURNS, 'ret', 'r', 100)}
+  SELECT cast(bin AS bigint) AS bin, cast(coalesce(n, 0) AS bigint) AS n, {q6(HIST_DENSITY, 'density')} FROM frame LEFT JOIN placed USING (bin)""")
+def histogram_density_100(spark, sf):
+    df = summaries.histogram(sma_returns(spark, sf), "r", 100)
+    return out(df.select(F.col("bin").cast("long").alias("bin"), F.col("n").cast("long").alias("n"), "density"), ["bin", "n"], ["density"])
+
+
+@register("histogram_counts_20", f"""WITH {histogram_sql(RETURNS, 'ret', 'r', 20, 'user_id')}
+  SELECT user_id, cast(bin AS bigint) AS bin, cast(coalesce(n, 0) AS bigint) AS n FROM frame LEFT JOIN placed USING (user_id, bin)""")
+def histogram_counts_20(spark, sf):
+    df = summaries.histogram(sma_returns(spark, sf), "r", 20, ["user_id"])
+    return df.select("user_id", F.col("bin").cast("long").alias("bin"), F.col("n").cast("long").alias("n"))
+
+
 _MID = "((lo + width * (bin - 1)) + (lo + width * bin)) / 2e0"
 
 

@@ -41,7 +41,7 @@ CCI_SQL = (
     + " + ".join(f"abs({c} - m)" for c in CCI_LAGS)
     + ") / 15e0, 0) END"
 )
-SIGNAL_SQL = "CASE WHEN round(s5 - s10, 9) > 0 THEN 1 WHEN round(s5 - s10, 9) <= 0 THEN 0 END"
+SIGNAL_SQL = "CASE WHEN s5 - s10 > 1e-12 * abs(s10) THEN 1 WHEN s5 - s10 <= 1e-12 * abs(s10) THEN 0 END"
 LABEL_SQL = "CASE WHEN nxt > x THEN 1 WHEN nxt <= x THEN 0 END"
 
 rolled("lag_k", from_ev(q6("prev", "lag_1"), q6(f"lag(x, 3) {W}", "lag_3")), lambda: dict(lag_1=R.lag_k("x"), lag_3=R.lag_k("x", 3)))
