@@ -191,3 +191,48 @@ def test_principal_component(spark):
     vector = np.linalg.svd((frame - frame.mean()).to_numpy())[2][0]
     vector = vector * np.sign(vector[np.abs(vector).argmax()])
     assert np.allclose(list(loadings.values()), vector)
+
+
+@pytest.mark.parametrize("options", [{}, {"max_series_rows": 4, "segment_rows": 5}, {"rows_per_task": 6}])
+def test_incomplete_rows_null_keys_and_scores(spark, options):
+    """Rows without a label or feature are left out, a NULL series is a series, and the last epoch's scores are those of the loop."""
+    rng = np.random.default_rng(3)
+    rows = [(s, t, 1.0, float(rng.normal()), None if t == 5 else float(rng.normal()), None if t == 16 else float(t % 2))
+            for s in ("a", None) for t in range(17)]
+    per_task = {k: options[k] for k in ("rows_per_task",) if k in options}
+    panel = Panel(spark.createDataFrame(rows, "s string, t int, x_0 double, x_1 double, x_2 double, y double"), "s", "t",
+                  **{k: v for k, v in options.items() if k not in per_task})
+    init = wt.constant_init(models(panel), 3, 0, 0.5)
+    fit = online.fit_online(panel, FEATURES, "y", init, eta=0.4, epochs=2, keep_scores=True, **per_task).pinned()
+    got = table(fit.weights)
+    scores = {(r["s"], r["rn"]): (r["p"], r["difference"]) for r in fit.scores.collect()}
+    assert len(scores) == 30 and len(got) == 6
+    for s in ("a", None):
+        part = [r for r in rows if r[0] == s and None not in r[2:]]
+        w = np.full(3, 0.5)
+        for epoch in range(2):
+            for i, r in enumerate(part, start=1):
+                x, y = np.array(r[2:5]), r[5]
+                p = sigmoid(x @ w)
+                if epoch:
+                    assert np.allclose(scores[s, i], (p, y - p))
+                w = w + 0.4 * (y - p) * p * (1 - p) * x
+        assert np.allclose([got[s, 1, "output", j, 0] for j in range(3)], w)
+
+
+def test_rounds_keep_a_state_of_constant_size(spark, monkeypatch):
+    panel, _ = design(spark, {1: 30, 2: 3}, max_series_rows=4, segment_rows=10)
+    init = wt.constant_init(models(panel, 2), 3, 0, 0.1)
+    sizes, gone = [], []
+    train = online._Task.run
+    monkeypatch.setattr(online, "remove", lambda spark, path: gone.append(path))
+    fit = online.fit_online(panel, FEATURES, "y", init, epochs=6)
+    assert train and fit.weights.count() == 2 * 2 * 3 and fit.curve.count() == 2 * 2 * 6 and len(gone) == 1
+    sizes.append(fit.table.filter("kind = 'weight'").count())
+    assert sizes == [12]
+
+
+def test_traces_of_hidden_neurons_are_refused(spark):
+    panel, _ = design(spark, {1: 5})
+    with pytest.raises(ValueError):
+        online.fit_online(panel, FEATURES, "y", wt.constant_init(models(panel), 3, 2, 0.1), trace_every=1)

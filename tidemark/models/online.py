@@ -4,8 +4,11 @@ One fit is a serial chain by definition, so the work is spread over fits. Spark
 restarts) into tasks of bounded size; inside a task all its models advance together, one row position at a time,
 as numpy arrays over models. A model's result does not depend on which others share its task.
 
-A series too long for one task is trained in rounds: its rows are stored by slice, a round trains every model on one
-slice, and only the weights travel to the next round. The updates and their order are the same.
+A series too long for one task is trained in rounds: its rows are stored by slice, a round trains the models that have rows in a
+slice, and only weights, last steps and a counter travel to the next round; curves go to a table. The updates and their order are
+the same.
+
+Rows with a NULL or NaN feature or label are left out, as the last row of a series has no label.
 """
 
 from __future__ import annotations
@@ -18,17 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.models.weights import OUTPUT
-from tidemark.panel import ROW_NUMBER, Panel
-from tidemark.session import shared_dir, shared_path
+from tidemark.models.weights import HIDDEN, OUTPUT
+from tidemark.operators.selection import complete_cases
+from tidemark.panel import ROW_NUMBER, Panel, attach
+from tidemark.session import remove, shared_dir, shared_path
 
-WEIGHT, EPOCH, TRACE = "weight", "epoch", "trace"
-SETTINGS = ["eta", "momentum", "epochs"]
+WEIGHT, EPOCH, TRACE, SCORE = "weight", "epoch", "trace", "score"
+SETTINGS = ["eta", "momentum", "epochs", "slices"]
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Outcome of a fit: final weights, one curve row per model and epoch, and optionally the weight trace."""
+    """Outcome of a fit: final weights, one curve row per model and epoch, and optionally a weight trace and the last scores."""
 
     table: DataFrame
     ids: list[str]
@@ -40,9 +44,18 @@ class Fit:
     @property
     def curve(self) -> DataFrame:
         """Half squared error summed over the epoch and share of hits, both measured before each update."""
-        success = F.try_divide(F.col("hits"), F.col("rows"))
-        rows = self.table.filter(F.col("kind") == EPOCH)
-        return rows.select(*self.ids, "epoch", "sse", success.alias("success"))
+        sums = {c: F.sum(c).alias(c) for c in ("sse", "hits", "rows")}
+        rows = self.table.filter(F.col("kind") == EPOCH).groupBy(*self.ids, "epoch").agg(*sums.values())
+        return rows.select(*self.ids, "epoch", "sse", F.try_divide(F.col("hits"), F.col("rows")).alias("success"))
+
+    @property
+    def scores(self) -> DataFrame:
+        """Score ``p`` and ``difference`` (label minus score) of each row ``rn`` in the last epoch, before its update.
+
+        Rows are numbered within the series, from 1, without those left out. Asked for with ``keep_scores``.
+        """
+        rows = self.table.filter(F.col("kind") == SCORE)
+        return rows.select(*self.ids, F.col("rows").alias("rn"), F.col("weight").alias("p"), F.col("step").alias("difference"))
 
     @property
     def trace(self) -> DataFrame:
@@ -68,6 +81,7 @@ def fit_online(
     perceptron: bool = False,
     batches: int = 1,
     trace_every: int | None = None,
+    keep_scores: bool = False,
     rows_per_task: int = 500_000,
 ) -> Fit:
     """Fit every model of ``init`` on the rows of its series.
@@ -76,8 +90,13 @@ def fit_online(
     perceptrons with one hidden layer, the others plain logistic ones. ``eta``, ``momentum`` and ``epochs`` may be
     ``None`` to be read from columns of ``init``, one value per model. ``perceptron`` lets the plain model learn from
     the predicted class instead of the score. ``batches`` spreads the models of one series over that many tasks.
+    ``trace_every`` records the weights of models without hidden neurons; ``keep_scores`` the scores of the last epoch.
+    A series with more than ``rows_per_task`` rows is trained in rounds.
     """
     spark = panel.df.sparkSession
+    if trace_every and init.filter(F.col("layer") == HIDDEN).limit(1).count():
+        raise ValueError("weights are traced for models without hidden neurons only")
+    panel = panel.subset(complete_cases(panel.df, [*features, label]))
     ids = [*panel.series, "model_id"]
     given = {"eta": eta, "momentum": momentum, "epochs": epochs}
     settings = {k: F.lit(v) if v is not None else F.col(k) for k, v in given.items()}
@@ -96,6 +115,7 @@ def fit_online(
         settings["eta"].cast("double").alias("eta"),
         settings["momentum"].cast("double").alias("momentum"),
         settings["epochs"].cast("int").alias("epochs"),
+        F.lit(1).alias("slices"),
     )
     tasks = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_task))
     place = {
@@ -106,7 +126,7 @@ def fit_online(
     schema = state.schema
 
     def train(rows: DataFrame, models: DataFrame, order: list[str], whole: bool, epoch: int = 0) -> DataFrame:
-        job = _Task(panel.series, order, features, label, perceptron, trace_every, whole, epoch)
+        job = _Task(panel.series, order, features, label, perceptron, trace_every, keep_scores, whole, epoch)
         rows = rows.withColumn("_batch", spread).groupBy("_bucket", "_batch")
         # Rows and models may share lineage; fresh column identities keep the two sides of the cogroup apart.
         nets = models.select(*(F.col(c).alias(c) for c in models.columns)).withColumns(place)
@@ -115,27 +135,32 @@ def fit_online(
         )
 
     columns = [*panel.series, *features, label]
-    if not panel.is_long:
+    if panel.stats.longest <= rows_per_task and not panel.is_long:
         rows = panel.df.select(*dict.fromkeys([*columns, *panel.order])).withColumn("_bucket", place["_bucket"])
         return Fit(train(rows, state, panel.order, whole=True), ids)
 
-    panel, segment, _ = panel.segments(panel.segment_rows)
-    path = shared_path(spark, "rounds")
+    size = min(panel.segment_rows, rows_per_task)
+    panel, segment, _ = panel.segments(size)
+    path, log = shared_path(spark, "rounds"), shared_path(spark, "curves")
     rows = panel.rows.select(*columns, ROW_NUMBER, segment.alias("_slice"), place["_bucket"].alias("_bucket"))
     rows.repartition(tasks, "_slice", "_bucket").write.partitionBy("_slice").parquet(path)
     stored = spark.read.parquet(path)
+    lengths = stored.groupBy(*panel.series).agg((F.max("_slice") + 1).cast("int").alias("slices"))
+    state = attach(state.drop("slices"), lengths, panel.series, panel.stats.series).na.fill(0, ["slices"]).select(*schema.names)
+    shared_dir(spark)
     state = state.checkpoint()
-    rounds = state.agg(F.max("epochs")).first()[0] or 0
-    slices = -(-panel.stats.longest // panel.segment_rows)
-    traced = []
-    for epoch in range(rounds):
-        for number in range(slices):
+    last = state.agg(F.max("epochs").alias("epochs"), F.max("slices").alias("slices")).first()
+    for epoch in range(last["epochs"] or 0):
+        for number in range(last["slices"] or 0):
+            busy = (F.col("slices") > number) & (F.col("epochs") > epoch)
             part = stored.filter(F.col("_slice") == number).drop("_slice")
-            trained = train(part, state, [ROW_NUMBER], whole=False, epoch=epoch).checkpoint()
-            state = trained.filter(F.col("kind") != TRACE)
-            if trace_every:
-                traced.append(trained.filter(F.col("kind") == TRACE))
-    return Fit(reduce(DataFrame.unionByName, traced, state), ids)
+            trained = train(part, state.filter(busy), [ROW_NUMBER], whole=False, epoch=epoch).checkpoint()
+            trained.filter(F.col("kind") != WEIGHT).write.mode("append").parquet(log)
+            state = trained.filter(F.col("kind") == WEIGHT).unionByName(state.filter(~busy)).checkpoint()
+    remove(spark, path)
+    if not last["epochs"] or not last["slices"]:
+        return Fit(state, ids)
+    return Fit(state.unionByName(spark.read.schema(schema).parquet(log)), ids)
 
 
 @dataclass(frozen=True)
@@ -148,6 +173,7 @@ class _Task:
     label: str
     perceptron: bool
     trace_every: int | None
+    keep_scores: bool
     whole: bool
     epoch: int
 
@@ -159,28 +185,25 @@ class _Task:
         rows = rows.sort_values([*self.series, *self.order], kind="stable")
         x = rows[self.features].to_numpy(dtype=float)
         y = rows[self.label].to_numpy(dtype=float)
-        places = rows[self.series].assign(start=np.arange(len(rows)))
-        places = places.groupby(self.series, sort=False)["start"].agg(start="min", length="size").reset_index()
-
-        weights = state[state["kind"] == WEIGHT].sort_values([*ids, "layer", "dst", "src"])
-        history = state[state["kind"] != WEIGHT]
-        models = weights.groupby(ids, sort=False).agg(
-            size=("weight", "size"), neurons=("dst", "max"), **{s: (s, "first") for s in SETTINGS}
-        ).reset_index()
-        models = models.merge(places, how="left", on=self.series).fillna({"start": 0, "length": 0})
-        done = history.groupby(ids)["rows"].sum().rename("done").reset_index()
-        models = models.merge(done, how="left", on=ids).fillna({"done": 0})
+        numbers = np.zeros(len(rows), dtype=np.int64) if self.whole else rows[ROW_NUMBER].to_numpy(dtype=np.int64)
+        places = rows[self.series].assign(start=np.arange(len(rows)), number=numbers)
+        places = places.groupby(self.series, sort=False, dropna=False).agg(
+            start=("start", "min"), length=("start", "size"), number=("number", "min")
+        ).reset_index().astype({c: rows[c].dtype for c in self.series})
+
+        weights = state.sort_values([*ids, "layer", "dst", "src"])
+        models = weights.groupby(ids, sort=False, dropna=False).agg(
+            size=("weight", "size"), neurons=("dst", "max"), done=("rows", "first"), **{s: (s, "first") for s in SETTINGS}
+        ).reset_index().astype({c: state[c].dtype for c in self.series})
+        models = models.merge(places, how="left", on=self.series).fillna({"start": 0, "length": 0, "number": 0})
 
         # Models of one shape are trained together.
         weights = weights.merge(models[[*ids, "size", "neurons", "epochs"]], on=ids, suffixes=("", "_"))
-        results = [history]
+        results = []
         for shape, fleet_models in models.groupby(["size", "neurons", "epochs"], sort=True):
             member = (weights["size"] == shape[0]) & (weights["neurons"] == shape[1]) & (weights["epochs"] == shape[2])
             results += self._train(fleet_models, weights[member], x, y, ids)
-        table = pd.concat([r for r in results if len(r)], ignore_index=True)[list(state.columns)]
-        if not self.whole:
-            table = _sum_epochs(table, ids)
-        return table
+        return pd.concat([r for r in results if len(r)], ignore_index=True)[list(state.columns)]
 
     def _train(self, models: pd.DataFrame, weights: pd.DataFrame, x, y, ids: list[str]) -> list[pd.DataFrame]:
         size, neurons, epochs = (int(models[c].iloc[0]) for c in ("size", "neurons", "epochs"))
@@ -190,10 +213,11 @@ class _Task:
         shaped = weights[["weight", "step"]].to_numpy().reshape(len(models), size, 2)[rank]
         fleet = _Fleet(lanes, shaped[:, :, 0], shaped[:, :, 1], neurons, self.perceptron)
 
-        curves, traces = [], []
+        curves, traces, scores = [], [], []
         numbers = range(epochs) if self.whole else [self.epoch] if self.epoch < epochs else []
         for number in numbers:
-            sse, hits, traced = fleet.advance(x, y, self.trace_every)
+            sse, hits, traced, scored = fleet.advance(x, y, self.trace_every, self.keep_scores and number == epochs - 1)
+            scores += scored
             curves.append(
                 lanes[[*ids, *SETTINGS]].assign(
                     kind=EPOCH, layer="", src=0, dst=0, weight=0.0, step=0.0, epoch=number + 1, sse=sse, hits=hits,
@@ -204,8 +228,10 @@ class _Task:
         trained = np.stack([fleet.weights(), fleet.steps()], axis=2)
         back = np.empty_like(trained)
         back[rank] = trained
-        done = weights.assign(weight=back[:, :, 0].ravel(), step=back[:, :, 1].ravel())
-        return [done, *curves, *(_trace_rows(lanes, ids, *t) for t in traces)]
+        made = np.empty(len(models), dtype=np.int64)
+        made[rank] = fleet.done
+        done = weights.assign(weight=back[:, :, 0].ravel(), step=back[:, :, 1].ravel(), rows=np.repeat(made, size))
+        return [done, *curves, *(_trace_rows(lanes, ids, *t) for t in traces), *(_score_rows(lanes, ids, *t) for t in scores)]
 
 
 def _trace_rows(models: pd.DataFrame, ids: list[str], lanes: np.ndarray, step: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
@@ -218,14 +244,11 @@ def _trace_rows(models: pd.DataFrame, ids: list[str], lanes: np.ndarray, step: n
     )
 
 
-def _sum_epochs(table: pd.DataFrame, ids: list[str]) -> pd.DataFrame:
-    """Merge what the slices of one epoch have contributed to its curve."""
-    is_epoch = table["kind"] == EPOCH
-    sums = {"sse", "hits", "rows"}
-    merged = table[is_epoch].groupby([*ids, "epoch"], as_index=False, sort=False).agg(
-        {c: "sum" if c in sums else "first" for c in table.columns if c not in (*ids, "epoch")}
+def _score_rows(models: pd.DataFrame, ids: list[str], number: np.ndarray, p: np.ndarray, difference: np.ndarray) -> pd.DataFrame:
+    """One row per model that had a row at this position: its number, score and residual."""
+    return models.iloc[: len(p)][[*ids, *SETTINGS]].assign(
+        kind=SCORE, layer="", src=0, dst=0, weight=p, step=difference, epoch=0, sse=0.0, hits=0, rows=number
     )
-    return pd.concat([table[~is_epoch], merged], ignore_index=True)[list(table.columns)]
 
 
 class _Fleet:
@@ -235,6 +258,7 @@ class _Fleet:
         self.start = lanes["start"].to_numpy(dtype=np.int64)
         self.length = lanes["length"].to_numpy(dtype=np.int64)
         self.done = lanes["done"].to_numpy(dtype=np.int64)
+        self.number = np.maximum(lanes["number"].to_numpy(dtype=np.int64), 1)
         self.eta = lanes["eta"].to_numpy(dtype=float)
         self.momentum = lanes["momentum"].to_numpy(dtype=float)
         self.neurons = neurons
@@ -253,10 +277,10 @@ class _Fleet:
     def steps(self) -> np.ndarray:
         return self._flat(self.hidden_step, self.output_step)
 
-    def advance(self, x: np.ndarray, y: np.ndarray, trace_every: int | None):
+    def advance(self, x: np.ndarray, y: np.ndarray, trace_every: int | None, keep_scores: bool = False):
         """One pass over the rows of every model."""
         count = len(self.start)
-        sse, hits, traced = np.zeros(count), np.zeros(count, dtype=np.int64), []
+        sse, hits, traced, scored = np.zeros(count), np.zeros(count, dtype=np.int64), [], []
         longest = int(self.length[0]) if count else 0
         active = count - np.searchsorted(self.length[::-1], np.arange(longest), side="right")
         update = self._two_layer if self.neurons else self._one_layer
@@ -271,8 +295,10 @@ class _Fleet:
                 p = update(m, x[at], target)
                 sse[:m] += 0.5 * (target - p) ** 2
                 hits[:m] += (p >= 0.5) == (target >= 0.5)
+                if keep_scores:
+                    scored.append((self.number[:m] + position, p, target - p))
         self.done = self.done + self.length
-        return sse, hits, traced
+        return sse, hits, traced, scored
 
     def _one_layer(self, m: int, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         w = self.output[:m]

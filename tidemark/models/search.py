@@ -24,6 +24,12 @@ def trials_of(models: DataFrame, trials: int) -> DataFrame:
     return models.withColumn("model_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trials).cast("long"))))
 
 
+def _batches(panel: Panel, models: int) -> int:
+    """Tasks to spread the models of one series over: none when there are series enough for all cores."""
+    cores = panel.df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(models, -(-2 * cores // max(1, panel.stats.series))))
+
+
 def restart_search(
     panel: Panel,
     features: list[str],
@@ -37,18 +43,18 @@ def restart_search(
     sd: float = 1.0,
     seed: int = 0,
     init: DataFrame | None = None,
-    batches: int = 8,
+    batches: int | None = None,
 ) -> tuple[DataFrame, Fit]:
     """Train every series from many random weights for a few epochs; returns the best trials and all fits.
 
     The rows go to ``batches`` tasks per series and the restarts are shared out among them, so the rows are copied
-    that many times, not once per restart.
+    that many times, not once per restart. By default there are as many as the cores need; one if there are many series.
     """
     if init is None:
         models = trials_of(panel.df.select(*panel.series).distinct(), trials)
         init = random_init(models, len(features), neurons, sd, seed)
     fit = fit_online(
-        panel, features, label, init, eta=eta, momentum=momentum, epochs=epochs, batches=min(batches, trials)
+        panel, features, label, init, eta=eta, momentum=momentum, epochs=epochs, batches=batches or _batches(panel, trials)
     ).pinned()
     return best_trial(fit.curve, panel.series), fit
 
@@ -59,7 +65,7 @@ def param_grid(spark: SparkSession, neurons: list[int], epochs: list[int], momen
     return spark.createDataFrame(rows, "model_id long, neurons int, epochs int, momentum double, eta double")
 
 
-def grid_search(panel: Panel, features: list[str], label: str, grid: DataFrame, weight=None, sd: float = 1.0, seed: int = 0, batches: int = 8) -> Fit:
+def grid_search(panel: Panel, features: list[str], label: str, grid: DataFrame, weight=None, sd: float = 1.0, seed: int = 0, batches: int | None = None) -> Fit:
     """Fit every setting of a (small, driver-made) grid on every series.
 
     ``weight`` gives starting weights as an expression over ``layer``, ``src``, ``dst``; default are random ones.
@@ -78,7 +84,7 @@ def grid_search(panel: Panel, features: list[str], label: str, grid: DataFrame,
         else:
             part = weight_rows(models, len(features), size, weight)
         init = part if init is None else init.unionByName(part)
-    return fit_online(panel, features, label, init, eta=None, momentum=None, epochs=None, batches=min(batches, len(settings)))
+    return fit_online(panel, features, label, init, eta=None, momentum=None, epochs=None, batches=batches or _batches(panel, len(settings)))
 
 
 def staged_fit(

@@ -33,6 +33,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``shared_path`` named, when nothing will read it again."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "tidemark") -> SparkSession:
     """Session for tests and the bench. A cluster brings its own settings."""
     spark = (
