@@ -21,49 +21,35 @@ UNITS = (
 ).split()
 
 
-def prepared(df: DataFrame, text: str) -> DataFrame:
-    """Adds `_raw`, `_form` and `_plain`, arrays of the same length: the words, lower-cased, and the words with slots.
+def prepared(df: DataFrame, text: str, plain: bool = False) -> DataFrame:
+    """Adds `_raw` and `_form`, arrays of the same length: the words, lower-cased, and the words with slots.
 
     Words are runs of letters and digits, cut where a letter follows a digit. A word that starts with a digit becomes `<num>`, a unit
-    after a number `<unit>`; in `_form`, but not in `_plain`, any other word that starts with a capital and a small letter is `<name>`.
-    A null or empty text has no words.
+    after a number `<unit>`, any other word that starts with a capital and a small letter `<name>`. `plain` adds `_plain`, without
+    names. A null or empty text has no words.
     """
     df = df.withColumn("_text", F.trim(F.regexp_replace(whole(text), r"[^\p{L}\p{N}]+", " ")))
     t = F.col("_text")
     df = df.withColumn("_text", F.when(F.rlike(t, F.lit(r"\p{N}\p{L}")), F.regexp_replace(t, r"(?<=\p{N})(?=\p{L})", " ")).otherwise(t))
-    df = df.withColumn("_marked", F.regexp_replace(t, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*+", "<name>"))
+    df = df.withColumn("_marked", F.regexp_replace(t, r"(^| )\p{Lu}\p{Ll}[^ ]*+", "$1<name>"))
     none = F.array().cast("array<string>")
 
     def words(name: str, slots: bool = True) -> Column:
         c = F.col(name)
-        numbers = F.regexp_replace(c, r"(?<![^ ])\p{N}[^ ]*+", "<num>")
+        numbers = F.regexp_replace(c, r"(^| )\p{N}[^ ]*+", "$1<num>")
         units = F.regexp_replace(numbers, rf"(?i)(?<=<num> )(?:{'|'.join(UNITS)})(?![^ ])", "<unit>")
         slotted = F.when(F.rlike(c, F.lit(r"\p{N}")), units).otherwise(c) if slots else c
         return F.when(t == "", none).otherwise(F.split(F.lower(slotted), " "))
 
-    return df.withColumns({"_raw": words("_text", False), "_form": words("_marked"), "_plain": words("_text")}).drop("_text", "_marked")
+    forms = {"_raw": words("_text", False), "_form": words("_marked")} | ({"_plain": words("_text")} if plain else {})
+    return df.withColumns(forms).drop("_text", "_marked")
 
 
-def _windows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each window with enough words outside slots; two if it has a name: as a slot, and as a word.
-
-    The second finds texts whose case was changed throughout. `words` tells which array the window was taken from.
-    """
-    n = F.size("_form")
-    codes = F.explode(F.sequence(F.lit(0), 2 * (n - WINDOW) + 1)).alias("code")
-    each = df.filter(n >= WINDOW).select(*columns, "_raw", "_form", "_plain", codes)
-    at, plain = F.shiftright("code", 1), F.col("code").bitwiseAND(F.lit(1)) == 1
-    named = [F.get("_form", at + k) == "<name>" for k in range(WINDOW)]
-    has_name = named[0]
-    for x in named[1:]:
-        has_name = has_name | x
-    each = each.filter(~plain | has_name)
-    words = [F.get(F.when(plain, F.col("_plain")).otherwise(F.col("_form")), at + k) for k in range(WINDOW)]
-    literal = sum((F.when(F.substring(w, 1, 1) == "<", 0).otherwise(1) for w in words), F.lit(0))
-    return each.select(
-        *columns, at.alias("at"), "_raw", F.when(plain, F.col("_plain")).otherwise(F.col("_form")).alias("_form"),
-        F.xxhash64(*words).alias("hash"), literal.alias("literal"),
-    ).filter(F.col("literal") >= LITERALS)
+def _windows(df: DataFrame, columns: list[str], form: str = "_form") -> DataFrame:
+    """One row for each window: its place, its hash, and the words and templates of the whole text."""
+    n = F.size(form)
+    each = df.filter(n >= WINDOW).select(*columns, "_raw", F.col(form).alias("_form"), F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("at"))
+    return each.withColumn("hash", F.xxhash64(*(F.get(F.col("_form"), F.col("at") + k) for k in range(WINDOW))))
 
 
 def _cut(words: str) -> Column:
@@ -85,10 +71,13 @@ def contamination(
     the windows found as they are suffice and else `template`. Repeated rows count once; equal items with different ids are
     each reported; items that share an id are searched together. A null id stays null. Empty tables give no pairs.
     """
-    items = _windows(prepared(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "text"), ["item_id"])
+    items = prepared(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "text", plain=True)
+    # A window with a name is searched with the slot and with the word, for texts whose case was changed throughout.
+    items = _windows(items, ["item_id"]).unionByName(_windows(items, ["item_id"], "_plain"))
+    slots = F.transform(_cut("_form"), lambda w: F.substring(w, 1, 1) == "<")
     items = stored(
-        items.select("item_id", "hash", F.xxhash64("item_id", _cut("_raw")).alias("window"), _cut("_raw").alias("words"),
-                     F.transform(_cut("_form"), lambda w: F.substring(w, 1, 1) == "<").alias("slots")).distinct(),
+        items.select("item_id", "hash", F.xxhash64("item_id", _cut("_raw")).alias("window"), _cut("_raw").alias("words"), slots.alias("slots"))
+        .filter(F.size(F.filter("slots", lambda x: ~x)) >= LITERALS).distinct(),
         "benchmark",
     )
     totals = items.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
@@ -97,6 +86,7 @@ def contamination(
     )
     key = ["doc_id", "key1", "key2"]
     windows = _windows(prepared(keyed, "text").drop("text"), key)
+    # Equal hashes are equal templates, so the documents' windows need no count of words outside slots.
     right = items.withColumnRenamed("hash", "item_hash")
     if items.count() <= broadcast_limit:
         right = F.broadcast(right)
@@ -105,13 +95,12 @@ def contamination(
             x["words"].alias("item"), d.alias("value"), x["slots"].alias("slot"))), lambda x: x["slot"]),
         lambda x: F.struct(x["item"].alias("item"), x["value"].alias("value")))
     met = windows.join(right, F.col("hash") == F.col("item_hash")).select(*key, "item_id", "window", pairs.alias("pairs"))
-    hits = met.distinct()
+    hits = stored(met.distinct(), "hits")
     many = hits.groupBy(*key, "item_id").agg(F.countDistinct("window").alias("n"))
     same = F.col("item_id").eqNullSafe(F.col("_item"))
     wanted = many.join(totals.withColumnRenamed("item_id", "_item"), same).filter(F.col("n") >= F.lit(least) * F.col("n_windows"))
     wanted = wanted.select(*(F.col(k).alias(f"_{k}") for k in ("key1", "key2")), "_item", "n_windows")
     of_wanted = (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")) & same
-    hits = stored(hits, "hits")
     hits = stored(hits.join(wanted, of_wanted).drop("_key1", "_key2", "_item"), "wanted")
 
     group = ["key1", "key2", "item_id"]
