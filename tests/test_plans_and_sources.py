@@ -93,15 +93,18 @@ def test_train_score_report(spark):
         stages=({"epochs": 3, "momentum": 0.7}, {"epochs": 2, "momentum": 0.0}),
     )
     assert weights.count() == 2 * (14 * 2 + 3)
-    assert {(r["s"], r["step"]) for r in curve.collect()} == {(s, i) for s in "ab" for i in range(1, 6)}
+    # Two epochs of the search winner, then the stages.
+    assert {(r["s"], r["step"], r["stage"]) for r in curve.collect()} == {
+        (s, i, 1 if i < 3 else 2 if i < 6 else 3) for s in "ab" for i in range(1, 8)}
     rows = scored.df.join(prices, ["s", "t"])
     report = evaluate.evaluation_report(scored.replace(rows))
     n = report.rows.count()
     assert n == (94 - 28) + (64 - 19)
     assert report.calibration.agg(F.sum("total")).first()[0] == n
     assert report.conditional_returns.agg(F.sum("n")).first()[0] == n
-    for part in (report.residuals, report.absolute_residuals, report.squared_errors, report.scores):
+    for part in (report.residuals, report.absolute_residuals, report.squared_errors, report.scores, report.returns, report.returns_by_regime):
         assert part.agg(F.sum("n")).first()[0] == n
+    assert report.hits_by_year is None and report.summary.first()["n"] == n
 
 
 def test_read_files(spark, tmp_path):
@@ -130,9 +133,16 @@ def test_scoring_a_stream(spark, tmp_path):
     schema = T.StructType().add("k", "long").add("x_0", "double").add("x_1", "double")
     rows = spark.range(20).select(F.col("id").alias("k"), F.lit(1.0).alias("x_0"), (F.col("id") / 10).alias("x_1"))
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
-    score_files(spark, f"{tmp_path}/in", schema, ["x_0", "x_1"], net, f"{tmp_path}/out").awaitTermination(60)
-    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert streamed == sorted(tuple(r) for r in score(rows, ["x_0", "x_1"], net).collect())
+    places = (f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    for start in (0, 100):
+        # The second call scores what came since the first.
+        more = rows.withColumn("k", F.col("k") + start)
+        if start:
+            more.repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        score_files(spark, f"{tmp_path}/in", schema, ["x_0", "x_1"], net, *places).awaitTermination(60)
+        wanted = score(spark.read.schema(schema).parquet(f"{tmp_path}/in"), ["x_0", "x_1"], net)
+        assert sorted(map(tuple, spark.read.parquet(places[0]).collect())) == sorted(map(tuple, wanted.collect()))
+        assert wanted.count() == (40 if start else 20)
 
 
 def test_cluster_needs_a_shared_folder(spark, monkeypatch):

@@ -9,17 +9,19 @@ per weight, Spark adds those up, and only the sums reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.models.scoring import MAX_LITERAL_WEIGHTS
 from tidemark.models.weights import HIDDEN, OUTPUT, connections
 
 GRADIENT_SCHEMA = "model_id string, layer string, src int, dst int, gradient double"
 LOSS = "loss"
+#: Weights of the models whose gradients one pass over the rows computes.
+WEIGHTS_PER_PASS = 100_000
 
 
 def _arrays(weights: pd.DataFrame, inputs: int) -> dict[str, tuple[np.ndarray | None, np.ndarray]]:
@@ -71,18 +73,29 @@ def _partial_gradients(nets: dict, features: list[str], label: str):
 def batch_gradient(df: DataFrame, features: list[str], label: str, weights: DataFrame | pd.DataFrame) -> DataFrame:
     """Gradient of half the squared error over all rows, for every model of ``weights``, plus a ``loss`` row each.
 
-    The weights of all models together must be few enough to send along with the tasks.
+    Weights go along with the tasks, for as many models in one pass over the rows as have ``WEIGHTS_PER_PASS`` weights together;
+    more models take more passes. Rows with a NULL or NaN feature or label are left out.
     """
-    table = weights if isinstance(weights, pd.DataFrame) else _few(weights)
+    table = weights if isinstance(weights, pd.DataFrame) else _collected(weights)
     nets = _arrays(table, len(features))
-    partial = df.select(*features, label).mapInPandas(_partial_gradients(nets, features, label), GRADIENT_SCHEMA)
+    rows = df.select(*features, label).na.drop()
+    passes: list[dict] = [{}]
+    held = 0
+    for model, net in nets.items():
+        size = sum(w.size for w in net if w is not None)
+        if passes[-1] and held + size > WEIGHTS_PER_PASS:
+            passes.append({})
+            held = 0
+        passes[-1][model] = net
+        held += size
+    parts = [rows.mapInPandas(_partial_gradients(some, features, label), GRADIENT_SCHEMA) for some in passes]
+    partial = reduce(DataFrame.unionByName, parts)
     return partial.groupBy("model_id", "layer", "src", "dst").agg(F.sum("gradient").alias("gradient"))
 
 
-def _few(weights: DataFrame) -> pd.DataFrame:
-    table = weights.select("model_id", "layer", "src", "dst", "weight").limit(MAX_LITERAL_WEIGHTS + 1).toPandas()
-    if len(table) > MAX_LITERAL_WEIGHTS:
-        raise ValueError(f"batch models may have {MAX_LITERAL_WEIGHTS} weights together; fit fewer at a time")
+def _collected(weights: DataFrame) -> pd.DataFrame:
+    """The weights on the driver: they are parameters, however many rows there are to learn from."""
+    table = weights.select("model_id", "layer", "src", "dst", "weight").toPandas()
     return table.assign(model_id=table["model_id"].astype(str))
 
 
@@ -100,9 +113,10 @@ def fit_batch(
     """Descend for ``epochs`` jobs; returns weights and loss curve, both of parameter size, on the driver.
 
     ``mean`` divides the gradient by the number of rows, so that ``eta`` does not depend on how many there are.
-    Persist ``df`` in the caller's preferred way: it is read once per epoch.
+    The rows are read once per epoch, so their features are kept in the executors' memory and disk while the fit runs.
     """
-    weights = _few(init)
+    weights = _collected(init)
+    df = df.select(*features, label).na.drop().persist()
     keys = ["model_id", "layer", "src", "dst"]
     scale = float(df.count()) if mean else 1.0
     weights["step"] = 0.0
@@ -114,4 +128,5 @@ def fit_batch(
         weights = weights.merge(sums[~is_loss], on=keys, validate="one_to_one")
         weights["step"] = eta * weights.pop("gradient") / scale + momentum * weights["step"]
         weights["weight"] -= weights["step"]
+    df.unpersist()
     return weights[[*keys, "weight"]], pd.concat(curve, ignore_index=True) if curve else pd.DataFrame(columns=["model_id", "sse", "epoch"])

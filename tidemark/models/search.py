@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,14 @@ def trials_of(models: DataFrame, trials: int) -> DataFrame:
     return models.withColumn("model_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trials).cast("long"))))
 
 
+def of_best(df: DataFrame, best: DataFrame, series: list[str]) -> DataFrame:
+    """The rows of the best trial of each series; a NULL series is one."""
+    keys = [*series, "model_id"]
+    names = {c: f"__{i}" for i, c in enumerate(keys)}
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    return df.join(best.select(*(F.col(c).alias(n) for c, n in names.items())), same, "left_semi")
+
+
 def _batches(panel: Panel, models: int) -> int:
     """Tasks to spread the models of one series over: none when there are series enough for all cores."""
     cores = panel.df.sparkSession.sparkContext.defaultParallelism
@@ -88,16 +98,19 @@ def grid_search(panel: Panel, features: list[str], label: str, grid: DataFrame,
 
 
 def staged_fit(
-    panel: Panel, features: list[str], label: str, init: DataFrame, stages: list[dict], batches: int = 1
+    panel: Panel, features: list[str], label: str, init: DataFrame, stages: list[dict], batches: int = 1,
+    before: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Train in stages, each starting from the weights of the one before; returns weights and the joined curve.
 
+    ``before`` is the curve that led to the start, for example that of a search; it becomes the first stage.
+
     ``stages`` holds keyword arguments of ``fit_online``, for example 5000 epochs with momentum 0.7 and then 5000
     without. Momentum starts at zero in every stage.
     """
-    curves = []
+    curves = [] if before is None else [before.withColumn("stage", F.lit(1))]
     weights = init
-    for number, stage in enumerate(stages, start=1):
+    for number, stage in enumerate(stages, start=len(curves) + 1):
         fit = fit_online(panel, features, label, weights, batches=batches, **stage).pinned()
         weights = fit.weights
         curves.append(fit.curve.withColumn("stage", F.lit(number)))

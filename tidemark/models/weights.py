@@ -31,15 +31,15 @@ def weight_rows(models: DataFrame, inputs: int, neurons: int, weight: Column) ->
 
 
 def random_init(models: DataFrame, inputs: int, neurons: int, sd: float = 1.0, seed: int = 0) -> DataFrame:
-    """Normal weights that depend only on the seed and the connection, not on how rows are partitioned.
+    """Normal weights that depend only on the seed, the model and the connection, not on how rows are partitioned.
 
-    Two hashes of the connection give two uniform numbers, and those a normal one (Box and Muller).
+    Digits of two md5 hashes give two uniform numbers, and those a normal one (Box and Muller). Any engine can repeat them.
     """
-    identity = [F.col(c).cast("string") for c in models.columns] + [F.col(c) for c in CONNECTION]
+    identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*models.columns, *CONNECTION]]
 
     def uniform(stream: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), *identity), 11)
-        return (bits.cast("double") + 1.0) / float(2**53)
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(stream)), *identity)), 1, 13)
+        return (F.conv(digits, 16, 10).cast("double") + 1.0) / float(2**52)
 
     normal = F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2))
     return weight_rows(models, inputs, neurons, normal * sd)

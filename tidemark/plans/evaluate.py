@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.rolling import forward_change, pct_change
 from tidemark.models.scoring import score_by_key
-from tidemark.models.search import restart_search, staged_fit
-from tidemark.operators.evaluation import calibration, conditional_return, with_errors
+from tidemark.models.search import of_best, restart_search, staged_fit
+from tidemark.operators.evaluation import accuracy_tstat, agg_sse, calibration, conditional_return, hits_by_year, with_errors
 from tidemark.operators.running import cum_sum
-from tidemark.operators.selection import chrono_split
+from tidemark.operators.selection import chrono_split, regime
 from tidemark.operators.summaries import histogram
 from tidemark.panel import Panel
 from tidemark.session import shared_dir
@@ -31,22 +32,25 @@ def train_test_eval(
     eta: float = 0.1,
     momentum: float = 0.7,
     seed: int = 0,
+    init: DataFrame | None = None,
 ) -> tuple[Panel, DataFrame, DataFrame]:
     """Split each series by time, search restarts on the oldest part, refine the best one, score the rest.
 
-    Returns the scored held-out rows (``p``, ``y``), the weights and the error curve. The split rows are stored once,
-    because training reads them in several jobs.
+    Returns the scored held-out rows (``p``, ``y``), the weights and the error curve of all stages, that of the search's winner
+    first. ``init`` gives the starts of the search instead of random ones. The split rows are stored once, because training reads
+    them in several jobs.
     """
     shared_dir(design.df.sparkSession)
     split = chrono_split(design, {"train": train_share})
     split = split.replace(split.df.select(*split.keys, *features, label, "split").checkpoint())
-    train = split.replace(split.df.filter("split = 'train'").drop("split"), same_rows=False)
+    train = split.subset(split.df.filter("split = 'train'").drop("split"))
     best, search = restart_search(
-        train, features, label, trials=trials, neurons=neurons, epochs=search_epochs, eta=eta, momentum=momentum, seed=seed
+        train, features, label, trials=trials, neurons=neurons, epochs=search_epochs, eta=eta, momentum=momentum, seed=seed,
+        init=init,
     )
-    start = search.weights.join(best.select(*train.series, "model_id"), [*train.series, "model_id"])
-    weights, curve = staged_fit(train, features, label, start, [{"eta": eta, **stage} for stage in stages])
-    held_out = split.replace(split.df.filter("split = 'test'").drop("split"), same_rows=False)
+    start, searched = (of_best(x, best, train.series) for x in (search.weights, search.curve))
+    weights, curve = staged_fit(train, features, label, start, [{"eta": eta, **stage} for stage in stages], before=searched)
+    held_out = split.subset(split.df.filter("split = 'test'").drop("split"))
     scored = score_by_key(
         held_out.df, features, weights, split.series, neurons, models=design.stats.series
     )
@@ -55,6 +59,9 @@ def train_test_eval(
 
 @dataclass(frozen=True)
 class Report:
+    """Rows with errors; histograms of errors, scores and returns (all, and by regime); calibration; returns by regime; hits by year
+    (none if time isn't a date); and one row of ``n``, ``hit_rate``, ``t_stat`` and ``sse``."""
+
     rows: DataFrame
     residuals: DataFrame
     absolute_residuals: DataFrame
@@ -62,6 +69,10 @@ class Report:
     scores: DataFrame
     calibration: DataFrame
     conditional_returns: DataFrame
+    returns: DataFrame
+    returns_by_regime: DataFrame
+    hits_by_year: DataFrame | None
+    summary: DataFrame
 
 
 def with_returns(panel: Panel, x: str, horizon: str = "backward", name: str = "change") -> Panel:
@@ -81,11 +92,15 @@ def error_series(scored: Panel) -> Panel:
     return cum_sum(panel, {"cum_d": "d", "cum_abs_d": F.abs("d"), "cum_hits": F.col("hit").cast("double")})
 
 
-def evaluation_report(scored: Panel, returns: str = "change", threshold: float = 0.8, bins: int = 20) -> Report:
+def evaluation_report(
+    scored: Panel, returns: str = "change", threshold: float = 0.8, bins: int = 20, return_bins: int = 100, regime_bins: int = 8
+) -> Report:
     """Everything the evaluation shows. The rows are stored once, since every table below reads them."""
     shared_dir(scored.df.sparkSession)
     rows = error_series(scored).df.checkpoint()
     absolute = rows.withColumn("abs_d", F.abs("d"))
+    by_regime = rows.withColumn("regime", regime("p", threshold)).filter("regime IS NOT NULL")
+    dated = isinstance(rows.schema[scored.ts].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
     return Report(
         rows,
         histogram(rows, "d", bins),
@@ -94,4 +109,8 @@ def evaluation_report(scored: Panel, returns: str = "change", threshold: float =
         histogram(rows, "p", bins),
         calibration(rows, bins=bins),
         conditional_return(rows, "p", returns, threshold),
+        histogram(rows, returns, return_bins),
+        histogram(by_regime, returns, regime_bins, ["regime"]),
+        hits_by_year(rows, scored.ts) if dated else None,
+        accuracy_tstat(rows).withColumn("sse", agg_sse(rows).scalar()),
     )

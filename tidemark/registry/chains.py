@@ -100,36 +100,134 @@ def error_series(spark, sf):
     return out(df, EV_KEYS, ["d", "half_sq", "change", "cum_d", "cum_abs_d", "cum_hits"])
 
 
-def _part(name: str, v: str) -> str:
-    return f"""SELECT '{name}' AS part, cast(greatest(1, ceil((v - lo) * 20 / (hi - lo))) AS varchar) AS cell, count(*) AS n
-  FROM (SELECT {v} AS v, min({v}) OVER () AS lo, max({v}) OVER () AS hi FROM scored) GROUP BY ALL"""
+REPORT_PARTS = {
+    "residuals": ("y - p", 20), "absolute_residuals": ("abs(y - p)", 20), "squared_errors": ("0.5e0 * (y - p) * (y - p)", 20),
+    "scores": ("p", 20), "returns": ("change", 100), "returns_by_regime": ("change", 8),
+}
+
+
+def _histogram(part: str, v: str, bins: int) -> str:
+    group = REGIME if part == "returns_by_regime" else "''"
+    return f"""SELECT '{part}' AS part, b.grp AS grp, cast(b.bin AS varchar) AS cell, cast(coalesce(n, 0) AS bigint) AS n,
+    {q6('coalesce(n, 0) / nullif(total * width, 0)', 'value')}
+  FROM (SELECT *, (hi - lo) / {bins} AS width FROM (SELECT {group} AS grp, min({v}) AS lo, max({v}) AS hi, count({v}) AS total FROM scored GROUP BY 1)
+        CROSS JOIN generate_series(1, {bins}) AS s(bin)) b
+  LEFT JOIN (SELECT grp, least({bins}, greatest(1, coalesce(ceil((v - lo) * {bins} / nullif(hi - lo, 0)), 1)))::bigint AS bin, count(*) AS n
+             FROM (SELECT {group} AS grp, {v} AS v, min({v}) OVER (PARTITION BY {group}) AS lo, max({v}) OVER (PARTITION BY {group}) AS hi FROM scored)
+             WHERE v IS NOT NULL GROUP BY ALL) c ON c.grp = b.grp AND c.bin = b.bin"""
+
+
+_HIT = "cast((p >= 0.5) = (y >= 0.5) AS double)"
+_SUMMARY = {
+    "hit_rate": f"avg({_HIT})", "t_stat": f"(avg({_HIT}) - 0.5e0) * sqrt(count(*)) / nullif(stddev_samp({_HIT}), 0)",
+    "sse": "sum(0.5e0 * (y - p) * (y - p)) / 1000e0",
+}
+REPORT_SQL = f"WITH {SCORED} " + " UNION ALL ".join(
+    [_histogram(part, *of) for part, of in REPORT_PARTS.items()]
+    + [f"""SELECT 'calibration', '', cast(g.bin AS varchar), cast(coalesce(total, 0) AS bigint), {q6('occurences / nullif(total, 0)', 'value')}
+  FROM generate_series(1, 20) AS g(bin) LEFT JOIN (SELECT greatest(1, ceil(p * 20)) AS bin, sum(y) AS occurences, count(*) AS total FROM scored GROUP BY 1) c
+    ON c.bin = g.bin""",
+       f"SELECT 'conditional_returns', {REGIME}, '', count(*), {q6('avg(change)', 'value')} FROM scored WHERE change IS NOT NULL GROUP BY ALL",
+       f"SELECT 'hits_by_year', '', cast(cast(year(ts) AS bigint) AS varchar), count(*), {q6(f'avg({_HIT})', 'value')} FROM scored GROUP BY ALL"]
+    + [f"SELECT 'summary', '', '{name}', count(*), {q6(v, 'value')} FROM scored" for name, v in _SUMMARY.items()]
+)
+
+
+@register("evaluation_report", REPORT_SQL)
+def evaluation_report(spark, sf):
+    """Every value of the report's tables, one row for each."""
+    report = evaluate.evaluation_report(scored_events(spark, sf))
 
+    def rows(part: str, df: DataFrame, cell, n, value, group=None) -> DataFrame:
+        return df.select(
+            F.lit(part).alias("part"), F.lit("").alias("grp") if group is None else F.col(group).alias("grp"),
+            F.lit("").alias("cell") if cell is None else F.col(cell).cast("string").alias("cell"),
+            F.col(n).cast("long").alias("n"), r6(value).alias("value"),
+        )
 
-PARTS = {"residuals": "y - p", "absolute_residuals": "abs(y - p)", "squared_errors": "0.5e0 * (y - p) * (y - p)", "scores": "p"}
+    tables = [
+        rows(part, getattr(report, part), "bin", "n", "density", "regime" if part == "returns_by_regime" else None) for part in REPORT_PARTS
+    ]
+    tables.append(rows("calibration", report.calibration, "bin", "total", "probability"))
+    tables.append(rows("conditional_returns", report.conditional_returns, None, "n", "mean_return", "regime"))
+    tables.append(rows("hits_by_year", report.hits_by_year, "year", "n", "hit_rate"))
+    summary = report.summary.withColumn("sse", F.col("sse") / 1000.0)
+    tables += [rows("summary", summary.withColumn("name", F.lit(name)), "name", "n", name) for name in _SUMMARY]
+    return reduce(DataFrame.unionByName, tables)
 
 
-@register("evaluation_report", f"WITH {SCORED} " + " UNION ALL ".join(_part(n, v) for n, v in PARTS.items())
-          + f" UNION ALL SELECT 'calibration', cast(greatest(1, ceil(p * 20)) AS varchar), count(*) FROM scored GROUP BY ALL"
-          + f" UNION ALL SELECT 'conditional_returns', {REGIME}, count(*) FROM scored WHERE change IS NOT NULL GROUP BY ALL")
-def evaluation_report(spark, sf):
-    """How many rows each cell of the report's tables stands for."""
-    report = evaluate.evaluation_report(scored_events(spark, sf))
-    tables: list[DataFrame] = [
-        getattr(report, part).filter("n > 0").select(F.lit(part).alias("part"), F.col("bin").cast("double").cast("string").alias("cell"), "n")
-        for part in PARTS
-    ]
-    tables.append(report.calibration.filter("total > 0").select(F.lit("calibration"), F.col("bin").cast("double").cast("string"), "total"))
-    tables.append(report.conditional_returns.select(F.lit("conditional_returns"), "regime", "n"))
-    return reduce(DataFrame.union, tables).select("part", "cell", F.col("n").cast("long").alias("n"))
+# -- split, search, two stages, score ----------------------------------------------------------
+
+TRIALS, NEURONS, SEARCH_EPOCHS = 3, 2, 2
+STAGES = ({"epochs": 2, "momentum": 0.7}, {"epochs": 1, "momentum": 0.0})
+
+
+def _chain_sql() -> str:
+    from tidemark.registry import fits
+
+    lanes = fits.lanes_sql(TRIALS, NEURONS, fits.WEIGHT_SQL, fits.SETTINGS.format(mu="0.7e0", epochs=SEARCH_EPOCHS), "train")
+    best = (f"best AS (SELECT user_id, model_id FROM {fits.curve_sql('f')} WHERE epoch = {SEARCH_EPOCHS} "
+            "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY success DESC, model_id) = 1)")
+    second = f"second AS (SELECT * REPLACE (0.7e0 AS mu, 2 AS epochs) FROM {fits.final_sql('f')} JOIN best USING (user_id, model_id))"
+    third = f"third AS (SELECT * REPLACE (0e0 AS mu, 1 AS epochs) FROM {fits.final_sql('g')})"
+    replay = [fits.replay_sql(name, start, NEURONS, rows="train") for name, start in (("f", "lanes"), ("g", "second"), ("h", "third"))]
+    return f"""WITH RECURSIVE {fits.DESIGN}, parts AS (SELECT *, pos <= round_even(len * 0.3::double, 0) AS old FROM rows),
+  train AS (SELECT * REPLACE (count(*) OVER (PARTITION BY user_id) AS len) FROM parts WHERE old), {lanes}, {replay[0]}, {best}, {second}, {replay[1]}, {third}, {replay[2]}"""
+
+
+def _chain_scores_sql() -> str:
+    from tidemark.registry import fits
+
+    cells = fits.columns_of(NEURONS)
+    total = f"h.{cells[fits.OUTPUT, 0, 0]} + " + " + ".join(
+        f"h.{cells[fits.OUTPUT, n, 0]} * " + fits.sigmoid_sql(" + ".join(f"r.{f} * h.{cells[fits.HIDDEN, j, n]}" for j, f in enumerate(FEATURES)))
+        for n in range(1, NEURONS + 1)
+    )
+    return (f"{_chain_sql()} SELECT r.user_id, r.event_id, {q6(fits.sigmoid_sql(total), 'p')}, {q6('r.y', 'y')} "
+            f"FROM parts r JOIN {fits.final_sql('h')} h USING (user_id) WHERE NOT r.old")
+
 
+def _chain(spark, sf):
+    from tidemark.registry import fits
 
-@register("train_test_eval")
+    panel = fits.design_events(spark, sf)
+    return evaluate.train_test_eval(
+        panel, FEATURES, "y", trials=TRIALS, neurons=NEURONS, search_epochs=SEARCH_EPOCHS, stages=STAGES,
+        init=fits.start(panel, TRIALS, NEURONS),
+    )
+
+
+@register("train_test_eval", _chain_scores_sql())
 def train_test_eval(spark, sf):
-    """Restarts and two stages on the first 30 % of every user's rows, scores on the rest. Random starts: no SQL."""
-    from tidemark.registry.inputs import design_events
+    """Restarts and two stages on the first 30 % of every user's rows, scores on the rest."""
+    return out(_chain(spark, sf)[0].df, EV_KEYS, ["p", "y"])
+
+
+def _chain_weights_sql() -> str:
+    from tidemark.registry import fits
+
+    return f"{_chain_sql()} {fits.weights_sql('h', NEURONS)}"
+
 
-    scored, _, _ = evaluate.train_test_eval(
-        design_events(spark, sf), FEATURES, "y", trials=4, neurons=3, search_epochs=3,
-        stages=({"epochs": 5, "momentum": 0.7}, {"epochs": 5, "momentum": 0.0}),
+@register("train_test_weights", _chain_weights_sql())
+def train_test_weights(spark, sf):
+    from tidemark.registry import fits
+
+    return fits.weights_out(_chain(spark, sf)[1])
+
+
+def _chain_curve_sql() -> str:
+    from tidemark.registry import fits
+
+    stages = " UNION ALL ".join(
+        f"SELECT c.*, {i}::bigint AS stage, {skip} + epoch AS step FROM {fits.curve_sql(name)} c JOIN best USING (user_id, model_id)"
+        for i, name, skip in ((1, "f", 0), (2, "g", SEARCH_EPOCHS), (3, "h", SEARCH_EPOCHS + 2))
     )
-    return out(scored.df, EV_KEYS, ["p", "y"])
+    return (f"{_chain_sql()} SELECT user_id, model_id, epoch, stage, step::bigint AS step, {q6('sse', 'sse')}, {q6('success', 'success')} FROM ({stages})")
+
+
+@register("train_test_curve", _chain_curve_sql())
+def train_test_curve(spark, sf):
+    from tidemark.registry import fits
+
+    return fits.curve_out(_chain(spark, sf)[2].withColumn("stage", F.col("stage").cast("long")), "stage", "step")

@@ -22,16 +22,16 @@ def columns_of(neurons: int) -> dict[tuple[str, int, int], str]:
     return {c: f"{'h' if c[0] == HIDDEN else 'v'}_{c[1]}_{c[2]}" for c in connections(IN, neurons)}
 
 
-def lanes_sql(trials: int, neurons: int, weight: str, settings: str) -> str:
+def lanes_sql(trials: int, neurons: int, weight: str, settings: str, rows: str = "rows") -> str:
     """CTE ``lanes``: one row per user and trial; ``weight`` is an expression over {src}, {dst}, {hid} and ``model_id``."""
     cells = ", ".join(
         f"{weight.format(src=c[1], dst=c[2], hid=int(c[0] == HIDDEN))} AS {name}" for c, name in columns_of(neurons).items()
     )
-    return (f"lanes AS (SELECT user_id, model_id, {settings}, {cells} FROM (SELECT DISTINCT user_id FROM rows) "
+    return (f"lanes AS (SELECT user_id, model_id, {settings}, {cells} FROM (SELECT DISTINCT user_id FROM {rows}) "
             f"CROSS JOIN generate_series(1, {trials}) AS g(model_id))")
 
 
-def replay_sql(name: str, lanes: str, neurons: int, perceptron: bool = False) -> str:
+def replay_sql(name: str, lanes: str, neurons: int, perceptron: bool = False, rows: str = "rows") -> str:
     """CTE ``name``: the state after every update, with the residual and hit of the row just seen."""
     cells = columns_of(neurons)
     w = list(cells.values())
@@ -39,7 +39,7 @@ def replay_sql(name: str, lanes: str, neurons: int, perceptron: bool = False) ->
     state = ["user_id", "model_id", "eta", "mu", "epochs", *w, *(moves if neurons else [])]
     start = ", ".join(["user_id", "model_id", "eta", "mu", "epochs", *w, *([f"0e0 AS {m}" for m in moves] if neurons else [])])
     dot = lambda pick: " + ".join(f"{f} * {pick(j)}" for j, f in enumerate(FEATURES))
-    seen = (f"SELECT s.* EXCLUDE (len), r.y, r.len, {', '.join('r.' + f for f in FEATURES)} FROM {name} s JOIN rows r "
+    seen = (f"SELECT s.* EXCLUDE (len), r.y, r.len, {', '.join('r.' + f for f in FEATURES)} FROM {name} s JOIN {rows} r "
             f"ON r.user_id = s.user_id AND r.pos = s.step % r.len + 1 WHERE s.step < s.epochs * r.len")
     keep = "step + 1 AS step, len, y - p AS d, cast((p >= 0.5) = (y >= 0.5) AS double) AS hit"
     if not neurons:
@@ -213,11 +213,26 @@ def append_curves(spark, sf):
     return curve_out(curve.withColumn("stage", F.col("stage").cast("long")), "stage", "step")
 
 
-@register("random_init")
+INIT_NEURONS, INIT_SEED = 5, 7
+
+
+def _uniform_sql(stream: int) -> str:
+    key = f"concat_ws('|', '{INIT_SEED}', '{stream}', user_id::VARCHAR, model_id::VARCHAR, layer, src::VARCHAR, dst::VARCHAR)"
+    return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT)::DOUBLE + 1e0) / 4503599627370496e0"
+
+
+_CELLS = ", ".join(f"('{a}', {s}, {d})" for a, s, d in connections(IN, INIT_NEURONS))
+
+
+@register("random_init", f"""WITH {DESIGN}, models AS (
+  SELECT user_id, cast(model_id AS bigint) AS model_id FROM (SELECT DISTINCT user_id FROM rows) CROSS JOIN generate_series(1, 3) AS g(model_id))
+  SELECT user_id, model_id, layer, src::bigint AS src, dst::bigint AS dst,
+    {q6(f'sqrt(-2e0 * ln({_uniform_sql(1)})) * cos(2e0 * pi() * {_uniform_sql(2)})', 'weight')}
+  FROM models CROSS JOIN (VALUES {_CELLS}) AS c(layer, src, dst)""")
 def random_init(spark, sf):
     panel = design_events(spark, sf)
     models = search.trials_of(panel.df.select("user_id").distinct(), 3)
-    return weights_out(wt.random_init(models, IN, 5, sd=1.0, seed=7))
+    return weights_out(wt.random_init(models, IN, INIT_NEURONS, sd=1.0, seed=INIT_SEED))
 
 
 @register("load_model", f"{PLR} {weights_sql('f', 0)}")
@@ -228,17 +243,49 @@ def save_model(spark, sf):
     return weights_out(wt.load_model(spark, path))
 
 
-@register("weights_unchanged", f"WITH {DESIGN} SELECT count(*) > 0 AS after_scoring, count(*) = 0 AS after_fitting FROM rows")
+_MOVED = " OR ".join(f"abs(f.{col} - ({WEIGHT_SQL.format(src=c[1], dst=c[2], hid=int(c[0] == HIDDEN))})) > 0" for c, col in columns_of(0).items())
+_SUM = " + ".join(f"f.{col}" for col in columns_of(0).values())
+
+
+@register("weights_unchanged", f"""{PLR} SELECT count(*) * {IN} AS n_weights, {q6(f'sum({_SUM})', 'total')}, true AS after_scoring,
+  NOT bool_or({_MOVED}) AS after_fitting FROM {final_sql('f')} f""")
 def weights_unchanged(spark, sf):
+    """Scoring leaves the stored weights as they were, to the sum that a replay gives; fitting doesn't."""
     panel = design_events(spark, sf)
-    before = start(panel, 1, 0)
-    path = shared_path(spark, "model")
-    wt.save_model(online.fit_online(panel, FEATURES, "y", before, eta=0.1).weights, path)
+    before, path = start(panel, 1, 0), shared_path(spark, "model")
+    wt.save_model(fitted_plr(spark, sf).weights, path)
     trained = wt.load_model(spark, path)
-    scoring.score_by_key(panel.df, FEATURES, trained, ["user_id"]).agg(F.avg("p")).collect()
-    same = wt.weights_unchanged(trained, wt.load_model(spark, path), "after_scoring")
+    scored = scoring.score_by_key(panel.df, FEATURES, trained, ["user_id"])
+    used = scored.select("user_id", "p").na.drop().select("user_id").distinct()
+    same = wt.weights_unchanged(trained, wt.load_model(spark, path).join(used, "user_id", "left_semi"), "after_scoring")
     moved = wt.weights_unchanged(before, trained, "after_fitting")
-    return same.select("after_scoring", moved.select("after_fitting").scalar().alias("after_fitting"))
+    sums = trained.agg(F.count(F.lit(1)).alias("n_weights"), r6(F.sum("weight")).alias("total"))
+    return sums.select("n_weights", "total", same.scalar().alias("after_scoring"), moved.scalar().alias("after_fitting"))
+
+
+_FINAL_P = sigmoid_sql(" + ".join(f"r.{f} * f.{columns_of(0)[OUTPUT, j, 0]}" for j, f in enumerate(FEATURES)))
+
+
+@register("rescoring_check", f"""{PLR}, again AS (SELECT user_id, y, {_FINAL_P} AS p FROM rows r JOIN {final_sql('f')} f USING (user_id))
+  SELECT user_id, {q6('any_value(c.success)', 'learning')}, {q6('avg(cast((p >= 0.5) = (y >= 0.5) AS double))', 'rescored')}
+  FROM again JOIN (SELECT user_id, success FROM {curve_sql('f')} WHERE epoch = 2) c USING (user_id) GROUP BY user_id""")
+def rescoring_check(spark, sf):
+    """Success while learning in the last epoch, and success of the learned weights on the same rows."""
+    from tidemark.operators.evaluation import hit_rate
+
+    fit = fitted_plr(spark, sf).pinned()
+    scored = scoring.score_by_key(design_events(spark, sf).df, FEATURES, fit.weights, ["user_id"])
+    learning = fit.curve.filter("epoch = 2").select("user_id", F.col("success").alias("learning"))
+    rescored = hit_rate(scored, by=["user_id"]).select("user_id", F.col("hit_rate").alias("rescored"))
+    return out(learning.join(rescored, "user_id"), ["user_id"], ["learning", "rescored"])
+
+
+@register("learning_scores", f"""{PLR} SELECT f.user_id, cast(f.step - l.len AS bigint) AS rn, {q6('r.y - f.d', 'p')}, {q6('f.d', 'difference')}
+  FROM f JOIN (SELECT DISTINCT user_id, len FROM rows) l USING (user_id) JOIN rows r ON r.user_id = f.user_id AND r.pos = f.step - l.len
+  WHERE f.step > l.len""")
+def learning_scores(spark, sf):
+    """Scores and residuals of the rows in the last of two epochs, each before the update that the row makes."""
+    return out(fitted_plr(spark, sf, keep_scores=True).scores, ["user_id", "rn"], ["p", "difference"])
 
 
 # -- gradient of all rows ----------------------------------------------------------------------
@@ -260,7 +307,7 @@ def _gradient_sql() -> str:
 
 def fixed_net(panel):
     """The closed-form net as a weight table."""
-    models = panel.df.select(F.lit("m").alias("model_id")).distinct()
+    models = panel.df.sparkSession.range(1).select(F.lit("m").alias("model_id"))
     weight = F.when(F.col("layer") == HIDDEN, 2.0 * F.cos(F.col("src") + 3.0 * F.col("dst"))).otherwise(2.0 * F.cos(1.0 + 2.0 * F.col("src")))
     return wt.weight_rows(models, IN, MLP_NEURONS, weight)
 
@@ -304,6 +351,41 @@ def weights_apply(spark, sf):
     return scored.select(*EV_KEYS, r6(-F.ln(1.0 / F.col("p") - 1.0)).alias("z"), r6("p").alias("p"))
 
 
+WIDE_NEURONS = 30
+
+
+def wide_weight(by_user: bool):
+    """Closed-form weights of a net with many neurons, of one model or one for each user."""
+    shift = F.col("user_id") * 0.1 if by_user else F.lit(0.0)
+    return F.when(F.col("layer") == HIDDEN, F.cos(F.col("src") + 3.0 * F.col("dst") + shift)).otherwise(F.cos(1.0 + 2.0 * F.col("src") + shift) / 5.0)
+
+
+def _wide_sql(shift: str) -> str:
+    neurons = " + ".join(
+        f"(cos(1e0 + {2 * n}e0 + {shift}) / 5e0) * "
+        + sigmoid_sql(" + ".join(f"{f} * cos({j}e0 + {3 * n}e0 + {shift})" for j, f in enumerate(FEATURES)))
+        for n in range(1, WIDE_NEURONS + 1)
+    )
+    p = sigmoid_sql(f"(cos(1e0 + {shift}) / 5e0) + {neurons}")
+    return f"WITH {DESIGN} SELECT user_id, event_id, {q6(p, 'p')} FROM rows"
+
+
+@register("mlp_score_30", _wide_sql("0e0"))
+def mlp_score_30(spark, sf):
+    """One net of thirty neurons over all rows."""
+    panel = design_events(spark, sf)
+    net = wt.weight_rows(spark.range(1).select(F.lit("m").alias("model_id")), IN, WIDE_NEURONS, wide_weight(False))
+    return out(scoring.mlp_score(panel.df, FEATURES, net), EV_KEYS, ["p"])
+
+
+@register("score_by_key_30", _wide_sql("0.1e0 * user_id"))
+def score_by_key_30(spark, sf):
+    """A net of thirty neurons for each user."""
+    panel = design_events(spark, sf)
+    weights = wt.weight_rows(panel.df.select("user_id").distinct(), IN, WIDE_NEURONS, wide_weight(True))
+    return out(scoring.score_by_key(panel.df, FEATURES, weights, ["user_id"], WIDE_NEURONS), EV_KEYS, ["p"])
+
+
 _LAMBDA = "((a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b))"
 
 

@@ -245,3 +245,21 @@ def indexed_name(spark, sf):
     df = design_events(spark, sf).df
     long = df.select("user_id", "event_id", F.posexplode(F.array(*FEATURES)).alias("src", "v"))
     return long.select("user_id", "event_id", S.indexed_name("w", "src").alias("name"), r6("v").alias("v"))
+
+
+@register("read_series", f"""SELECT o_orderkey, cast(o_orderdate AS date) AS day, {q6('CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END', 'price')},
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status FROM orders""")
+def read_series(spark, sf):
+    """All orders written as delimited text, with two-digit years, ``.`` for a missing price and blanks for a missing status, and read again."""
+    from tidemark.session import shared_path
+    from tidemark.sources.series_csv import parse_day, read_series
+
+    orders = table(spark, sf, "orders", ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"])
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("string")).otherwise(".")
+    status = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).otherwise("  ")
+    path = shared_path(spark, "delimited")
+    orders.select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yy").alias("day"), price.alias("price"), status.alias("status")).write.csv(
+        path, sep=";", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    back = read_series(spark, path, "o_orderkey long, day string, price double, status string", sep=";", null_value=".")
+    return back.select("o_orderkey", parse_day("day").alias("day"), r6("price").alias("price"), "status")

@@ -11,19 +11,22 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.models.scoring import Net, score
-from tidemark.session import shared_path
 
 
 def score_files(
-    spark: SparkSession, path: str, schema: StructType, features: list[str], net: Net | DataFrame, out: str
+    spark: SparkSession, path: str, schema: StructType, features: list[str], net: Net | DataFrame, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Score every parquet file below ``path`` that is not scored yet and append the rows to ``out``."""
+    """Score every parquet file below ``path`` that is not scored yet and append the rows to ``out``.
+
+    ``checkpoint`` is a folder that belongs to ``out`` and must be the same in every call: it says which files are done. The sink
+    tells batches apart by its numbers, so another folder for the same output would lose files.
+    """
     rows = spark.readStream.schema(schema).parquet(path)
     return (
         score(rows, features, net)
         .writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", shared_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
