@@ -236,3 +236,41 @@ def test_traces_of_hidden_neurons_are_refused(spark):
     panel, _ = design(spark, {1: 5})
     with pytest.raises(ValueError):
         online.fit_online(panel, FEATURES, "y", wt.constant_init(models(panel), 3, 2, 0.1), trace_every=1)
+
+
+@pytest.mark.parametrize("neurons", [0, 2, 30])
+@pytest.mark.parametrize("limits", [{}, {"EXPRESSION_WEIGHTS": 0}, {"EXPRESSION_WEIGHTS": 0, "SENT_WEIGHTS": 0}])
+def test_scores_on_every_path(spark, monkeypatch, neurons, limits):
+    """Literals, matrices sent along and arrays joined give the same scores; NULL features and missing models give NULL."""
+    for name, value in limits.items():
+        monkeypatch.setattr(scoring, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(s, i, 1.0, float(rng.normal()), None if i == 3 else float(rng.normal())) for s in ("a", "b", None, "none") for i in range(40)]
+    df = spark.createDataFrame(rows, "s string, t int, x_0 double, x_1 double, x_2 double").repartition(3)
+    nets = {s: {c: float(rng.normal()) for c in wt.connections(3, neurons)} for s in ("a", "b", None)}
+    weights = spark.createDataFrame([(s, *c, w) for s, net in nets.items() for c, w in net.items()], "s string, layer string, src int, dst int, weight double")
+
+    def expected(net, x):
+        if None in x:
+            return None
+        if not neurons:
+            return sigmoid(sum(v * net["output", j, 0] for j, v in enumerate(x)))
+        hidden = [sigmoid(sum(v * net["hidden", j, n] for j, v in enumerate(x))) for n in range(1, neurons + 1)]
+        return sigmoid(net["output", 0, 0] + sum(h * net["output", n, 0] for n, h in enumerate(hidden, start=1)))
+
+    by_key = {(r["s"], r["t"]): r["p"] for r in scoring.score_by_key(df, FEATURES, weights, ["s"], neurons).collect()}
+    single = {(r["s"], r["t"]): r["p"] for r in scoring.score(df, FEATURES, nets["a"]).collect()}
+    assert len(by_key) == len(single) == 160
+    for s, t, *x in rows:
+        for got, net in ((by_key[s, t], nets.get(s)), (single[s, t], nets["a"])):
+            want = None if net is None else expected(net, x)
+            assert got is None if want is None else got == pytest.approx(want, abs=1e-12)
+
+
+def test_many_batch_models_take_several_passes(spark, monkeypatch):
+    panel, _ = design(spark, {1: 30})
+    init = wt.weight_rows(spark.range(1, 6).select(F.col("id").cast("string").alias("model_id")), 3, 2, F.sin(F.col("src") + F.col("dst") + F.col("model_id")))
+    once = {tuple(r)[:4]: r["gradient"] for r in batch.batch_gradient(panel.df, FEATURES, "y", init).collect()}
+    monkeypatch.setattr(batch, "WEIGHTS_PER_PASS", 10)
+    again = {tuple(r)[:4]: r["gradient"] for r in batch.batch_gradient(panel.df, FEATURES, "y", init).collect()}
+    assert once.keys() == again.keys() and all(np.isclose(once[k], again[k]) for k in once)

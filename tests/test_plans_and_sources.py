@@ -163,3 +163,13 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Remote())
+
+
+def test_tables_of_a_job_can_be_removed(spark):
+    from pathlib import Path
+
+    from tidemark import session
+
+    path = session.shared_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert Path(path).exists() and session.clean(spark) >= 1 and not Path(path).exists() and session.clean(spark) == 0

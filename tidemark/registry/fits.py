@@ -235,7 +235,16 @@ def random_init(spark, sf):
     return weights_out(wt.random_init(models, IN, INIT_NEURONS, sd=1.0, seed=INIT_SEED))
 
 
-@register("load_model", f"{PLR} {weights_sql('f', 0)}")
+@register("load_model", f"{PLR} SELECT * FROM ({weights_sql('f', 0)}) WHERE user_id = (SELECT max(user_id) FROM rows)")
+def load_model(spark, sf):
+    """One model out of a table of many."""
+    fit = fitted_plr(spark, sf).pinned()
+    path = shared_path(spark, "model")
+    wt.save_model(fit.weights, path)
+    newest = fit.weights.agg(F.max("user_id")).scalar()
+    return weights_out(wt.load_model(spark, path).filter(F.col("user_id") == newest))
+
+
 @register("save_model", f"{PLR} {weights_sql('f', 0)}")
 def save_model(spark, sf):
     path = shared_path(spark, "model")

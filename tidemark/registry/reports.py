@@ -11,6 +11,7 @@ from tidemark.registry.core import out, q6, r6, register
 from tidemark.registry.inputs import (
     EV, EV_KEYS, EV_WINDOW, MACRO_SOURCE, NATION, SCORED, ln_sql, nation_days, panel_events, scored_events, sma_sql, table,
 )
+from tidemark.session import shared_dir
 
 # -- joins -------------------------------------------------------------------------------------
 
@@ -31,6 +32,9 @@ def merge_outer(spark, sf):
     prices = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").alias("nation"), F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority", "o_totalprice"
     )
+    # One series for each priority, from one stored join instead of a join for each.
+    shared_dir(spark)
+    prices = prices.groupBy("nation", "day", "o_orderpriority").agg(F.max("o_totalprice").alias("o_totalprice")).checkpoint()
     frames = [
         prices.filter(F.col("o_orderpriority") == v).groupBy("nation", "day").agg(F.max("o_totalprice").alias(n))
         for n, v in PARTS.items()
@@ -49,7 +53,8 @@ def align_inner(spark, sf):
 @register("merge_predictions", f"""WITH {SCORED} SELECT user_id, event_id, {q6('y', 'y')}, {q6('p', 'p')},
   cast((p >= 0.5) = (y >= 0.5) AS bigint) AS hit, {q6('change', 'change')} FROM scored WHERE change IS NOT NULL""")
 def merge_predictions(spark, sf):
-    scored = scored_events(spark, sf).df
+    shared_dir(spark)
+    scored = scored_events(spark, sf).df.select(*EV_KEYS, "y", "p").checkpoint()
     returns = panel_events(spark, sf).roll({"change": pct_change("x")}).df
     merged = alignment.merge_predictions(
         scored.select(*EV_KEYS, "y"),

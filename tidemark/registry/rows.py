@@ -118,10 +118,12 @@ def cast_numeric(spark, sf):
 
 
 @register("threshold_filter", f"WITH {SCORED} SELECT user_id, event_id, {q6('p', 'p')}, 'up' AS regime FROM scored WHERE p > 0.8 "
-          f"UNION ALL SELECT user_id, event_id, {q6('p', 'p')}, 'down' FROM scored WHERE p < 1e0 - 0.8e0")
+          f"UNION ALL SELECT user_id, event_id, {q6('p', 'p')}, 'down' FROM scored WHERE p < 1e0 - 0.8e0 "
+          f"UNION ALL SELECT user_id, event_id, {q6('p', 'p')}, 'middle' FROM scored WHERE p BETWEEN 1e0 - 0.8e0 AND 0.8")
 def threshold_filter(spark, sf):
-    scored = scored_events(spark, sf).df.withColumn("regime", sel.regime("p", 0.8))
-    return out(scored.filter(F.col("regime").isin("up", "down")), ["user_id", "event_id", "regime"], ["p"])
+    scored = scored_events(spark, sf).df
+    parts = [sel.threshold_filter(scored, "p", 0.8, kind).withColumn("regime", F.lit(kind)) for kind in ("up", "down", "middle")]
+    return out(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["user_id", "event_id", "regime"], ["p"])
 
 
 @register("extreme_filter", f"WITH {SCORED} SELECT user_id, event_id, {q6('p', 'p')} FROM scored WHERE p > 1e0 - 0.2e0 OR p < 0.2e0")

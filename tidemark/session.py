@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; every call returns another one."""
-    return f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; every call returns another one. ``clean`` removes them."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -40,6 +43,17 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this process has made below the shared folder; returns how many paths there were.
+
+    For the end of a job, once its results are written: results that are still to be computed read these tables.
+    """
+    n = len(_made)
+    while _made:
+        remove(spark, _made.pop())
+    return n
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "tidemark") -> SparkSession:
     """Session for tests and the bench. A cluster brings its own settings."""
     spark = (
