@@ -88,7 +88,8 @@ def quotas(sources: DataFrame, total: int, block: int = BLOCK, shard: int = SHAR
     counts = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "source_key"))
-    ranked = seats.withColumn("within", within).join(before, "bucket").withColumn("rank", F.col("before") + F.col("within") - 1)
+    # Spark takes the seats for as few as the sources they come from and would broadcast them.
+    ranked = seats.withColumn("within", within).join(before.hint("merge"), "bucket").withColumn("rank", F.col("before") + F.col("within") - 1)
     return ranked.filter(F.col("rank") < n_blocks).groupBy(
         F.floor(F.col("rank") / shard).alias("shard"), "source_key"
     ).agg(F.count(F.lit(1)).alias("blocks"))
