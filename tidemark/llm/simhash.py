@@ -116,7 +116,8 @@ def links(
     fp = F.col("fp")
     index = distinct.select("fp", F.explode(F.array(*(_list_key(fp, i, t) for i, t in enumerate(lists)))).alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    listed = stored(index.join(sizes, "key"), "lists")
+    # Spark takes the index for as small as the fingerprints it comes from; a hint keeps it from broadcasting either side.
+    listed = stored(index.join(sizes.hint("merge"), "key"), "lists")
 
     masks = [sum(1 << p for p in t) for t in lists]
     first = F.array(*(F.lit(next((i for i, s in enumerate(masks) if s & m == s), -1)) for m in range(256)))
@@ -137,7 +138,7 @@ def links(
     signed = F.array(*(F.lit(int(np.uint64(x).astype(np.int64))) for x in flips))
     near = hot.repartition("fp").select("fp", F.explode(F.transform(signed, lambda x: fp.bitwiseXOR(x))).alias("middle"))
     least = near.groupBy("middle").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    through = near.join(least, "middle").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    through = near.join(least.hint("merge"), "middle").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return found.unionByName(through)
 
 
