@@ -163,29 +163,33 @@ _PIECES = T.StructType([
 ])
 
 
-def _scan(length: int):
+def _scan(length: int, rows: int = 50_000):
     """Pieces of every whole text; long texts go in overlapping chunks, which may cut a piece in two."""
+    def made(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_PIECES.fieldNames())
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for part in slices([batch], "text", 2_000_000):
-                rows: list[list] = [[] for _ in range(7)]
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                for key1, key2, text in zip(part.column("key1").to_pylist(), part.column("key2").to_pylist(), texts, strict=True):
+            for part in slices([batch], "text", 1_000_000):
+                texts = part.column("text").cast(pa.binary())
+                for key1, key2, value in zip(part.column("key1").to_pylist(), part.column("key2").to_pylist(), texts, strict=True):
+                    text = value.as_py()
                     for low in range(0, len(text) - length + 1, CHUNK):
                         data = text[low : low + CHUNK + length - 1]
                         first, last, place, anchor = anchored(np.frombuffer(data, np.uint8), length)
-                        rows[0] += [key1] * len(first)
-                        rows[1] += [key2] * len(first)
-                        rows[2] += (first + low).tolist()
-                        rows[3] += (last - first).tolist()
-                        rows[4] += (place - first).tolist()
-                        rows[5] += anchor.tolist()
-                        rows[6] += [
-                            _digest(data[a:b]) for a, b in zip(first.tolist(), (last + (length - 1)).tolist(), strict=True)]
-                if rows[0]:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=_PIECES.fieldNames())
+                        ends = zip(first.tolist(), (last + (length - 1)).tolist(), strict=True)
+                        digests = np.fromiter((_digest(data[a:b]) for a, b in ends), np.int64, len(first))
+                        held.append((
+                            np.full(len(first), key1), np.full(len(first), key2), (first + low).astype(np.int32),
+                            (last - first).astype(np.int32), (place - first).astype(np.int32), anchor, digests))
+                        n += len(first)
+                        if n >= rows:
+                            yield made(held)
+                            held, n = [], 0
+        if held:
+            yield made(held)
 
     return scan
 
@@ -195,7 +199,7 @@ _CUTS = "piece long, copies long, offset int, data binary"
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted pieces of each text."""
-    for batch in batches:
+    for batch in slices(batches, "text", 2_000_000):
         out: list[list] = [[], [], [], []]
         for text, wanted in zip(batch.column("text").cast(pa.binary()), batch.column("wanted").to_pylist(), strict=True):
             data = text.as_py()
@@ -224,6 +228,11 @@ def _split(length: int, width: int):
     Equal windows have equal cores. `first` and `n` are the range's windows in the piece, `sub` names the bytes under them, and
     the core begins `lead` bytes after their start.
     """
+    def made(out: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["piece", "copies", "first", "n", "lead", "core", "sub"])
+
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
@@ -238,10 +247,10 @@ def _split(length: int, width: int):
                            _digest(data[begin:end] + r.to_bytes(4)), _digest(data[first : last + length]))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(out, kinds, strict=True)],
-                names=["piece", "copies", "first", "n", "lead", "core", "sub"])
+                if len(out[0]) >= 20_000:
+                    yield made(out)
+                    out = [[] for _ in range(7)]
+            yield made(out)
 
     return split
 
@@ -324,7 +333,8 @@ def repeated_spans(
     anchors = pieces.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("times"), F.min("piece").alias("least"), F.max("piece").alias("most")
     ).filter("times > 1").select("anchor", (F.col("least") != F.col("most")).alias("several"))
-    marked = stored(pieces.join(anchors, "anchor"), "marked")
+    # Joined as tables, so that adaptive execution can split an anchor, core or piece that a large share of all rows have.
+    marked = stored(pieces.join(stored(anchors, "anchors"), "anchor"), "marked")
     stop = F.col("start") + F.col("n") + (length - 1)
     sure = marked.filter("not several").select("key1", "key2", F.array(F.struct("start", stop.alias("stop"))).alias("spans"))
 
@@ -338,12 +348,11 @@ def repeated_spans(
     cuts = stored(texts.join(wanted, ["key1", "key2"]).select("text", "wanted").mapInArrow(_cut, _CUTS), "cuts")
     subs = stored(cuts.mapInArrow(_split(length, width), _SUBS), "subs")
 
-    kinds = subs.groupBy("core", "sub").agg(
-        F.sum("copies").alias("copies"), F.min(F.struct("piece", "first", "n", "lead")).alias("one"))
-    cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("texts"))
-    kinds = stored(kinds.join(cores, "core").filter("copies > 1 or texts > 1"), "kinds")
+    kinds = stored(subs.groupBy("core", "sub").agg(
+        F.sum("copies").alias("copies"), F.min(F.struct("piece", "first", "n", "lead")).alias("one")), "kinds")
+    cores = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "cores")
     found = kinds.filter("copies > 1").select("core", "sub", F.lit(0).alias("low"), F.col("one.n").alias("high"))
-    mixed = kinds.filter("texts > 1").select("core", "sub", "texts", F.col("one.piece").alias("piece"), "one.first", "one.n", "one.lead")
+    mixed = kinds.join(cores, "core").select("core", "sub", "texts", F.col("one.piece").alias("piece"), "one.first", "one.n", "one.lead")
     bytes_of = F.expr(f"substring(data, first + 1, n + {length - 1})")
     mixed = stored(mixed.join(cuts, "piece").select("core", "sub", "texts", "lead", bytes_of.alias("data")), "mixed")
     rest = mixed.filter(F.col("texts") <= core_limit).select("core", "sub", "lead", "data")
@@ -357,7 +366,7 @@ def repeated_spans(
 
     runs = subs.join(stored(found, "runs"), ["core", "sub"]).groupBy("piece").agg(
         F.collect_set(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("runs"))
-    placed = open_.join(runs, "piece").select(
+    placed = open_.join(stored(runs, "repeats"), "piece").select(
         "key1", "key2",
         F.transform("runs", lambda x: F.struct(
             (F.col("start") + x["low"]).alias("start"), (F.col("start") + x["high"] + (length - 1)).alias("stop"))).alias("spans"))
@@ -374,31 +383,33 @@ _KEPT = T.StructType([
 ])
 
 
-def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs: spans that overlap or touch become one."""
-    out: list[tuple[int, int]] = []
-    for start, stop in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], stop))
-        else:
-            out.append((start, stop))
-    return out
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    first = np.append(True, start[1:] > reach[:-1])[: len(start)]
+    return start[first], reach[np.append(first[1:], True)[: len(start)]]
 
 
 def _remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, spans in batches:
-        out: list[dict] = []
-        for part in slices([pa.record_batch([texts, spans], names=["t", "s"])], "t"):
-            for text, found in zip(part.column("t").cast(pa.binary()).to_pylist(), part.column("s").to_pylist(), strict=True):
-                text, at, kept = text or b"", 0, []
-                runs = merged((x["start"], x["stop"]) for x in found or ())
-                for start, stop in runs:
-                    kept.append(text[at:start])
-                    at = stop
-                kept.append(text[at:])
-                out.append({
-                    "n_bytes": len(text), "n_removed": sum(b - a for a, b in runs), "n_spans": len(runs), "kept": b"".join(kept)})
-        yield pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+        # The spans stay in Arrow's arrays: a text of short periods has one for each few bytes.
+        counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = spans.flatten()
+        starts, stops = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        ends = counts.cumsum()
+        out: list[list] = [[], [], [], []]
+        for value, low, high in zip(texts.cast(pa.binary()), (ends - counts).tolist(), ends.tolist(), strict=True):
+            text, at, kept = value.as_py() or b"", 0, []
+            begin, end = merged(starts[low:high], stops[low:high])
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                kept.append(text[at:a])
+                at = b
+            kept.append(text[at:])
+            for column, x in zip(out, (len(text), int((end - begin).sum()), len(begin), b"".join(kept)), strict=True):
+                column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=_KEPT.fieldNames())
 
 
 def remove_repeats(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
