@@ -81,6 +81,27 @@ def test_same_rows_and_columns(table, name):
         assert len(one) == 240 and [r["rn"] for r in one if r["s"] == "a"] == [1000 - t for t in range(60)]
 
 
+@pytest.mark.parametrize("limit", ["broadcast", "frames", "slices"])
+@pytest.mark.parametrize("name", ["roll", "cum_sum", "ema", "minmax", "split"])
+def test_other_limits_change_no_row(table, monkeypatch, name, limit):
+    """Shuffle joins for broadcasts, a join for window frames, and short slices, on NULL keys and gaps."""
+    def rows():
+        df = CASES[name](Panel(table, "s", "t", "tie", **({} if limit == "frames" else LONG))).df
+        return df.columns, sorted(df.collect(), key=lambda r: (r["s"] or "", r["t"]))
+
+    columns, before = rows()
+    if limit == "broadcast":
+        monkeypatch.setattr("tidemark.panel.BROADCAST_SERIES", 0)
+    elif limit == "frames":
+        monkeypatch.setattr("tidemark.operators.smoothing.MAX_FRAMES", 0)
+    else:
+        monkeypatch.setattr("tidemark.panel.SLICE_ROWS", 10)
+    again, after = rows()
+    assert again == columns and len(after) == len(before) == 240
+    for a, b in zip(before, after, strict=True):
+        assert all(same(x, y) for x, y in zip(a, b, strict=True)), (a, b)
+
+
 def test_as_series_numbers(table):
     for options in ({}, LONG):
         rows = selection.as_series(Panel(table, "s", "t", "tie", **options), ["x"]).collect()
