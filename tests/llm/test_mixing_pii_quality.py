@@ -48,7 +48,7 @@ def test_mix(spark, block):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     wanted = expected_targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
     for s in sizes:
-        assert target[s] == pytest.approx(wanted[s]) and abs(taken[s] - target[s]) <= 2 * block
+        assert target[s] == pytest.approx(wanted[s]) and abs(taken[s] - target[s]) <= block
     # Highest quotients, all blocks allotted, whole shards but the last.
     n = int(sum(sizes.values()) / block + 0.5)
     by_source, by_shard = defaultdict(int), defaultdict(int)

@@ -88,8 +88,7 @@ def contamination(
     windows = _windows(prepared(keyed, "text").drop("text"), key)
     # Equal hashes are equal templates, so the documents' windows need no count of words outside slots.
     right = items.withColumnRenamed("hash", "item_hash")
-    if items.count() <= broadcast_limit:
-        right = F.broadcast(right)
+    right = F.broadcast(right) if items.count() <= broadcast_limit else right.hint("merge")
     pairs = F.transform(F.filter(
         F.zip_with(F.arrays_zip("words", "slots"), _cut("_raw"), lambda x, d: F.struct(
             x["words"].alias("item"), d.alias("value"), x["slots"].alias("slot"))), lambda x: x["slot"]),

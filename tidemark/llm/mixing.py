@@ -113,7 +113,7 @@ def mix(
 
     The words of a source lie on a line, documents in seeded order. As many whole passes as the quota holds are taken;
     of the rest, a seeded permutation of the line's blocks chooses. So no document is taken more than `cap` times, and a source
-    misses its target by two blocks at most. A source without words gets nothing. Equal rows are told apart by their
+    misses its target by the rounding of its quota, about half a block. A source without words gets nothing. Equal rows are told apart by their
     place on the line only, so which of them is taken may differ, but not what the result holds. An empty table gives empty tables.
     """
     keep = [c for c in keep if c not in RESULT]
@@ -149,12 +149,11 @@ def mix(
         "source_key", "source_size", "target",
         F.when(size > 0, F.floor(F.col("wanted") / size)).otherwise(0).cast("bigint").alias("passes"),
         F.when(size > 0, F.pmod("wanted", size)).otherwise(0).cast("bigint").alias("rest"),
-        F.greatest(F.ceil(size / block), F.lit(1)).cast("bigint").alias("n_blocks"),
+        F.floor(size / block).cast("bigint").alias("whole"),
     ).withColumns({
         "chosen": F.ceil(F.col("rest") / block).cast("bigint"),
-        "step": _step(F.col("n_blocks")),
-        "shift": F.pmod(seeded(seed, F.col("source_key")), F.col("n_blocks")),
-    })
+        "period": F.greatest("whole", F.lit(1).cast("bigint")),
+    }).withColumns({"step": _step(F.col("period")), "shift": F.pmod(seeded(seed, F.col("source_key")), F.col("period"))})
     along = Window.partitionBy("source_key").orderBy("bucket")
     offsets = parts.select("source_key", "bucket", (F.sum("words").over(along) - F.col("words")).alias("before"))
     placed = sized.withColumn(
@@ -166,7 +165,8 @@ def mix(
     placed = placed.withColumn("at", F.col("before") + F.col("within"))
 
     def overlap(total: Column, b: Column) -> Column:
-        order = F.pmod(b * F.col("step") + F.col("shift"), F.col("n_blocks"))
+        # What is left after the whole blocks comes last, so that the chosen blocks have exactly the words wanted.
+        order = F.when(b == F.col("whole"), b).otherwise(F.pmod(b * F.col("step") + F.col("shift"), F.col("period")))
         length = F.least(F.lit(block).cast("bigint"), F.col("rest") - order * block)
         begin = b * block
         shared = F.least(F.col("at") + F.col("size"), begin + length) - F.greatest(F.col("at"), begin)

@@ -162,7 +162,8 @@ def fit(
     """Train on labelled rows that aren't held out.
 
     `most_rows` bounds the sample that reaches the driver: statistics of at most about that many rows, chosen by a hash of
-    the id, never texts. Null ids and labels are left out; an id labelled twice counts with its smallest label.
+    the id, never texts. Null ids and labels are left out; an id labelled twice counts with its smallest label, and an id with
+    several texts with the one whose statistics come first.
     """
     known = (
         labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).na.drop()
@@ -176,7 +177,7 @@ def fit(
     rows = (
         documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
         .select("_id", "_label", statistics_of(F.col("_text")).alias("_x"))
-        .dropDuplicates(["_id"]).orderBy("_id").toArrow()
+        .groupBy("_id").agg(F.min("_label").alias("_label"), F.min("_x").alias("_x")).orderBy("_id").toArrow()
     )
     x = np.array(rows.column("_x").to_pylist(), float).reshape(rows.num_rows, len(FEATURES))
     y = np.array(rows.column("_label").to_pylist(), float)

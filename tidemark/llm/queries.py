@@ -138,7 +138,7 @@ won AS (SELECT k, count(*) AS blocks FROM (SELECT k FROM seats ORDER BY o, k LIM
 p0 AS (SELECT s3.*, least(coalesce(blocks, 0) * 128, 3 * ss)::BIGINT AS wanted FROM s3 LEFT JOIN won USING (k)),
 p AS (
   SELECT k, ss, target, CASE WHEN ss > 0 THEN wanted // ss ELSE 0 END AS passes, CASE WHEN ss > 0 THEN wanted % ss ELSE 0 END AS rest,
-    greatest(ceil(ss / 128), 1)::BIGINT AS nb FROM p0),
+    (ss // 128)::BIGINT AS whole, greatest(ss // 128, 1)::BIGINT AS nb FROM p0),
 q AS (
   SELECT *, ceil(rest / 128)::BIGINT AS chosen,
     CASE WHEN 1048583 % nb <> 0 THEN 1048583 WHEN 1048589 % nb <> 0 THEN 1048589 WHEN 1048601 % nb <> 0 THEN 1048601
@@ -146,7 +146,8 @@ q AS (
     ('0x' || substr(md5('17|' || k), 1, 15))::BIGINT % nb AS shift FROM p),
 blocks AS (
   SELECT k, b * 128 AS lo, b * 128 + least(128, rest - o * 128) AS hi
-  FROM (SELECT k, rest, chosen, b, (b * step + shift) % nb AS o FROM (SELECT *, unnest(range(0, nb)) AS b FROM q))
+  FROM (SELECT k, rest, chosen, b, CASE WHEN b = whole THEN b ELSE (b * step + shift) % nb END AS o
+        FROM (SELECT *, unnest(range(0, whole + 1)) AS b FROM q))
   WHERE o < chosen),
 placed AS (
   SELECT doc_id, source, size, k, sum(size) OVER (PARTITION BY k ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos FROM d),
