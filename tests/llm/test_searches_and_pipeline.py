@@ -37,6 +37,24 @@ def test_slots(spark, limit):
     assert got == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "verbatim", (3, 0): "template"}
 
 
+@pytest.mark.parametrize("changed", [False, True])
+def test_slots_equal_sql(spark, tmp_path, changed):
+    """The query and its SQL on small tables with slots, changed values, repeats and short texts."""
+    import duckdb
+
+    from tidemark.llm.queries import QUERIES, SQL
+
+    other = "Bob has 7 apples and buys 9 lb of rice for Eva in Oslo today while Eva waits"
+    texts = [ITEM, ITEM.upper(), other, other + " " + ITEM, other.replace("Eva waits", "Max waits") if changed else other, "5kg of 3g 4x", "", None, "a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, other), (3, "5 kg of 3 g 4 x"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = sql_rows(con, SQL["op4_benchmark_decontamination"])
+    assert len(expected[1]) >= 8 and not differences(expected, spark_rows(QUERIES["op4_benchmark_decontamination"](spark, str(tmp_path))))
+
+
 def test_all_planted_items_are_found(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
 
@@ -117,14 +135,15 @@ def test_scan_places_and_odd_rows(spark):
 
 LLM = ["op1_simhash_near_dedup", "op2_source_mixing", "op3_license_scans", "op4_benchmark_decontamination", "op5_url_filters",
        "op6_quality_rules", "op7_token_counts", "op8_suffix_array_dedup", "op9_pii", "op10_quality_classifier", "pipeline"]
+WITH_SQL = ["op2_source_mixing", "op4_benchmark_decontamination", "op5_url_filters", "op6_quality_rules"]
 
 
 def test_queries_are_registered():
     assert set(LLM) <= set(entry_point.queries())
-    assert {n for n in LLM if n in entry_point.oracle_sql()} == {"op2_source_mixing", "op5_url_filters", "op6_quality_rules"}
+    assert {n for n in LLM if n in entry_point.oracle_sql()} == set(WITH_SQL)
 
 
-@pytest.mark.parametrize("name", ["op2_source_mixing", "op5_url_filters", "op6_quality_rules"])
+@pytest.mark.parametrize("name", WITH_SQL)
 def test_query_equals_sql(spark, name):
     expected = sql_rows(connect(SF), entry_point.oracle_sql()[name])
     assert expected[1] and not differences(expected, spark_rows(entry_point.queries()[name](spark, SF)))

@@ -191,7 +191,61 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-@register("op4_benchmark_decontamination")
+def _words_sql(table: str, key: str) -> str:
+    """CTE with the words of a table: raw, as a template, and as a template without names."""
+    from tidemark.llm.decontaminate import UNITS
+
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    number, name = r"regexp_matches(w, '^\p{N}')", r"regexp_matches(w, '^\p{Lu}\p{Ll}')"
+    unit = rf"(i > 1 AND regexp_matches(cased[i - 1], '^\p{{N}}') AND lower(w) IN ({units}))"
+    return f"""{table}_t AS (
+  SELECT {key}, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')),
+    '(\\p{{N}})(\\p{{L}})', '\\1 \\2', 'g'), ' ') AS cased FROM {table}),
+{table}_w AS (
+  SELECT {key}, list_transform(cased, lambda w: lower(w)) AS raw,
+    list_transform(cased, lambda w, i: CASE WHEN {number} THEN '<num>' WHEN {name} THEN '<name>' WHEN {unit} THEN '<unit>' ELSE lower(w) END) AS form,
+    list_transform(cased, lambda w, i: CASE WHEN {number} THEN '<num>' WHEN {unit} THEN '<unit>' ELSE lower(w) END) AS plain
+  FROM {table}_t WHERE len(cased) >= 5)"""
+
+
+def _decontamination_sql() -> str:
+    return f"""
+WITH {_words_sql("documents", "doc_id")}, {_words_sql("benchmark", "item_id")},
+cut AS (
+  SELECT item_id, raw[i:i + 4] AS words, form[i:i + 4] AS form, plain[i:i + 4] AS plain
+  FROM (SELECT *, unnest(range(1, len(raw) - 3)) AS i FROM benchmark_w)),
+items AS (
+  SELECT DISTINCT item_id, words, form FROM (SELECT item_id, words, form FROM cut UNION ALL SELECT item_id, words, plain FROM cut)
+  WHERE len(list_filter(form, lambda w: w[1] <> '<')) >= 2),
+totals AS (SELECT item_id, count(DISTINCT words) AS n_windows FROM items GROUP BY item_id),
+windows AS (
+  SELECT doc_id, raw[i:i + 4] AS own, form[i:i + 4] AS form
+  FROM (SELECT *, unnest(range(1, len(raw) - 3)) AS i FROM documents_w)),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, words,
+    list_filter(list_transform(range(1, 6), lambda k: CASE WHEN items.form[k][1] = '<' THEN {{'item': words[k], 'value': own[k]}} END), lambda x: x IS NOT NULL) AS pairs
+  FROM windows JOIN items ON windows.form = items.form),
+wanted AS (
+  SELECT hits.*, n_windows, row_number() OVER () AS hit FROM hits JOIN totals USING (item_id)
+  WHERE (doc_id, item_id) IN (
+    SELECT (doc_id, item_id) FROM hits h JOIN totals t USING (item_id) GROUP BY doc_id, item_id, n_windows HAVING count(DISTINCT words) >= 0.8 * n_windows)),
+slots AS (
+  SELECT doc_id, item_id, hit, p.item AS item, p.value AS value FROM (SELECT doc_id, item_id, hit, unnest(pairs) AS p FROM wanted)),
+best AS (
+  SELECT doc_id, item_id, item, value AS best FROM (SELECT doc_id, item_id, item, value, count(*) AS n FROM slots GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, item ORDER BY n DESC, value DESC) = 1),
+judged AS (SELECT hit, bool_and(value = best) AS fits, bool_and(value = item) AS equal FROM slots JOIN best USING (doc_id, item_id, item) GROUP BY hit),
+found AS (
+  SELECT doc_id, item_id, n_windows, count(DISTINCT words) FILTER (WHERE coalesce(fits, true)) AS n_found,
+    count(DISTINCT words) FILTER (WHERE coalesce(equal, true)) AS n_verbatim
+  FROM wanted LEFT JOIN judged USING (hit) GROUP BY doc_id, item_id, n_windows)
+SELECT doc_id, item_id, n_windows, n_found, n_verbatim, n_found / n_windows AS coverage,
+  CASE WHEN n_verbatim >= 0.8 * n_windows THEN 'verbatim' ELSE 'template' END AS kind
+FROM found WHERE n_found >= 0.8 * n_windows OR n_verbatim >= 0.8 * n_windows
+"""
+
+
+@register("op4_benchmark_decontamination", _decontamination_sql())
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontaminate import contamination
 
