@@ -24,7 +24,7 @@ BASE = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
 # Candidates beyond the base. What the labelers make of them decides.
-_IN = r"A-Za-z0-9_/+=-"
+_IN = r"A-Za-z0-9_/+=\-"
 CANDIDATES = {
     "secret": rf"(?<![{_IN}@.])(?=[A-Z0-9_/+=-]*+[a-z]|[0-9_/+=-]*+[A-Z])(?=[A-Za-z_/+=-]*+[0-9])[{_IN}]{{16,}}+(?![@])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
