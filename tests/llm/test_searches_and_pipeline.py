@@ -37,6 +37,15 @@ def test_slots(spark, limit):
     assert got == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "verbatim", (3, 0): "template"}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_slots_of_each_occurrence(spark, limit):
+    first = "Bob has 7 apples and buys 9 lb of rice for Eva in Oslo today while Eva waits"
+    second = "Max has 8 apples and buys 2 lb of rice for Ida in Kiel today while Ida waits"
+    texts = [f"{first} {second}", f"{second}. It is so. {first.replace('apples', 'very fine apples')}", None]
+    got = contaminated(spark, texts, [ITEM, None], broadcast_limit=limit)
+    assert got == {(0, 0): "template", (1, 0): "template"}
+
+
 @pytest.mark.parametrize("changed", [False, True])
 def test_slots_equal_sql(spark, tmp_path, changed):
     """The query and its SQL on small tables with slots, changed values, repeats and short texts."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_keys, stored, whole, without
+from tidemark.llm.common import KEYS_BROADCAST, is_empty, row_keys, stored, whole, without
 
 WINDOW = 5
 LITERALS = 2
@@ -56,6 +56,61 @@ def _cut(words: str) -> Column:
     return F.array(*(F.get(F.col(words), F.col("at") + k) for k in range(WINDOW)))
 
 
+def _pairs() -> Column:
+    """The values that the slots of an item's window have in the item and in the document."""
+    return F.transform(F.filter(
+        F.zip_with(F.arrays_zip("words", "slots"), _cut("_raw"), lambda x, d: F.struct(
+            x["words"].alias("item"), d.alias("value"), x["slots"].alias("slot"))), lambda x: x["slot"]),
+        lambda x: F.struct(x["item"].alias("item"), x["value"].alias("value")))
+
+
+def _judged(hits: DataFrame, group: list[str]) -> DataFrame:
+    """The windows of each group (`doc_id`, the columns given, `n_windows`) that fit the most frequent values, and those found as they are."""
+    # Grouped by a hash of the item, which is never null, so that later joins need no special case.
+    hits = hits.withColumn("group", F.xxhash64(*group, F.lit(7)))
+    slots = hits.select("group", F.explode("pairs").alias("p")).groupBy("group", "p.item", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    best = slots.groupBy("group", "item").agg(F.max(F.struct("n", "value")).alias("best"))
+    best = best.select(F.col("group").alias("_group"), "item", F.col("best.value").alias("best"))
+    opened = hits.withColumn("pair", F.explode_outer("pairs"))
+    judged = opened.join(best, (F.col("group") == F.col("_group")) & (F.col("pair.item") == F.col("item")), "left")
+    fits = F.coalesce(F.col("pair.value") == F.col("best"), F.lit(True))
+    equal = F.coalesce(F.col("pair.value") == F.col("pair.item"), F.lit(True))
+    named = ["doc_id", *group, "n_windows", "group"]
+    each = judged.groupBy(*named, "window", "pairs").agg(F.min(fits).alias("fits"), F.min(equal).alias("equal"))
+    return each.groupBy(*named).agg(
+        F.countDistinct(F.when(F.col("fits"), F.col("window"))).alias("n_found"),
+        F.countDistinct(F.when(F.col("equal"), F.col("window"))).alias("n_verbatim"),
+    ).drop("group")
+
+
+def _by_occurrence(keyed: DataFrame, items: DataFrame, missed: DataFrame, broadcast: bool) -> DataFrame:
+    """The pairs in `missed` again, each with the figures of the occurrence of the item that has most of its windows.
+
+    A window's place in the document less its place in the item is where its copy starts. An occurrence is what starts within the item's
+    length from a start that has a window, so words put in or left out don't split it, and the next copy isn't in it.
+    """
+    of_doc = [F.col(k).alias(f"_{k}") for k in ("key1", "key2")]
+    same_doc = (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2"))
+    gone = missed.select(*of_doc).distinct()
+    gone = F.broadcast(gone) if missed.count() <= KEYS_BROADCAST else gone
+    windows = _windows(prepared(keyed.join(gone, same_doc, "left_semi"), "text").drop("text"), ["doc_id", "key1", "key2"])
+    right = items.withColumnRenamed("hash", "item_hash")
+    right = F.broadcast(right) if broadcast else right.hint("merge")
+    met = windows.join(right, F.col("hash") == F.col("item_hash")).select(
+        "doc_id", "key1", "key2", "item_id", "window", "reach", _pairs().alias("pairs"), (F.col("at") - F.col("place")).alias("start"))
+    same = same_doc & F.col("item_id").eqNullSafe(F.col("_item"))
+    hits = met.join(missed.select(*of_doc, F.col("item_id").alias("_item"), "n_windows"), same).drop("_key1", "_key2", "_item")
+    hits = stored(hits.distinct().withColumn("pair", F.xxhash64("key1", "key2", "item_id", F.lit(3))), "placed")
+    cell = F.floor(F.col("start") / F.col("reach"))
+    starts = hits.select(F.col("pair").alias("_pair"), F.col("start").alias("first"), cell.alias("_cell")).distinct()
+    celled = hits.withColumn("cell", F.explode(F.array(cell, cell - 1)))
+    within = (F.col("start") >= F.col("first")) & (F.col("start") < F.col("first") + F.col("reach"))
+    placed = celled.join(starts, (F.col("pair") == F.col("_pair")) & (F.col("cell") == F.col("_cell")) & within)
+    counted = _judged(placed, ["key1", "key2", "item_id", "first"])
+    most = counted.groupBy("doc_id", "key1", "key2", "item_id", "n_windows").agg(F.max(F.struct("n_found", "n_verbatim")).alias("most"))
+    return most.select("doc_id", "key1", "key2", "item_id", "n_windows", "most.n_found", "most.n_verbatim")
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", least: float = LEAST, broadcast_limit: int = WINDOWS_BROADCAST,
@@ -64,22 +119,28 @@ def contamination(
 
     Windows of five template words of the whole texts meet by hash. A slot of the item must stand for one value throughout the document:
     of several, the most frequent counts, and windows with another value don't. A pair is reported if at least `least` of the item's
-    windows are found so. Windows with fewer than two words outside slots say nothing and count on neither side; an item without
-    other windows (under five words, or all slots) is never found.
+    windows are found so. A pair that isn't is judged again by occurrence, as a document may hold copies with different values: the
+    values and windows of each occurrence count by themselves, and the one with most windows is reported. Windows with fewer than two
+    words outside slots say nothing and count on neither side; an item without other windows (under five words, or all slots) is never
+    found.
 
     Returns `doc_id`, `key1`, `key2` (row key), `item_id`, `n_windows`, `n_found`, `n_verbatim`, `coverage` and `kind`, `verbatim` if
     the windows found as they are suffice and else `template`. Repeated rows count once; equal items with different ids are
     each reported; items that share an id are searched together. A null id stays null. Empty tables give no pairs.
     """
     items = prepared(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "text", plain=True)
+    lengths = items.select("item_id", "_raw").distinct().groupBy("item_id").agg(F.sum(F.size("_raw")).alias("reach"))
     # A window with a name is searched with the slot and with the word, for texts whose case was changed throughout.
     items = _windows(items, ["item_id"]).unionByName(_windows(items, ["item_id"], "_plain"))
     slots = F.transform(_cut("_form"), lambda w: F.substring(w, 1, 1) == "<")
-    items = stored(
-        items.select("item_id", "hash", F.xxhash64("item_id", _cut("_raw")).alias("window"), _cut("_raw").alias("words"), slots.alias("slots"))
+    placed = stored(
+        items.select(
+            "item_id", "hash", F.xxhash64("item_id", _cut("_raw")).alias("window"), _cut("_raw").alias("words"), slots.alias("slots"),
+            F.col("at").alias("place"))
         .filter(F.size(F.filter("slots", lambda x: ~x)) >= LITERALS).distinct(),
         "benchmark",
     )
+    items = placed.drop("place").distinct()
     totals = items.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
     keyed = documents.select(
         F.col(doc_id).alias("doc_id"), *(c.alias(n) for n, c in row_keys(doc_id, text).items()), F.col(text).alias("text")
@@ -88,12 +149,9 @@ def contamination(
     windows = _windows(prepared(keyed, "text").drop("text"), key)
     # Equal hashes are equal templates, so the documents' windows need no count of words outside slots.
     right = items.withColumnRenamed("hash", "item_hash")
-    right = F.broadcast(right) if items.count() <= broadcast_limit else right.hint("merge")
-    pairs = F.transform(F.filter(
-        F.zip_with(F.arrays_zip("words", "slots"), _cut("_raw"), lambda x, d: F.struct(
-            x["words"].alias("item"), d.alias("value"), x["slots"].alias("slot"))), lambda x: x["slot"]),
-        lambda x: F.struct(x["item"].alias("item"), x["value"].alias("value")))
-    met = windows.join(right, F.col("hash") == F.col("item_hash")).select(*key, "item_id", "window", pairs.alias("pairs"))
+    broadcast = placed.count() <= broadcast_limit
+    right = F.broadcast(right) if broadcast else right.hint("merge")
+    met = windows.join(right, F.col("hash") == F.col("item_hash")).select(*key, "item_id", "window", _pairs().alias("pairs"))
     hits = stored(met.distinct(), "hits")
     many = hits.groupBy(*key, "item_id").agg(F.countDistinct("window").alias("n"))
     same = F.col("item_id").eqNullSafe(F.col("_item"))
@@ -102,25 +160,16 @@ def contamination(
     of_wanted = (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")) & same
     hits = stored(hits.join(wanted, of_wanted).drop("_key1", "_key2", "_item"), "wanted")
 
-    group = ["key1", "key2", "item_id"]
-    # Grouped by a hash of the item, which is never null, so that later joins need no special case.
-    hits = hits.withColumn("group", F.xxhash64(*group, F.lit(7)))
-    slots = hits.select("group", F.explode("pairs").alias("p")).groupBy("group", "p.item", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    best = slots.groupBy("group", "item").agg(F.max(F.struct("n", "value")).alias("best"))
-    best = best.select(F.col("group").alias("_group"), "item", F.col("best.value").alias("best"))
-    opened = hits.withColumn("pair", F.explode_outer("pairs"))
-    judged = opened.join(best, (F.col("group") == F.col("_group")) & (F.col("pair.item") == F.col("item")), "left")
-    fits = F.coalesce(F.col("pair.value") == F.col("best"), F.lit(True))
-    equal = F.coalesce(F.col("pair.value") == F.col("pair.item"), F.lit(True))
-    each = judged.groupBy(*key, "item_id", "n_windows", "group", "window", "pairs").agg(
-        F.min(fits).alias("fits"), F.min(equal).alias("equal"))
-    found = each.groupBy(*key, "item_id", "n_windows", "group").agg(
-        F.countDistinct(F.when(F.col("fits"), F.col("window"))).alias("n_found"),
-        F.countDistinct(F.when(F.col("equal"), F.col("window"))).alias("n_verbatim"),
-    ).withColumn("coverage", F.col("n_found") / F.col("n_windows"))
+    counted = stored(_judged(hits, ["key1", "key2", "item_id"]), "counted")
     enough = F.lit(least) * F.col("n_windows")
-    return found.filter((F.col("n_found") >= enough) | (F.col("n_verbatim") >= enough)).select(
-        *key, "item_id", "n_windows", "n_found", "n_verbatim", "coverage",
+    suffices = (F.col("n_found") >= enough) | (F.col("n_verbatim") >= enough)
+    found, missed = counted.filter(suffices), counted.filter(~suffices)
+    if not is_empty(missed):
+        lengths = lengths.withColumnRenamed("item_id", "_item")
+        with_reach = placed.join(lengths, same).drop("_item")
+        found = found.unionByName(_by_occurrence(keyed, with_reach, missed, broadcast).filter(suffices))
+    return found.select(
+        *key, "item_id", "n_windows", "n_found", "n_verbatim", (F.col("n_found") / F.col("n_windows")).alias("coverage"),
         F.when(F.col("n_verbatim") >= enough, "verbatim").otherwise("template").alias("kind"),
     )
 
