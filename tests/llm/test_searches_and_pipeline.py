@@ -46,6 +46,14 @@ def test_slots_of_each_occurrence(spark, limit):
     assert got == {(0, 0): "template", (1, 0): "template"}
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_items_without_windows_are_found_whole(spark, limit):
+    texts = ["so 12 + 7 - 3 * 4 = 20 it is", "12 7 3 4", "Blue Whale", "a blue whale's song", "the blue sea, a whale", "1 2 3 4 5 6 7", "1 2 3 4 5 6 8", None, ""]
+    items = ["12 + 7 - 3 * 4 = 20", "Blue whale", "1 2 3 4 5 6 7", None, "", "?!"]
+    got = contaminated(spark, texts, items, broadcast_limit=limit)
+    assert got == {(0, 0): "verbatim", (2, 1): "verbatim", (3, 1): "verbatim", (5, 2): "verbatim"}
+
+
 @pytest.mark.parametrize("changed", [False, True])
 def test_slots_equal_sql(spark, tmp_path, changed):
     """The query and its SQL on small tables with slots, changed values, repeats and short texts."""

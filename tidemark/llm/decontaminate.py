@@ -111,6 +111,31 @@ def _by_occurrence(keyed: DataFrame, items: DataFrame, missed: DataFrame, broadc
     return most.select("doc_id", "key1", "key2", "item_id", "n_windows", "most.n_found", "most.n_verbatim")
 
 
+def _whole_items(keyed: DataFrame, texts: DataFrame, broadcast_limit: int) -> DataFrame:
+    """Documents that hold all words of an item one after another: for items (`item_id`, `_raw`) that have no window to search.
+
+    The first words, WINDOW at most, meet by hash; the rest is compared. `n_windows` counts the texts of the item.
+    """
+    first = F.least(F.size("_raw"), F.lit(WINDOW)).alias("n")
+    sizes = texts.groupBy(first).agg(F.max(F.size("_raw")).alias("longest")).orderBy("n").collect()
+    longest = max(r["longest"] for r in sizes)
+
+    def start(n: int, at: Column) -> Column:
+        return F.xxhash64(F.lit(n), *(F.get(F.col("_raw"), at + k) for k in range(n)))
+
+    head = F.coalesce(*(F.when(first == r["n"], start(r["n"], F.lit(0))) for r in sizes))
+    totals = texts.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    right = texts.select(F.col("item_id"), F.col("_raw").alias("item"), head.alias("item_hash")).join(
+        totals.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
+    right = F.broadcast(right) if texts.count() <= broadcast_limit else right.hint("merge")
+    words = prepared(keyed, "text").select("doc_id", "key1", "key2", "_raw", F.explode(F.sequence(F.lit(0), F.size("_raw"))).alias("at"))
+    starts = F.array(*(F.when(F.col("at") + r["n"] <= F.size("_raw"), start(r["n"], F.col("at"))) for r in sizes))
+    each = words.select("doc_id", "key1", "key2", F.slice("_raw", F.col("at") + 1, F.lit(longest)).alias("own"), F.explode(starts).alias("hash"))
+    met = each.join(right, (F.col("hash") == F.col("item_hash")) & (F.slice("own", F.lit(1), F.size("item")) == F.col("item")))
+    n = F.countDistinct("item")
+    return met.groupBy("doc_id", "key1", "key2", "item_id", "n_windows").agg(n.alias("n_found"), n.alias("n_verbatim"))
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", least: float = LEAST, broadcast_limit: int = WINDOWS_BROADCAST,
@@ -121,15 +146,16 @@ def contamination(
     of several, the most frequent counts, and windows with another value don't. A pair is reported if at least `least` of the item's
     windows are found so. A pair that isn't is judged again by occurrence, as a document may hold copies with different values: the
     values and windows of each occurrence count by themselves, and the one with most windows is reported. Windows with fewer than two
-    words outside slots say nothing and count on neither side; an item without other windows (under five words, or all slots) is never
-    found.
+    words outside slots say nothing and count on neither side; an item without other windows (under five words, or all slots) is found
+    where all its words stand one after another, and its texts count as windows. An item without words is never found.
 
     Returns `doc_id`, `key1`, `key2` (row key), `item_id`, `n_windows`, `n_found`, `n_verbatim`, `coverage` and `kind`, `verbatim` if
     the windows found as they are suffice and else `template`. Repeated rows count once; equal items with different ids are
     each reported; items that share an id are searched together. A null id stays null. Empty tables give no pairs.
     """
     items = prepared(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), "text", plain=True)
-    lengths = items.select("item_id", "_raw").distinct().groupBy("item_id").agg(F.sum(F.size("_raw")).alias("reach"))
+    texts = items.select("item_id", "_raw").filter(F.size("_raw") > 0).distinct()
+    lengths = texts.groupBy("item_id").agg(F.sum(F.size("_raw")).alias("reach"))
     # A window with a name is searched with the slot and with the word, for texts whose case was changed throughout.
     items = _windows(items, ["item_id"]).unionByName(_windows(items, ["item_id"], "_plain"))
     slots = F.transform(_cut("_form"), lambda w: F.substring(w, 1, 1) == "<")
@@ -168,6 +194,9 @@ def contamination(
         lengths = lengths.withColumnRenamed("item_id", "_item")
         with_reach = placed.join(lengths, same).drop("_item")
         found = found.unionByName(_by_occurrence(keyed, with_reach, missed, broadcast).filter(suffices))
+    short = stored(texts.join(totals.select(F.col("item_id").alias("_item")), same, "left_anti"), "short")
+    if not is_empty(short):
+        found = found.unionByName(_whole_items(keyed, short, broadcast_limit).filter(suffices))
     return found.select(
         *key, "item_id", "n_windows", "n_found", "n_verbatim", (F.col("n_found") / F.col("n_windows")).alias("coverage"),
         F.when(F.col("n_verbatim") >= enough, "verbatim").otherwise("template").alias("kind"),
