@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -56,7 +56,11 @@ LABELERS = ("shape", "gazetteer", "context", "assigned", "digits")
 FEATURES = ("length", "digit_share", "letters")
 
 
-def _running(values: Column, chunk: int = 1024) -> Column:
+def _plus(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _running(values: Column, chunk: int = 1024, add: Callable[[Column, Column], Column] = _plus) -> Column:
     """Inclusive running totals of an int array, built in chunks so that long arrays aren't copied for each element."""
     n = F.size(values)
     zero = F.lit(0)
@@ -67,12 +71,12 @@ def _running(values: Column, chunk: int = 1024) -> Column:
         return F.slice(values, c * chunk + 1, F.lit(chunk))
 
     def extend(state: Column, x: Column) -> Column:
-        return F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"] + x)).alias("out"))
+        return F.struct(add(state["at"], x).alias("at"), F.concat(state["out"], F.array(add(state["at"], x))).alias("out"))
 
     def empty(at: Column) -> Column:
         return F.struct(at.cast("int").alias("at"), no.alias("out"))
 
-    sums = F.transform(parts, lambda c: F.aggregate(part(c), zero, lambda a, x: a + x))
+    sums = F.transform(parts, lambda c: F.aggregate(part(c), zero, lambda a, x: add(a, x)))
     ends = F.aggregate(sums, empty(zero), extend, lambda s: s["out"])
     several = F.flatten(F.transform(parts, lambda c: F.aggregate(
         part(c), empty(F.coalesce(F.get(ends, c - 1), zero)), extend, lambda s: s["out"])))
@@ -294,19 +298,41 @@ def base_only(found: Column) -> Column:
     return F.filter(found, lambda x: x["rank"] < len(BASE))
 
 
+PIECE = 4096
+
+
 def mask(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The text with `<EMAIL>`, `<IP>` and so on in place of what was found, kind by kind; null stays null.
+    """The text with `<EMAIL>`, `<IP>` and so on in place of every span that `detect` finds in it; null stays null.
 
-    Each kind is searched in what the kinds before it left, so where spans of two kinds overlap the earlier kind takes both.
+    Spans that overlap are replaced together, by the kind of the one that starts first (of several, the earlier kind). What only the
+    placeholders make a match of the base patterns, such as a phone cut out of a longer number, is replaced after that, kind by kind.
     """
-    order = df.columns
-    for kind, (pattern, hint) in _patterns(model).items():
-        t = F.col(text)
-        df = df.withColumn("_found", F.when(F.rlike(t, F.lit(hint)), _matches(t, pattern)))
+    row = F.struct(*df.columns).alias("_row")
+    df = detect(df.select(row, F.col(text).alias("_text")), model, "_text")
+    t, found, ends, parts = (F.col(c) for c in ("_text", "found", "_ends", "_parts"))
+    has = F.size(found) > 0
+    df = df.withColumn("_ends", F.when(has, _running(F.transform(found, lambda x: x["end"]), add=F.greatest)))
+    # The text in parts, so that a piece far behind isn't looked for from the start.
+    df = df.withColumn("_parts", F.when(has, _matches(t, f"(?s).{{1,{PIECE}}}")))
+
+    def piece(a: Column, b: Column) -> Column:
+        i = F.floor(a / PIECE).cast("int")
+        near = F.array_join(F.slice(parts, i + 1, F.floor(b / PIECE).cast("int") - i + 1), "")
+        return F.substring(near, a % PIECE + 1, b - a)
+
+    done = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    df = df.withColumn("_first", F.when(has, F.filter(
+        F.arrays_zip(found.alias("span"), done.alias("done")), lambda x: x["span"]["start"] >= x["done"])))
+    between = F.transform("_first", lambda x: F.concat(piece(x["done"], x["span"]["start"]), F.lit("<"), F.upper(x["span"]["kind"]), F.lit(">")))
+    masked = F.concat(F.array_join(between, ""), piece(F.element_at(ends, -1), F.length(t)))
+    df = df.select("_row", has.alias("_has"), F.when(has, masked).otherwise(t).alias("_text"))
+    for kind, pattern in BASE.items():
+        df = df.withColumn("_found", F.when(F.col("_has") & F.rlike(t, F.lit(HINTS[kind])), _matches(t, pattern)))
         m = F.col("_found")
         df = df.withColumn("_pieces", F.when(F.size(m) > 0, _pieces(t, pattern)))
         pieces = F.col("_pieces")
         between = F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), m, lambda gap, x: F.concat(
-            gap, F.when(_keeps(model, kind, x, gap), f"<{kind.upper()}>").otherwise(x)))  # noqa: B023
-        df = df.withColumn(text, F.when(F.size(m) > 0, F.concat(F.array_join(between, ""), F.element_at(pieces, -1))).otherwise(t))
-    return df.select(*order)
+            gap, F.when(valid(kind, x), f"<{kind.upper()}>").otherwise(x)))  # noqa: B023
+        df = df.withColumn("_text", F.when(F.size(m) > 0, F.concat(F.array_join(between, ""), F.element_at(pieces, -1))).otherwise(t))
+    names = df.schema["_row"].dataType.fieldNames()
+    return df.select(*(t.alias(c) if c == text else F.col("_row")[c].alias(c) for c in names))
