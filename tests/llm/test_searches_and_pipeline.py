@@ -133,6 +133,13 @@ def test_wordings_that_differ(scanner):
     assert "Apache-2.0" in named(broken)
 
 
+def test_declarations_in_long_sentences(scanner):
+    for n in (5, 20, 60, 300):
+        text = "stone water river hill road " * n + "which is released under the MIT License and was " + "tree light wind sand " * n
+        found = licenses.statements(scanner, text)
+        assert [(f["license"], text[f["start"] : f["stop"]]) for f in found] == [("MIT", "released under the MIT License")]
+
+
 def test_conditional_size_is_smaller(scanner):
     text = "Licensed under the Apache License, Version 2.0."
     alone, given, best = scanner.ranked(text)[0]
