@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 import pytest
 from compare import connect, differences, spark_rows, sql_rows
@@ -140,6 +141,16 @@ def test_declarations_in_long_sentences(scanner):
         assert [(f["license"], text[f["start"] : f["stop"]]) for f in found] == [("MIT", "released under the MIT License")]
 
 
+def test_wrapped_notices_with_list_numbers(scanner):
+    notice = next(texts[-1] for name, _, texts in licenses.TEMPLATES if name == "BSD-3-Clause")
+    for k, start in enumerate(("Redistributions of source", "Redistributions in binary", "Neither the name")):
+        notice = notice.replace(start, f"\n\n{k + 1}. {start}")
+    for width in (30, 60, 80):
+        wrapped = "\n\n".join(textwrap.fill(p, width) for p in notice.split("\n\n"))
+        text = f"Copyright (c) 2019, Some One\nAll rights reserved.\n\n{wrapped}\n"
+        assert [f["license"] for f in licenses.statements(scanner, text)] == ["BSD-3-Clause"]
+
+
 def test_conditional_size_is_smaller(scanner):
     text = "Licensed under the Apache License, Version 2.0."
     alone, given, best = scanner.ranked(text)[0]
