@@ -151,6 +151,17 @@ def test_wrapped_notices_with_list_numbers(scanner):
         assert [f["license"] for f in licenses.statements(scanner, text)] == ["BSD-3-Clause"]
 
 
+@pytest.mark.parametrize("times", [1, 12])
+def test_notices_one_after_another(scanner, times):
+    names = ["MIT", "ISC", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0"] * times
+    wordings = {name: texts[-1] for name, _, texts in licenses.TEMPLATES}
+    notices = [textwrap.fill(wordings[name], 70) for name in names]
+    text = "\n\n".join(f"Package {i}\nCopyright (c) 2020 Some One\n\n{x}" for i, x in enumerate(notices))
+    found = licenses.statements(scanner, text)
+    assert [f["license"] for f in found] == names
+    assert all(text[f["start"] : f["stop"]] == x for f, x in zip(found, notices, strict=True))
+
+
 def test_conditional_size_is_smaller(scanner):
     text = "Licensed under the Apache License, Version 2.0."
     alone, given, best = scanner.ranked(text)[0]
