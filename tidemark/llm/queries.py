@@ -266,3 +266,60 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+AUDIT_FILTERS = "ABCDE"
+AUDIT_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM words LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+f AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+  SELECT list_aggregate(list_transform(o, lambda i: substr('ABCDE', i, 1)), 'string_agg', '') AS filter_order, s AS step, o[s] AS own,
+    o[1:s - 1] AS before, list_filter([1, 2, 3, 4, 5], lambda i: i <> o[s]) AS others
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)),
+audit AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE NOT early AND NOT fails[own]), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE NOT early AND fails[own]), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE early AND fails[own]), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails[own] AND NOT other), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT early AND fails[own]), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT early AND fails[own]), 0) AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda i: fails[i])) > 0 AS early, len(list_filter(others, lambda i: fails[i])) > 0 AS other
+        FROM steps, counts)
+  GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM audit
+"""
+
+
+@register("op11_filter_interactions", AUDIT_SQL)
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.interactions import audit, failure_counts
+
+    counts = failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit(counts, AUDIT_FILTERS, lost=["good_lost", "toxic_lost"]).select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    )
+
+
+@register("op12_conversation_prefix_trie")
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.tries import grafted, prefix_trie, turns_of
+
+    conv = F.col("conv")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 9
+    turns, lengths = grafted(turns_of(table(spark, sf_dir, "conversations")), conv - conv % 5, shared, limit=8)
+    return prefix_trie(turns, lengths).drop("entered", "left")
