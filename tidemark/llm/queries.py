@@ -323,3 +323,12 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     shared = F.crc32(conv.cast("string").cast("binary")) % 9
     turns, lengths = grafted(turns_of(table(spark, sf_dir, "conversations")), conv - conv % 5, shared, limit=8)
     return prefix_trie(turns, lengths).drop("entered", "left")
+
+
+@register("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.languages import fit, identify_languages
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_languages(documents.drop("lang"), fit(documents))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
