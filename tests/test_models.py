@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.models import batch, components, online, scoring, search, weights as wt
+from tidemark.models import batch, components, online, packed, scoring, search, weights as wt
 from tidemark.panel import Panel
 
 FEATURES = ["x_0", "x_1", "x_2"]
+ROOT = Path(__file__).resolve().parent.parent
 
 
 def design(spark, lengths: dict[int, int], seed: int = 0, **options) -> tuple[Panel, pd.DataFrame]:
@@ -220,16 +225,108 @@ def test_incomplete_rows_null_keys_and_scores(spark, options):
         assert np.allclose([got[s, 1, "output", j, 0] for j in range(3)], w)
 
 
-def test_rounds_keep_a_state_of_constant_size(spark, monkeypatch):
-    panel, _ = design(spark, {1: 30, 2: 3}, max_series_rows=4, segment_rows=10)
-    init = wt.constant_init(models(panel, 2), 3, 0, 0.1)
-    sizes, gone = [], []
-    train = online._Task.run
-    monkeypatch.setattr(online, "remove", lambda spark, path: gone.append(path))
-    fit = online.fit_online(panel, FEATURES, "y", init, epochs=6)
-    assert train and fit.weights.count() == 2 * 2 * 3 and fit.curve.count() == 2 * 2 * 6 and len(gone) == 1
-    sizes.append(fit.table.filter("kind = 'weight'").count())
-    assert sizes == [12]
+def long_series(spark, **options):
+    """Series that need several slices, one that needs one, and models of a series without rows."""
+    panel, rows = design(spark, {1: 30, 2: 3, 3: 17, 4: 41}, max_series_rows=4, segment_rows=10, **options)
+    none = spark.createDataFrame([(9,)], "s long")
+    return panel, rows, models(panel, 3).unionByName(search.trials_of(none, 2))
+
+
+def everything(fit):
+    weights = table(fit.weights)
+    curve = {(r["s"], r["model_id"], r["epoch"]): (r["sse"], r["success"]) for r in fit.curve.collect()}
+    return weights, curve
+
+
+@pytest.mark.parametrize("neurons", [0, 3])
+@pytest.mark.parametrize("how", [{"relay": True, "epochs_per_job": 2, "tasks": 2}, {"relay": False}])
+def test_slices_train_like_whole_series(spark, how, neurons):
+    panel, rows, nets = long_series(spark)
+    init = wt.random_init(nets, 3, neurons, seed=5)
+    options = {"eta": 0.4, "momentum": 0.5, "epochs": 3}
+    whole = everything(online.fit_online(Panel(panel.df, "s", "t"), FEATURES, "y", init, **options))
+    sliced = everything(online.fit_online(panel, FEATURES, "y", init, **options, **how).pinned())
+    for a, b in zip(whole, sliced):
+        assert a.keys() == b.keys() and a
+        for k in a:
+            assert b[k] == pytest.approx(a[k], abs=1e-12)
+
+
+@pytest.mark.parametrize("relay", [True, False])
+def test_traces_and_scores_of_slices(spark, relay):
+    panel, rows, nets = long_series(spark)
+    init = wt.random_init(nets, 3, 0, seed=2)
+    options = {"eta": 0.4, "epochs": 2, "trace_every": 4, "keep_scores": True}
+    whole = online.fit_online(Panel(panel.df, "s", "t"), FEATURES, "y", init, **options).pinned()
+    sliced = online.fit_online(panel, FEATURES, "y", init, **options, relay=relay).pinned()
+    for name, key in (("trace", ["s", "model_id", "step", "src"]), ("scores", ["s", "model_id", "rn"])):
+        a, b = (getattr(f, name).toPandas().sort_values(key).reset_index(drop=True) for f in (whole, sliced))
+        assert len(a) and a[key].equals(b[key]) and np.allclose(a.drop(columns=key), b.drop(columns=key))
+
+
+def test_settings_by_model_in_slices(spark):
+    panel, rows, nets = long_series(spark)
+    init = wt.random_init(nets, 3, 2, seed=1).withColumns({"eta": F.col("model_id") * 0.1, "momentum": F.lit(0.3), "epochs": F.col("model_id").cast("int")})
+    options = {"eta": None, "momentum": None, "epochs": None}
+    whole = everything(online.fit_online(Panel(panel.df, "s", "t"), FEATURES, "y", init, **options))
+    for how in ({"relay": True, "tasks": 2}, {"relay": False}):
+        sliced = everything(online.fit_online(panel, FEATURES, "y", init, **options, **how).pinned())
+        assert [a.keys() for a in whole] == [b.keys() for b in sliced]
+        assert all(b[k] == pytest.approx(a[k], abs=1e-12) for a, b in zip(whole, sliced) for k in a)
+
+
+def test_many_epochs_take_few_jobs_and_leave_one_table(spark, monkeypatch):
+    from tidemark.models import relay
+
+    panel, rows, nets = long_series(spark)
+    made, gone = [], []
+    path_of, forget = relay.shared_path, relay.remove
+    monkeypatch.setattr(relay, "shared_path", lambda s, label: made.append(path_of(s, label)) or made[-1])
+    monkeypatch.setattr(relay, "remove", lambda s, path: gone.append(path) or forget(s, path))
+    init = wt.constant_init(nets, 3, 0, 0.1)
+    fit = online.fit_online(panel, FEATURES, "y", init, eta=0.3, epochs=50, relay=True, tasks=1)
+    assert fit.weights.count() == 14 * 3 and fit.curve.count() == 14 * 50
+    assert len(made) == 1 + 5 and gone == made[:-1]
+    whole = everything(online.fit_online(Panel(panel.df, "s", "t"), FEATURES, "y", init, eta=0.3, epochs=50))
+    assert all(b[k] == pytest.approx(a[k], abs=1e-10) for a, b in zip(whole, everything(fit)) for k in a)
+
+
+def test_a_failed_task_changes_nothing(tmp_path):
+    """In a session that allows failures, one task of the barrier stage fails once; the stage runs again."""
+    code = f"""
+import os, sys
+sys.path[:0] = [{str(ROOT)!r}, {str(ROOT / 'tests')!r}]
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.driver.memory", "2g").config("spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).getOrCreate())
+import test_models as t
+from tidemark.models import online, weights as wt
+marker = {str(tmp_path / 'failed')!r}
+
+def fail_once(task, beat):
+    import os
+    if task == 1 and beat == 1 and not os.path.exists(marker):
+        open(marker, "w").close()
+        raise RuntimeError("lost")
+
+panel, rows, nets = t.long_series(spark)
+init = wt.random_init(nets, 3, 2, seed=4)
+results = [t.everything(online.fit_online(panel, t.FEATURES, "y", init, epochs=2, relay=True, tasks=3, epochs_per_job=1, probe=p).pinned()) for p in (None, fail_once)]
+assert os.path.exists(marker) and results[0] == results[1]
+print("same")
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240)
+    assert done.stdout.strip().endswith("same"), done.stderr[-2000:]
+
+
+def test_packed_weights(spark):
+    panel, _ = design(spark, {1: 5, 2: 6})
+    for neurons in (0, 3):
+        rows = wt.random_init(models(panel, 2), 3, neurons, sd=2.0, seed=8)
+        arrays = wt.random_arrays(models(panel, 2), 3, neurons, sd=2.0, seed=8)
+        again = packed.unpack(arrays, ["s", "model_id"], 3)
+        assert table(rows) == table(again) == table(packed.unpack(packed.pack(rows, ["s", "model_id"]), ["s", "model_id"], 3))
+        assert packed.pack(arrays, ["s", "model_id"]).columns == ["s", "model_id", "neurons", "weights"]
 
 
 def test_traces_of_hidden_neurons_are_refused(spark):

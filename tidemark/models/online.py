@@ -4,9 +4,9 @@ One fit is a serial chain by definition, so the work is spread over fits. Spark
 restarts) into tasks of bounded size; inside a task all its models advance together, one row position at a time,
 as numpy arrays over models. A model's result does not depend on which others share its task.
 
-A series too long for one task is trained in rounds: its rows are stored by slice, a round trains the models that have rows in a
-slice, and only weights, last steps and a counter travel to the next round; curves go to a table. The updates and their order are
-the same.
+A series too long for one task is trained slice by slice. Where the cluster can hold its rows, slices stay in the tasks of
+a barrier stage and models travel from slice to slice (``models.relay``); otherwise a job per slice trains the models on it, and only
+weights, last steps and curves travel between jobs. The updates and their order are the same.
 
 Rows with a NULL or NaN feature or label are left out, as the last row of a series has no label.
 """
@@ -14,20 +14,27 @@ Rows with a NULL or NaN feature or label are left out, as the last row of a seri
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.models.weights import HIDDEN, OUTPUT
+from tidemark.models import relay as barrier
+from tidemark.models.fleet import Fleet
+from tidemark.models.packed import pack, unpack
 from tidemark.operators.selection import complete_cases
-from tidemark.panel import ROW_NUMBER, Panel, attach
+from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel, attach
 from tidemark.session import remove, shared_dir, shared_path
 
-WEIGHT, EPOCH, TRACE, SCORE = "weight", "epoch", "trace", "score"
-SETTINGS = ["eta", "momentum", "epochs", "slices"]
+WEIGHT, TRACE, SCORE, SNAPSHOT = "weight", "trace", "score", "snapshot"
+SETTINGS = {"eta": "double", "momentum": "double", "epochs": "int"}
+#: One row per model (kind ``weight``): weights and last steps, the settings, and what each epoch has cost so far. Rows of the other kinds
+#: hold pieces of traces and scores in the same columns.
+COLUMNS = {
+    "kind": "string", "neurons": "int", "weights": "array<double>", "steps": "array<double>", **SETTINGS,
+    "done": "long", "sse": "array<double>", "hits": "array<long>", "length": "long", "numbers": "array<long>",
+}
 
 
 @dataclass(frozen=True)
@@ -36,17 +43,25 @@ class Fit:
 
     table: DataFrame
     ids: list[str]
+    inputs: int
+
+    @property
+    def packed(self) -> DataFrame:
+        """One row per model with its weights as an array, in the order of ``connections``."""
+        return self.table.filter(F.col("kind") == WEIGHT).select(*self.ids, "neurons", "weights")
 
     @property
     def weights(self) -> DataFrame:
-        return self.table.filter(F.col("kind") == WEIGHT).select(*self.ids, "layer", "src", "dst", "weight")
+        return unpack(self.packed, self.ids, self.inputs)
 
     @property
     def curve(self) -> DataFrame:
         """Half squared error summed over the epoch and share of hits, both measured before each update."""
-        sums = {c: F.sum(c).alias(c) for c in ("sse", "hits", "rows")}
-        rows = self.table.filter(F.col("kind") == EPOCH).groupBy(*self.ids, "epoch").agg(*sums.values())
-        return rows.select(*self.ids, "epoch", "sse", F.try_divide(F.col("hits"), F.col("rows")).alias("success"))
+        rows = self.table.filter(F.col("kind") == WEIGHT).select(*self.ids, "length", F.posexplode(F.arrays_zip("sse", "hits")).alias("_at", "_epoch"))
+        return rows.select(
+            *self.ids, (F.col("_at") + 1).alias("epoch"), F.col("_epoch.sse").alias("sse"),
+            F.try_divide(F.col("_epoch.hits"), F.col("length")).alias("success"),
+        )
 
     @property
     def scores(self) -> DataFrame:
@@ -54,19 +69,27 @@ class Fit:
 
         Rows are numbered within the series, from 1, without those left out. Asked for with ``keep_scores``.
         """
-        rows = self.table.filter(F.col("kind") == SCORE)
-        return rows.select(*self.ids, F.col("rows").alias("rn"), F.col("weight").alias("p"), F.col("step").alias("difference"))
+        rows = self.table.filter(F.col("kind") == SCORE).select(*self.ids, F.inline(F.arrays_zip("numbers", "weights", "steps")))
+        return rows.select(*self.ids, F.col("numbers").alias("rn"), F.col("weights").alias("p"), F.col("steps").alias("difference"))
 
     @property
     def trace(self) -> DataFrame:
         """Weights before each traced update; ``step`` counts the updates of the model from 0."""
-        rows = self.table.filter(F.col("kind") == TRACE)
-        return rows.select(*self.ids, F.col("rows").alias("step"), "src", "weight")
+        rows = self.table.filter(F.col("kind") == TRACE).select(*self.ids, "numbers", F.posexplode("weights").alias("_at", "weight"))
+        step = F.element_at("numbers", (F.floor(F.col("_at") / self.inputs) + 1).cast("int"))
+        return rows.select(*self.ids, step.alias("step"), (F.col("_at") % self.inputs).alias("src"), "weight")
+
+    @property
+    def snapshots(self) -> DataFrame:
+        """Packed weights (``neurons``, ``weights``) before update ``step``, that is after so many rows. Asked for with ``snapshot_shares``."""
+        rows = self.table.filter(F.col("kind") == SNAPSHOT).select(*self.ids, "neurons", F.col("weights").alias("_all"), F.size("numbers").alias("_k"), F.posexplode("numbers").alias("_at", "step"))
+        size = (F.size("_all") / F.col("_k")).cast("int")
+        return rows.select(*self.ids, "step", "neurons", F.slice("_all", F.col("_at") * size + 1, size).alias("weights"))
 
     def pinned(self) -> Fit:
         """Run the fit now and keep its small result, so that weights and curve do not train twice."""
         shared_dir(self.table.sparkSession)
-        return Fit(self.table.checkpoint(), self.ids)
+        return Fit(self.table.checkpoint(), self.ids, self.inputs)
 
 
 def fit_online(
@@ -82,244 +105,186 @@ def fit_online(
     batches: int = 1,
     trace_every: int | None = None,
     keep_scores: bool = False,
+    snapshot_shares: tuple[float, ...] = (),
     rows_per_task: int = 500_000,
+    relay: bool | None = None,
+    **relay_options,
 ) -> Fit:
     """Fit every model of ``init`` on the rows of its series.
 
-    ``init`` is a weight table with the panel's series columns and ``model_id``; models with hidden rows are
+    ``init`` is a weight table, long or packed, with the panel's series columns and ``model_id``; models with hidden rows are
     perceptrons with one hidden layer, the others plain logistic ones. ``eta``, ``momentum`` and ``epochs`` may be
     ``None`` to be read from columns of ``init``, one value per model. ``perceptron`` lets the plain model learn from
     the predicted class instead of the score. ``batches`` spreads the models of one series over that many tasks.
-    ``trace_every`` records the weights of models without hidden neurons; ``keep_scores`` the scores of the last epoch.
-    A series with more than ``rows_per_task`` rows is trained in rounds.
+    ``trace_every`` records the weights of models without hidden neurons; ``keep_scores`` the scores of the last epoch;
+    ``snapshot_shares`` the weights once the first epoch has seen these shares of a series (rounded half to even).
+    A series with more than ``rows_per_task`` rows is trained slice by slice: with ``relay`` in a barrier stage (``relay_options`` are those
+    of ``models.relay.train``), without it by a job per slice. By default the cluster's size decides.
     """
     spark = panel.df.sparkSession
-    if trace_every and init.filter(F.col("layer") == HIDDEN).limit(1).count():
-        raise ValueError("weights are traced for models without hidden neurons only")
     panel = panel.subset(complete_cases(panel.df, [*features, label]))
     ids = [*panel.series, "model_id"]
     given = {"eta": eta, "momentum": momentum, "epochs": epochs}
-    settings = {k: F.lit(v) if v is not None else F.col(k) for k, v in given.items()}
-    state = init.select(
-        *ids,
-        F.lit(WEIGHT).alias("kind"),
-        "layer",
-        F.col("src").cast("int"),
-        F.col("dst").cast("int"),
-        F.col("weight").cast("double"),
-        F.lit(0.0).alias("step"),
-        F.lit(0).alias("epoch"),
-        F.lit(0.0).alias("sse"),
-        F.lit(0).cast("long").alias("hits"),
-        F.lit(0).cast("long").alias("rows"),
-        settings["eta"].cast("double").alias("eta"),
-        settings["momentum"].cast("double").alias("momentum"),
-        settings["epochs"].cast("int").alias("epochs"),
-        F.lit(1).alias("slices"),
-    )
-    tasks = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_task))
-    place = {
-        "_bucket": F.pmod(F.xxhash64(*panel.series), F.lit(tasks)).cast("int"),
-        "_batch": F.pmod(F.xxhash64("model_id"), F.lit(batches)).cast("int"),
+    models = pack(init, ids, [k for k, v in given.items() if v is None])
+    if trace_every and models.filter("neurons > 0").limit(1).count():
+        raise ValueError("weights are traced for models without hidden neurons only")
+    values = {k: (F.lit(v) if v is not None else F.col(k)) for k, v in given.items()} | {
+        "kind": F.lit(WEIGHT), "neurons": F.col("neurons"), "weights": F.col("weights"),
+        "steps": F.transform("weights", lambda w: F.lit(0.0)), "done": F.lit(0), "length": F.lit(0),
+        "sse": F.array(), "hits": F.array(), "numbers": F.array(),
     }
-    spread = F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))
-    schema = state.schema
-
-    def train(rows: DataFrame, models: DataFrame, order: list[str], whole: bool, epoch: int = 0) -> DataFrame:
-        job = _Task(panel.series, order, features, label, perceptron, trace_every, keep_scores, whole, epoch)
-        rows = rows.withColumn("_batch", spread).groupBy("_bucket", "_batch")
-        # Rows and models may share lineage; fresh column identities keep the two sides of the cogroup apart.
-        nets = models.select(*(F.col(c).alias(c) for c in models.columns)).withColumns(place)
-        return rows.cogroup(nets.groupBy("_bucket", "_batch")).applyInPandas(
-            lambda part, state: job.run(part, state), schema
-        )
-
+    state = models.select(*ids, *(values[c].cast(t).alias(c) for c, t in COLUMNS.items()))
     columns = [*panel.series, *features, label]
+    trainer = Trainer(panel.series, features, label, perceptron, trace_every, keep_scores, tuple(snapshot_shares))
+
     if panel.stats.longest <= rows_per_task and not panel.is_long:
-        rows = panel.df.select(*dict.fromkeys([*columns, *panel.order])).withColumn("_bucket", place["_bucket"])
-        return Fit(train(rows, state, panel.order, whole=True), ids)
+        tasks = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_task))
+        rows = panel.df.select(*dict.fromkeys([*columns, *panel.order]))
+        return Fit(_train(rows, state, trainer, panel.order, tasks, batches), ids, len(features))
 
     size = min(panel.segment_rows, rows_per_task)
     panel, segment, _ = panel.segments(size)
-    path, log = shared_path(spark, "rounds"), shared_path(spark, "curves")
-    rows = panel.rows.select(*columns, ROW_NUMBER, segment.alias("_slice"), place["_bucket"].alias("_bucket"))
-    rows.repartition(tasks, "_slice", "_bucket").write.partitionBy("_slice").parquet(path)
-    stored = spark.read.parquet(path)
-    lengths = stored.groupBy(*panel.series).agg((F.max("_slice") + 1).cast("int").alias("slices"))
-    state = attach(state.drop("slices"), lengths, panel.series, panel.stats.series).na.fill(0, ["slices"]).select(*schema.names)
-    shared_dir(spark)
-    state = state.checkpoint()
-    last = state.agg(F.max("epochs").alias("epochs"), F.max("slices").alias("slices")).first()
-    for epoch in range(last["epochs"] or 0):
-        for number in range(last["slices"] or 0):
-            busy = (F.col("slices") > number) & (F.col("epochs") > epoch)
-            part = stored.filter(F.col("_slice") == number).drop("_slice")
-            trained = train(part, state.filter(busy), [ROW_NUMBER], whole=False, epoch=epoch).checkpoint()
-            trained.filter(F.col("kind") != WEIGHT).write.mode("append").parquet(log)
-            state = trained.filter(F.col("kind") == WEIGHT).unionByName(state.filter(~busy)).checkpoint()
+    path = shared_path(spark, "rounds")
+    panel.rows.select(*columns, ROW_NUMBER, SERIES_ROWS, segment.alias("_slice")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    if relay is None:
+        relay = barrier.fits(spark, panel.stats.rows)
+    if relay:
+        table = barrier.train(rows.drop("_slice"), state, trainer, size, panel.stats.rows, **relay_options)
+    else:
+        table = _by_jobs(rows.drop(SERIES_ROWS), state, trainer, panel, batches, rows_per_task)
     remove(spark, path)
-    if not last["epochs"] or not last["slices"]:
-        return Fit(state, ids)
-    return Fit(state.unionByName(spark.read.schema(schema).parquet(log)), ids)
+    return Fit(table, ids, len(features))
+
+
+def _train(rows: DataFrame, models: DataFrame, trainer: Trainer, order: list[str], tasks: int, batches: int, epoch: int | None = None, first: bool = True) -> DataFrame:
+    """One cogroup of rows and models: all epochs of whole series, or one epoch of a slice."""
+    bucket = F.pmod(F.xxhash64(*trainer.series), F.lit(tasks)).cast("int")
+    schema = models.schema
+    spread = F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))
+    rows = rows.withColumn("_bucket", bucket).withColumn("_batch", spread).groupBy("_bucket", "_batch")
+    # Rows and models may share lineage; fresh column identities keep the two sides of the cogroup apart.
+    nets = models.select(*(F.col(c).alias(c) for c in models.columns)).withColumns(
+        {"_bucket": bucket, "_batch": F.pmod(F.xxhash64("model_id"), F.lit(batches)).cast("int")}
+    )
+    return rows.cogroup(nets.groupBy("_bucket", "_batch")).applyInPandas(
+        lambda part, state: trainer.run(part, state, order, epoch, first), schema
+    )
+
+
+def _by_jobs(rows: DataFrame, state: DataFrame, trainer: Trainer, panel: Panel, batches: int, rows_per_task: int) -> DataFrame:
+    """A job per epoch and slice; each writes the models that it trained, and those of the job before go."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_task))
+    lengths = rows.groupBy(*trainer.series).agg(F.max("_slice").alias("_last"), F.count(F.lit(1)).alias("_length"))
+    columns = state.columns
+    state = attach(state, lengths, trainer.series, panel.stats.series).na.fill(-1, ["_last"]).na.fill(0, ["_length"])
+    state = state.withColumn("length", F.col("_length")).select(*columns, "_last")
+    path = shared_path(spark, "models")
+    state.write.parquet(path)
+    state = spark.read.parquet(path)
+    last = state.agg(F.max("epochs").alias("epochs"), F.max("_last").alias("slices")).first()
+    pieces: list[DataFrame] = []
+    for epoch in range(last["epochs"] or 0):
+        for number in range(max(0, last["slices"]) + 1):
+            # A series without rows has one empty slice.
+            busy = (F.col("epochs") > epoch) & (F.greatest("_last", F.lit(0)) >= number)
+            part = rows.filter(F.col("_slice") == number).drop("_slice")
+            trained = _train(part, state.filter(busy), trainer, [ROW_NUMBER], tasks, batches, epoch, number == 0)
+            before, path = path, shared_path(spark, "models")
+            trained.unionByName(state.filter(~busy)).write.parquet(path)
+            table = spark.read.parquet(path)
+            state = table.filter(F.col("kind") == WEIGHT)
+            if trainer.keeps_pieces:
+                pieces.append(table.filter(F.col("kind") != WEIGHT))
+            else:
+                remove(spark, before)
+    for piece in pieces:
+        state = state.unionByName(piece)
+    return state.select(*columns)
 
 
 @dataclass(frozen=True)
-class _Task:
-    """Train the models of one group of series. Runs in a Python worker on two bounded pandas frames."""
+class Trainer:
+    """Train the models of one group of series. Runs in a Python worker on bounded pandas frames."""
 
     series: list[str]
-    order: list[str]
     features: list[str]
     label: str
-    perceptron: bool
-    trace_every: int | None
-    keep_scores: bool
-    whole: bool
-    epoch: int
+    perceptron: bool = False
+    trace_every: int | None = None
+    keep_scores: bool = False
+    snapshot_shares: tuple[float, ...] = ()
+
+    @property
+    def ids(self) -> list[str]:
+        return [*self.series, "model_id"]
+
+    @property
+    def keeps_pieces(self) -> bool:
+        return bool(self.trace_every or self.keep_scores or self.snapshot_shares)
 
-    def run(self, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def run(self, rows: pd.DataFrame, state: pd.DataFrame, order: list[str], epoch: int | None, first: bool) -> pd.DataFrame:
+        """All epochs (``epoch`` None), or the part of epoch number ``epoch`` that is in ``rows``; ``first`` opens it."""
         state = state.drop(columns=["_bucket", "_batch"])
         if state.empty:
             return state
-        ids = [*self.series, "model_id"]
-        rows = rows.sort_values([*self.series, *self.order], kind="stable")
+        rows = rows.sort_values([*self.series, *order], kind="stable")
         x = rows[self.features].to_numpy(dtype=float)
         y = rows[self.label].to_numpy(dtype=float)
-        numbers = np.zeros(len(rows), dtype=np.int64) if self.whole else rows[ROW_NUMBER].to_numpy(dtype=np.int64)
-        places = rows[self.series].assign(start=np.arange(len(rows)), number=numbers)
+        numbers = np.ones(len(rows), dtype=np.int64) if epoch is None else rows[ROW_NUMBER].to_numpy(dtype=np.int64)
+        places = rows[self.series].assign(_start=np.arange(len(rows)), _number=numbers)
         places = places.groupby(self.series, sort=False, dropna=False).agg(
-            start=("start", "min"), length=("start", "size"), number=("number", "min")
+            _start=("_start", "min"), _rows=("_start", "size"), _number=("_number", "min")
         ).reset_index().astype({c: rows[c].dtype for c in self.series})
-
-        weights = state.sort_values([*ids, "layer", "dst", "src"])
-        models = weights.groupby(ids, sort=False, dropna=False).agg(
-            size=("weight", "size"), neurons=("dst", "max"), done=("rows", "first"), **{s: (s, "first") for s in SETTINGS}
-        ).reset_index().astype({c: state[c].dtype for c in self.series})
-        models = models.merge(places, how="left", on=self.series).fillna({"start": 0, "length": 0, "number": 0})
+        models = state.merge(places, how="left", on=self.series).fillna({"_start": 0, "_rows": 0, "_number": 1})
+        models["_size"] = models["weights"].map(len)
 
         # Models of one shape are trained together.
-        weights = weights.merge(models[[*ids, "size", "neurons", "epochs"]], on=ids, suffixes=("", "_"))
         results = []
-        for shape, fleet_models in models.groupby(["size", "neurons", "epochs"], sort=True):
-            member = (weights["size"] == shape[0]) & (weights["neurons"] == shape[1]) & (weights["epochs"] == shape[2])
-            results += self._train(fleet_models, weights[member], x, y, ids)
-        return pd.concat([r for r in results if len(r)], ignore_index=True)[list(state.columns)]
+        for _, fleet in models.groupby(["_size", "neurons", "epochs"], sort=True):
+            results += self._train(fleet, x, y, epoch, first)
+        return pd.concat(results, ignore_index=True)[list(state.columns)]
 
-    def _train(self, models: pd.DataFrame, weights: pd.DataFrame, x, y, ids: list[str]) -> list[pd.DataFrame]:
-        size, neurons, epochs = (int(models[c].iloc[0]) for c in ("size", "neurons", "epochs"))
+    def _train(self, models: pd.DataFrame, x, y, epoch: int | None, first: bool) -> list[pd.DataFrame]:
         # Longest series first, so that the models that still have a row are always a prefix.
-        rank = np.argsort(-models["length"].to_numpy(), kind="stable")
-        lanes = models.iloc[rank]
-        shaped = weights[["weight", "step"]].to_numpy().reshape(len(models), size, 2)[rank]
-        fleet = _Fleet(lanes, shaped[:, :, 0], shaped[:, :, 1], neurons, self.perceptron)
-
-        curves, traces, scores = [], [], []
-        numbers = range(epochs) if self.whole else [self.epoch] if self.epoch < epochs else []
-        for number in numbers:
-            sse, hits, traced, scored = fleet.advance(x, y, self.trace_every, self.keep_scores and number == epochs - 1)
-            scores += scored
-            curves.append(
-                lanes[[*ids, *SETTINGS]].assign(
-                    kind=EPOCH, layer="", src=0, dst=0, weight=0.0, step=0.0, epoch=number + 1, sse=sse, hits=hits,
-                    rows=lanes["length"].astype("int64"),
-                )
-            )
-            traces += traced
-        trained = np.stack([fleet.weights(), fleet.steps()], axis=2)
-        back = np.empty_like(trained)
-        back[rank] = trained
-        made = np.empty(len(models), dtype=np.int64)
-        made[rank] = fleet.done
-        done = weights.assign(weight=back[:, :, 0].ravel(), step=back[:, :, 1].ravel(), rows=np.repeat(made, size))
-        return [done, *curves, *(_trace_rows(lanes, ids, *t) for t in traces), *(_score_rows(lanes, ids, *t) for t in scores)]
-
-
-def _trace_rows(models: pd.DataFrame, ids: list[str], lanes: np.ndarray, step: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
-    """One row per weight of the models that were about to make update number ``step``."""
-    count, size = weights.shape
-    rows = models.iloc[np.repeat(lanes, size)][[*ids, *SETTINGS]]
-    return rows.assign(
-        kind=TRACE, layer=OUTPUT, src=np.tile(np.arange(size), count), dst=0, weight=weights.ravel(), step=0.0, epoch=0,
-        sse=0.0, hits=0, rows=np.repeat(step, size),
-    )
-
-
-def _score_rows(models: pd.DataFrame, ids: list[str], number: np.ndarray, p: np.ndarray, difference: np.ndarray) -> pd.DataFrame:
-    """One row per model that had a row at this position: its number, score and residual."""
-    return models.iloc[: len(p)][[*ids, *SETTINGS]].assign(
-        kind=SCORE, layer="", src=0, dst=0, weight=p, step=difference, epoch=0, sse=0.0, hits=0, rows=number
-    )
-
-
-class _Fleet:
-    """Equal-shaped models side by side: axis 0 is the model."""
-
-    def __init__(self, lanes: pd.DataFrame, weights: np.ndarray, steps: np.ndarray, neurons: int, perceptron: bool):
-        self.start = lanes["start"].to_numpy(dtype=np.int64)
-        self.length = lanes["length"].to_numpy(dtype=np.int64)
-        self.done = lanes["done"].to_numpy(dtype=np.int64)
-        self.number = np.maximum(lanes["number"].to_numpy(dtype=np.int64), 1)
-        self.eta = lanes["eta"].to_numpy(dtype=float)
-        self.momentum = lanes["momentum"].to_numpy(dtype=float)
-        self.neurons = neurons
-        self.perceptron = perceptron
-        cut = weights.shape[1] - (neurons + 1) if neurons else 0
-        split = lambda a: (a[:, :cut].reshape(len(a), neurons, -1).copy() if neurons else None, a[:, cut:].copy())
-        self.hidden, self.output = split(weights)
-        self.hidden_step, self.output_step = split(steps)
-
-    def _flat(self, hidden, output) -> np.ndarray:
-        return output if hidden is None else np.concatenate([hidden.reshape(len(hidden), -1), output], axis=1)
-
-    def weights(self) -> np.ndarray:
-        return self._flat(self.hidden, self.output)
-
-    def steps(self) -> np.ndarray:
-        return self._flat(self.hidden_step, self.output_step)
-
-    def advance(self, x: np.ndarray, y: np.ndarray, trace_every: int | None, keep_scores: bool = False):
-        """One pass over the rows of every model."""
-        count = len(self.start)
-        sse, hits, traced, scored = np.zeros(count), np.zeros(count, dtype=np.int64), [], []
-        longest = int(self.length[0]) if count else 0
-        active = count - np.searchsorted(self.length[::-1], np.arange(longest), side="right")
-        update = self._two_layer if self.neurons else self._one_layer
-        with np.errstate(over="ignore"):
-            for position, m in enumerate(active):
-                if trace_every and not self.neurons:
-                    step = self.done[:m] + position
-                    lanes = np.flatnonzero(step % trace_every == 0)
-                    traced.append((lanes, step[lanes], self.output[lanes].copy()))
-                at = self.start[:m] + position
-                target = y[at]
-                p = update(m, x[at], target)
-                sse[:m] += 0.5 * (target - p) ** 2
-                hits[:m] += (p >= 0.5) == (target >= 0.5)
-                if keep_scores:
-                    scored.append((self.number[:m] + position, p, target - p))
-        self.done = self.done + self.length
-        return sse, hits, traced, scored
-
-    def _one_layer(self, m: int, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        w = self.output[:m]
-        p = 1.0 / (1.0 + np.exp(-np.einsum("mk,mk->m", x, w)))
-        error = target - ((p >= 0.5) if self.perceptron else p)
-        w += (self.eta[:m] * error * p * (1.0 - p))[:, None] * x
-        return p
-
-    def _two_layer(self, m: int, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden, output = self.hidden[:m], self.output[:m]
-        eta, momentum = self.eta[:m, None], self.momentum[:m, None]
-        h = 1.0 / (1.0 + np.exp(-np.matmul(hidden, x[:, :, None])[:, :, 0]))
-        p = 1.0 / (1.0 + np.exp(-(output[:, 0] + np.einsum("mn,mn->m", h, output[:, 1:]))))
-        e = ((p - target) * p * (1.0 - p))[:, None]
-        slope = e * output[:, 1:] * h * (1.0 - h)
-        move, hidden_move = self.output_step[:m], self.hidden_step[:m]
-        move *= momentum
-        move[:, :1] += eta * e
-        move[:, 1:] += eta * e * h
-        hidden_move *= momentum[:, :, None]
-        hidden_move += (eta * slope)[:, :, None] * x[:, None, :]
-        output -= move
-        hidden -= hidden_move
-        return p
+        lanes = models.iloc[np.argsort(-models["_rows"].to_numpy(), kind="stable")]
+        fleet = Fleet(
+            np.stack(lanes["weights"].to_list()), np.stack(lanes["steps"].to_list()), int(lanes["neurons"].iloc[0]), self.perceptron,
+            **{c: lanes[c].to_numpy() for c in ("eta", "momentum", "done")},
+            start=lanes["_start"].to_numpy(), length=lanes["_rows"].to_numpy(), number=lanes["_number"].to_numpy(),
+        )
+        epochs = int(lanes["epochs"].iloc[0])
+        errors, hits, pieces = [], [], []
+        marks = self.marks(lanes["_rows"] if epoch is None else lanes["length"])
+        for number in range(epochs) if epoch is None else [epoch]:
+            sse, hit, *found = fleet.advance(x, y, self.trace_every, self.keep_scores and number == epochs - 1, marks)
+            errors.append(sse)
+            hits.append(hit)
+            pieces += self.pieces(lanes, *found)
+        ran = [np.array(a).reshape(-1, len(lanes)).T for a in (errors, hits)]
+        if epoch is not None:
+            ran = [_joined(lanes[c], a, first) for c, a in zip(("sse", "hits"), ran)]
+        length = lanes["_rows"].astype("int64") if epoch is None else lanes["length"]
+        done = lanes.assign(weights=list(fleet.weights()), steps=list(fleet.steps()), done=fleet.done, sse=list(ran[0]), hits=list(ran[1]), length=length)
+        return [done, *pieces]
+
+    def marks(self, length) -> np.ndarray | None:
+        """Update numbers of the snapshots, for series of these lengths."""
+        return np.rint(np.outer(length, self.snapshot_shares)).astype(np.int64) if self.snapshot_shares else None
+
+    def pieces(self, models: pd.DataFrame, traced: list, scored: list, marked: list) -> list[pd.DataFrame]:
+        found = ((TRACE, traced), (SCORE, scored), (SNAPSHOT, marked))
+        return [self._piece(models, kind, *piece) for kind, pieces in found for piece in pieces]
+
+    def _piece(self, models: pd.DataFrame, kind: str, lanes: np.ndarray, numbers: list, weights: list, steps: list) -> pd.DataFrame:
+        """Pieces of a trace or of scores, one row per model."""
+        rows = models.iloc[lanes]
+        return rows.assign(kind=kind, numbers=numbers, weights=weights, steps=steps, sse=[[]] * len(rows), hits=[[]] * len(rows))
+
+
+def _joined(before: pd.Series, now: np.ndarray, first: bool) -> list[np.ndarray]:
+    """The curve of earlier slices with that of the present one, which opens an epoch or adds to the one that is open."""
+    if first:
+        return [np.append(b, n) for b, n in zip(before, now)]
+    return [np.append(b[:-1], b[-1] + n) for b, n in zip(before, now)]

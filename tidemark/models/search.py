@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.models.online import Fit, fit_online
-from tidemark.models.weights import random_init, weight_rows
+from tidemark.models.weights import random_arrays, random_init, weight_rows
 from tidemark.panel import Panel
 
 
@@ -62,7 +62,7 @@ def restart_search(
     """
     if init is None:
         models = trials_of(panel.df.select(*panel.series).distinct(), trials)
-        init = random_init(models, len(features), neurons, sd, seed)
+        init = random_arrays(models, len(features), neurons, sd, seed)
     fit = fit_online(
         panel, features, label, init, eta=eta, momentum=momentum, epochs=epochs, batches=batches or _batches(panel, trials)
     ).pinned()
@@ -109,10 +109,10 @@ def staged_fit(
     without. Momentum starts at zero in every stage.
     """
     curves = [] if before is None else [before.withColumn("stage", F.lit(1))]
-    weights = init
+    start = weights = init
     for number, stage in enumerate(stages, start=len(curves) + 1):
-        fit = fit_online(panel, features, label, weights, batches=batches, **stage).pinned()
-        weights = fit.weights
+        fit = fit_online(panel, features, label, start, batches=batches, **stage).pinned()
+        start, weights = fit.packed, fit.weights
         curves.append(fit.curve.withColumn("stage", F.lit(number)))
     return weights, append_curves(curves, [*panel.series, "model_id"])
 

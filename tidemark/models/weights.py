@@ -30,19 +30,34 @@ def weight_rows(models: DataFrame, inputs: int, neurons: int, weight: Column) ->
     return rows.select(*models.columns, "_c.layer", "_c.src", "_c.dst").withColumn("weight", weight.cast("double"))
 
 
-def random_init(models: DataFrame, inputs: int, neurons: int, sd: float = 1.0, seed: int = 0) -> DataFrame:
-    """Normal weights that depend only on the seed, the model and the connection, not on how rows are partitioned.
+def _normal(identity: list[Column], sd: float, seed: int) -> Column:
+    """A normal number that depends on the seed and the identity only.
 
     Digits of two md5 hashes give two uniform numbers, and those a normal one (Box and Muller). Any engine can repeat them.
     """
-    identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*models.columns, *CONNECTION]]
 
     def uniform(stream: int) -> Column:
         digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(stream)), *identity)), 1, 13)
         return (F.conv(digits, 16, 10).cast("double") + 1.0) / float(2**52)
 
-    normal = F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2))
-    return weight_rows(models, inputs, neurons, normal * sd)
+    return F.sqrt(-2.0 * F.ln(uniform(1))) * F.cos(2.0 * F.pi() * uniform(2)) * sd
+
+
+def _identity(columns: list[Column]) -> list[Column]:
+    return [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+
+
+def random_init(models: DataFrame, inputs: int, neurons: int, sd: float = 1.0, seed: int = 0) -> DataFrame:
+    """Normal weights that depend only on the seed, the model and the connection, not on how rows are partitioned."""
+    return weight_rows(models, inputs, neurons, _normal(_identity([F.col(c) for c in [*models.columns, *CONNECTION]]), sd, seed))
+
+
+def random_arrays(models: DataFrame, inputs: int, neurons: int, sd: float = 1.0, seed: int = 0) -> DataFrame:
+    """The weights of ``random_init`` as one array per model, the form that fits start from."""
+    cells = F.array(*(F.struct(F.lit(a).alias("layer"), F.lit(s).alias("src"), F.lit(d).alias("dst")) for a, s, d in connections(inputs, neurons)))
+    own = [F.col(c) for c in models.columns]
+    weights = F.transform(cells, lambda c: _normal(_identity([*own, *(c[x] for x in CONNECTION)]), sd, seed))
+    return models.select("*", F.lit(neurons).alias("neurons"), weights.alias("weights"))
 
 
 def constant_init(models: DataFrame, inputs: int, neurons: int, value: float = 0.0) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import add_rolling, diff_1, lag_k, sma_n
+from tidemark.functions.rolling import Rolling, add_rolling, diff_1, lag_k, sma_n
 from tidemark.functions.scalars import ColumnLike, as_column, ratio
 from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel, attach
 
@@ -51,8 +51,28 @@ class Smoothing:
         return -math.log10(1.0 - self.alpha) if self.alpha < 1.0 else 0.0
 
 
-def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None) -> Panel:
-    """Add exponential averages. ``span`` overrides the number of rows between restarts (for tests)."""
+@dataclass(frozen=True)
+class Before:
+    """What the rows before a panel's first have left of an average, as columns: values seen (at most n), their sum while they are fewer
+    than n, the level from then on, and whether a gap has ended the series. The columns are equal in all rows of a series."""
+
+    seen: Column
+    sum: Column
+    level: Column
+    broken: Column
+
+
+def _partial_sum(x: str, n: int) -> Rolling:
+    """Sum of the last n rows, or of those there are."""
+    write = lambda spec: F.sum(F.col(x)).over(spec.rowsBetween(-(n - 1), 0))
+    return Rolling(n - 1, 0, lambda w, shift: w.get("partial", x, (n, shift), write))
+
+
+def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None, before: dict[str, Before] | None = None) -> Panel:
+    """Add exponential averages. ``span`` overrides the number of rows between restarts (for tests).
+
+    ``before`` continues averages of earlier rows that the panel doesn't hold; rows are then numbered from 1 within the panel.
+    """
     direct = {n: s for n, s in outputs.items() if s.n == 1}
     outputs = {n: s for n, s in outputs.items() if s.n > 1}
     if direct:
@@ -65,6 +85,8 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
     given = panel.df.columns
     panel = panel.with_columns({f"_x_{n}": as_column(s.x).cast("double") for n, s in outputs.items()})
     seeds = {f"_seed_{n}": sma_n(f"_x_{n}", s.n) for n, s in outputs.items()}
+    if before:
+        seeds |= {f"_part_{n}": _partial_sum(f"_x_{n}", s.n) for n, s in outputs.items()}
     rn = F.col(ROW_NUMBER)
     missing = {n: F.col(f"_x_{n}").isNull() for n in outputs}
     starts = {f"_start_{n}": F.min(F.when(~missing[n], rn)) for n in outputs}
@@ -78,17 +100,28 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
         given = [*given, ROW_NUMBER, SERIES_ROWS]
         panel = panel.numbered().roll(seeds | {f"_before_{n}": lag_k(f"_x_{n}") for n in outputs})
         breaks = {n: missing[n] & F.col(f"_before_{n}").isNotNull() for n in outputs}
-        panel = panel.per_series(starts | {f"_gap_{n}": F.min(F.when(breaks[n], rn)) for n in outputs})
+        nulls = {f"_null_{n}": F.min(F.when(missing[n], rn)) for n in outputs} if before else {}
+        panel = panel.per_series(starts | {f"_gap_{n}": F.min(F.when(breaks[n], rn)) for n in outputs} | nulls)
         rows = panel.rows
         unbroken = {n: F.col(f"_gap_{n}").isNull() | (rn < F.col(f"_gap_{n}")) for n in outputs}
 
+    start = {n: F.col(f"_start_{n}") for n in outputs}
+    seed = {n: F.col(f"_seed_{n}") for n in outputs}
+    if before:
+        # Values seen before count as rows numbered down from 0, so any gap in the panel lies behind them.
+        for n, s in outputs.items():
+            b = before[n]
+            start[n] = F.when(b.seen > 0, 1 - b.seen).otherwise(start[n])
+            first_gap = F.coalesce(b.seen > 0, F.lit(False)) & (F.coalesce(F.col(f"_{'gap' if not panel.is_long else 'null'}_{n}") <= rn, F.lit(False)))
+            unbroken[n] = unbroken[n] & ~F.coalesce(b.broken, F.lit(False)) & ~first_gap
+            seed[n] = F.when(b.seen > 0, (b.sum + F.col(f"_part_{n}")) / s.n).otherwise(seed[n])
     # Distance to the seed row: negative before it, 0 on it.
-    after_seed = {n: rn - F.col(f"_start_{n}") - (s.n - 1) for n, s in outputs.items()}
+    after_seed = {n: rn - start[n] - (s.n - 1) for n, s in outputs.items()}
     position = (rn - 1) % span
 
     def term(name: str, scale: Column) -> Column:
         s, k = outputs[name], after_seed[name]
-        return F.when(k == 0, F.col(f"_seed_{name}") * scale).when(k > 0, s.alpha * F.col(f"_x_{name}") * scale)
+        return F.when(k == 0, seed[name] * scale).when(k > 0, s.alpha * F.col(f"_x_{name}") * scale)
 
     reach = {n: max(1, math.ceil(LOWEST_DIGITS / (s.decay_digits * span))) for n, s in outputs.items()}
     furthest = max(reach.values())
@@ -116,6 +149,8 @@ def smooth(panel: Panel, outputs: dict[str, Smoothing], span: int | None = None)
     results = []
     for n in outputs:
         smoothed = F.pow(q[n], position) * (F.col(f"_level_{n}") + q[n] * carry[n])
+        if before:
+            smoothed = smoothed + F.when(before[n].seen >= outputs[n].n, before[n].level * F.pow(q[n], rn)).otherwise(0.0)
         results.append(F.when((after_seed[n] >= 0) & unbroken[n], smoothed).alias(n))
     return panel.replace(rows.select(*given, *results))
 

@@ -83,6 +83,8 @@ class Panel:
         self.segment_rows = segment_rows
         self._stats = stats
         self._pinned = False
+        # Set by a ``PanelStore``: reading the rows again costs a scan, so they are not stored once more.
+        self.stored = False
 
     @property
     def df(self) -> DataFrame:
@@ -143,7 +145,7 @@ class Panel:
         Its operators read their input twice (for totals, then for rows); without this every one of them would
         double the work of all that came before.
         """
-        if self._pinned or not self.is_long:
+        if self._pinned or self.stored or not self.is_long:
             return self
         shared_dir(self.df.sparkSession)
         panel = self.replace(self.rows.checkpoint())

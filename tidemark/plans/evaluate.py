@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.rolling import forward_change, pct_change
+from tidemark.models.online import fit_online
+from tidemark.models.packed import unpack
 from tidemark.models.scoring import score_by_key
 from tidemark.models.search import of_best, restart_search, staged_fit
 from tidemark.operators.evaluation import accuracy_tstat, agg_sse, calibration, conditional_return, hits_by_year, with_errors
 from tidemark.operators.running import cum_sum
-from tidemark.operators.selection import chrono_split, regime
+from tidemark.operators.selection import chrono_split, complete_cases, regime
 from tidemark.operators.summaries import histogram
-from tidemark.panel import Panel
+from tidemark.panel import ROW_NUMBER, SERIES_ROWS, Panel, attach
 from tidemark.session import shared_dir
 
 
@@ -48,7 +50,7 @@ def train_test_eval(
         train, features, label, trials=trials, neurons=neurons, epochs=search_epochs, eta=eta, momentum=momentum, seed=seed,
         init=init,
     )
-    start, searched = (of_best(x, best, train.series) for x in (search.weights, search.curve))
+    start, searched = (of_best(x, best, train.series) for x in (search.packed, search.curve))
     weights, curve = staged_fit(train, features, label, start, [{"eta": eta, **stage} for stage in stages], before=searched)
     held_out = split.subset(split.df.filter("split = 'test'").drop("split"))
     scored = score_by_key(
@@ -57,6 +59,33 @@ def train_test_eval(
     return held_out.replace(scored.withColumn("y", F.col(label))), weights, curve
 
 
+def walk_forward(
+    design: Panel, features: list[str], label: str, init: DataFrame, shares: tuple[float, ...] = (0.1, 0.3, 0.5), **options
+) -> Panel:
+    """One pass over every series, whose rows are scored by the weights that the model had after the last of ``shares`` before them.
+
+    What training on each share and scoring the rest would give for the rows up to the next share, from a single pass: its weights are kept at
+    those positions, and each row looks up the latest ones before it. ``init`` has one model per series; ``options`` go to
+    ``fit_online``. Returned are the rows behind the first share with ``p``, ``y``, ``share`` and ``step``, the rows that had been
+    learned from. Rows with a missing feature or label are left out.
+    """
+    design = design.subset(complete_cases(design.df, [*features, label]))
+    panel = design.numbered()
+    fit = fit_online(design, features, label, init, epochs=1, snapshot_shares=tuple(shares), **options).pinned()
+    # Few per series; more of them would still be one small array.
+    steps = fit.snapshots.groupBy(*design.series).agg(F.array_sort(F.collect_set("step")).alias("_steps"))
+    rows = attach(panel.rows, steps, design.series, design.stats.series)
+    rn, rounded = F.col(ROW_NUMBER), {s: F.bround(F.col(SERIES_ROWS) * F.lit(float(s))) for s in sorted(shares)}
+    latest = F.array_max(F.filter("_steps", lambda s: s < rn))
+    share = F.array_max(F.array(*(F.when(cut < rn, F.lit(float(s))) for s, cut in rounded.items())))
+    rows = rows.withColumns({"step": latest, "share": share, "y": F.col(label)}).filter("step IS NOT NULL")
+    keys = [*design.series, "step"]
+    weights = unpack(fit.snapshots, [*keys, "model_id"], len(features))
+    neurons = fit.packed.agg(F.max("neurons").alias("n")).first()["n"] or 0
+    scored = score_by_key(rows.drop("_steps"), features, weights, keys, neurons, models=design.stats.series * len(shares))
+    return design.replace(scored.drop(ROW_NUMBER, SERIES_ROWS), same_rows=False)
+
+
 @dataclass(frozen=True)
 class Report:
     """Rows with errors; histograms of errors, scores and returns (all, and by regime); calibration; returns by regime; hits by year

@@ -231,3 +231,33 @@ def train_test_curve(spark, sf):
     from tidemark.registry import fits
 
     return fits.curve_out(_chain(spark, sf)[2].withColumn("stage", F.col("stage").cast("long")), "stage", "step")
+
+
+WALK_SHARES = (0.1, 0.3, 0.5)
+
+
+def _walk_sql() -> str:
+    from tidemark.registry import fits
+
+    cells = fits.columns_of(NEURONS)
+    lanes = fits.lanes_sql(1, NEURONS, fits.WEIGHT_SQL, fits.SETTINGS.format(mu="0.7e0", epochs=1))
+    total = f"f.{cells[fits.OUTPUT, 0, 0]} + " + " + ".join(
+        f"f.{cells[fits.OUTPUT, n, 0]} * " + fits.sigmoid_sql(" + ".join(f"r.{x} * f.{cells[fits.HIDDEN, j, n]}" for j, x in enumerate(FEATURES)))
+        for n in range(1, NEURONS + 1)
+    )
+    cuts = ", ".join(f"({s}::double)" for s in WALK_SHARES)
+    return f"""WITH RECURSIVE {fits.DESIGN}, {lanes}, {fits.replay_sql('f', 'lanes', NEURONS)},
+  marks AS (SELECT user_id, share, cast(round_even(len * share, 0) AS bigint) AS step FROM (SELECT DISTINCT user_id, len FROM rows) CROSS JOIN (VALUES {cuts}) AS s(share)),
+  latest AS (SELECT user_id, event_id, max(share) AS share, max(step) AS step FROM rows JOIN marks USING (user_id) WHERE step < pos GROUP BY ALL)
+  SELECT r.user_id, r.event_id, {q6('l.share', 'share')}, l.step, {q6(fits.sigmoid_sql(total), 'p')}, {q6('r.y', 'y')}
+  FROM rows r JOIN latest l USING (user_id, event_id) JOIN f ON f.user_id = r.user_id AND f.step = l.step"""
+
+
+@register("walk_forward", _walk_sql())
+def walk_forward(spark, sf):
+    """One training pass, whose weights after a tenth, three tenths and half of a user's rows score the rows behind them."""
+    from tidemark.registry import fits
+
+    panel = fits.design_events(spark, sf)
+    scored = evaluate.walk_forward(panel, FEATURES, "y", fits.start(panel, 1, NEURONS), WALK_SHARES, eta=0.1, momentum=0.7)
+    return out(scored.df, [*EV_KEYS, "step"], ["share", "p", "y"])

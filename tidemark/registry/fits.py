@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.models import batch, components, online, scoring, search, weights as wt
+from tidemark.models import batch, batch_series, components, online, scoring, search, weights as wt
 from tidemark.models.weights import HIDDEN, OUTPUT, connections
 from tidemark.registry.core import out, q6, r6, register
 from tidemark.registry.inputs import (
@@ -181,6 +181,53 @@ def restart_search(spark, sf):
     return weights_out(fits.weights.join(best.select("user_id", "model_id"), ["user_id", "model_id"]))
 
 
+def descent_sql(name: str, lanes: str, neurons: int, rows: str = "rows") -> str:
+    """CTE ``name``: the state after one step down the mean gradient of all rows; ``lanes`` has weights, moves ``m_`` and settings."""
+    cells = columns_of(neurons)
+    ns = range(1, neurons + 1)
+    dot = lambda n: " + ".join(f"{f} * {cells[HIDDEN, j, n]}" for j, f in enumerate(FEATURES))
+    seen = f"SELECT s.*, r.y, {', '.join('r.' + f for f in FEATURES)} FROM {lanes} s JOIN {rows} r USING (user_id)"
+    level1 = f"SELECT *, {', '.join(f'{sigmoid_sql(dot(n))} AS a_{n}' for n in ns)} FROM ({seen})"
+    total = f"{cells[OUTPUT, 0, 0]} + " + " + ".join(f"a_{n} * {cells[OUTPUT, n, 0]}" for n in ns)
+    level2 = f"SELECT *, {sigmoid_sql(total)} AS p FROM ({level1})"
+    level3 = f"SELECT *, (p - y) * p * (1e0 - p) AS e FROM ({level2})"
+
+    def slope(c):
+        layer, src, dst = c
+        if layer == OUTPUT:
+            return f"e * a_{src}" if src else "e"
+        return f"e * {cells[OUTPUT, dst, 0]} * a_{dst} * (1e0 - a_{dst}) * {FEATURES[src]}"
+
+    same = ["eta", "mu", *cells.values(), *(f"m_{c}" for c in cells.values())]
+    sums = ", ".join(f"avg({slope(c)}) AS g_{n}" for c, n in cells.items())
+    grouped = f"SELECT user_id, model_id, {', '.join(f'any_value({c}) AS {c}' for c in same)}, {sums}, avg(cast((p >= 0.5) = (y >= 0.5) AS double)) AS success FROM ({level3}) GROUP BY ALL"
+    stepped = ", ".join(f"eta * g_{n} + mu * m_{n} AS m_{n}" for n in cells.values())
+    moved = ", ".join(f"{n} - (eta * g_{n} + mu * m_{n}) AS {n}" for n in cells.values())
+    return f"{name} AS (SELECT user_id, model_id, eta, mu, success, {moved}, {stepped} FROM ({grouped}))"
+
+
+def _batch_search_sql() -> str:
+    cells = columns_of(2)
+    start = f"at0 AS (SELECT *, {', '.join(f'0e0 AS m_{n}' for n in cells.values())} FROM lanes)"
+    lanes = lanes_sql(TRIALS, 2, WEIGHT_SQL, "2e0 AS eta, 0.7e0 AS mu")
+    best = "best AS (SELECT * FROM at2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY success DESC, model_id) = 1)"
+    ctes = ", ".join([DESIGN, lanes, start, descent_sql("at1", "at0", 2), descent_sql("at2", "at1", 2), best])
+    return f"WITH {ctes} " + " UNION ALL ".join(
+        f"SELECT user_id, cast(model_id AS bigint) AS model_id, '{c[0]}' AS layer, {c[1]}::bigint AS src, {c[2]}::bigint AS dst, {q6(n, 'weight')} FROM best"
+        for c, n in cells.items()
+    )
+
+
+@register("restart_search_batch", _batch_search_sql())
+def restart_search_batch(spark, sf):
+    """Two epochs down the gradient of all rows of a user, from several starts; the rows of a user are in several places."""
+    panel = design_events(spark, sf)
+    best, fits = batch_series.restart_search_batch(
+        panel, FEATURES, "y", trials=TRIALS, neurons=2, epochs=2, eta=2.0, momentum=0.7, init=start(panel, TRIALS, 2), rows_per_place=20
+    )
+    return weights_out(search.of_best(fits.weights, best, ["user_id"]))
+
+
 GRID_EPOCHS, GRID_MOMENTUM = [1, 2], [0.1, 0.5, 0.9]
 _GRID = ("0.1e0 AS eta, [{m}][(model_id - 1) % 3 + 1] AS mu, [{e}][(model_id - 1) // 3 + 1] AS epochs"
          .format(m=", ".join(f"{m}::double" for m in GRID_MOMENTUM), e=", ".join(map(str, GRID_EPOCHS))))
@@ -404,3 +451,16 @@ _LAMBDA = "((a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b))"
   SELECT user_id, event_id, {q6('x_1 * v1 + x_2 * v2', 'pc1')} FROM rows CROSS JOIN s""")
 def principal_component(spark, sf):
     return out(components.principal_component(design_events(spark, sf).df, ["x_1", "x_2"]), EV_KEYS, ["pc1"])
+
+
+_BY_ROW = "((a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b))"
+
+
+@register("principal_component_by", f"""WITH {DESIGN}, m AS (
+    SELECT user_id, var_samp(x_1) AS a, var_samp(x_2) AS c, covar_samp(x_1, x_2) AS b FROM rows GROUP BY user_id),
+  v AS (SELECT user_id, b / sqrt(b * b + power({_BY_ROW} - a, 2)) AS v1, ({_BY_ROW} - a) / sqrt(b * b + power({_BY_ROW} - a, 2)) AS v2 FROM m),
+  s AS (SELECT user_id, v1 * g AS v1, v2 * g AS v2 FROM (SELECT *, CASE WHEN abs(v1) >= abs(v2) THEN sign(v1) ELSE sign(v2) END AS g FROM v))
+  SELECT user_id, event_id, {q6('x_1 * v1 + x_2 * v2', 'pc1')} FROM rows JOIN s USING (user_id)""")
+def principal_component_by(spark, sf):
+    """Each user has loadings of their own."""
+    return out(components.principal_component_by(design_events(spark, sf).df, ["x_1", "x_2"], ["user_id"]), EV_KEYS, ["pc1"])

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.functions.rolling import log_return, pct_change, sma_n
-from tidemark.operators import alignment, evaluation, summaries
-from tidemark.registry.core import out, q6, r6, register
+from tidemark.operators import alignment, coverage, evaluation, moments, summaries
+from tidemark.registry.core import OFF_MIDDLE, SQL, out, q6, r6, register
 from tidemark.registry.inputs import (
     EV, EV_KEYS, EV_WINDOW, MACRO_SOURCE, NATION, SCORED, ln_sql, nation_days, panel_events, scored_events, sma_sql, table,
 )
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, shared_path
 
 # -- joins -------------------------------------------------------------------------------------
 
@@ -239,3 +239,35 @@ def hits_by_year(spark, sf):
   {q6(f'(avg({HIT}) - 0.5e0) * sqrt(count(*)) / nullif(stddev_samp({HIT}), 0)', 't_stat')} FROM scored GROUP BY user_id""")
 def accuracy_tstat(spark, sf):
     return out(evaluation.accuracy_tstat(scored_events(spark, sf).df, by=["user_id"]), ["user_id", "n"], ["hit_rate", "t_stat"])
+
+
+# -- states that merge, and every threshold at once ----------------------------------------------
+
+
+@register("jarque_bera_merge", SQL["jarque_bera"])
+def jarque_bera_merge(spark, sf):
+    """The test from states of the rows by day: each day is reduced alone, and the states are merged."""
+    returns = panel_events(spark, sf).roll({"r": log_return(sma_n("x", 5))}).df.withColumn("day", F.to_date("ts"))
+    path = shared_path(spark, "states")
+    moments.moments(returns, "r", ["user_id", "day"]).write.parquet(path)
+    states = moments.merge_moments(spark.read.parquet(path), ["user_id"], salt=4)
+    return out(moments.jarque_bera_of(states, ["user_id"]), ["user_id", "n"], ["statistic", "p_value"])
+
+
+@register("mean_sd_merge", SQL["agg_mean_sd"])
+def mean_sd_merge(spark, sf):
+    """Mean and deviation of each user from states by day."""
+    rows = table(spark, sf, "events", ["user_id", "value", "ts"]).withColumn("day", F.to_date("ts"))
+    states = moments.merge_moments(moments.moments(rows, "value", ["user_id", "day"]), ["user_id"])
+    return out(moments.mean_sd_of(states, ["user_id"]), ["user_id"], ["mean", "sd"])
+
+
+# Scores of both engines differ in the last bit, so thresholds are taken at three decimals.
+@register("coverage_curve", f"""WITH {SCORED}, g AS (
+  SELECT round(abs(p - 0.5) + {OFF_MIDDLE}, 3) AS confidence, count(*) AS n, sum({HIT}) AS hits FROM scored GROUP BY 1),
+  r AS (SELECT confidence, sum(n) OVER (ORDER BY confidence DESC) AS bets, sum(hits) OVER (ORDER BY confidence DESC) AS hits, sum(n) OVER () AS total FROM g)
+  SELECT {q6('confidence', 'confidence')}, bets::bigint AS bets, {q6('hits / bets', 'hit_rate')}, {q6('bets / total', 'coverage')} FROM r""")
+def coverage_curve(spark, sf):
+    confidence = F.round(F.abs(F.col("p") - 0.5) + float(OFF_MIDDLE), 3)
+    curve = coverage.coverage_curve(scored_events(spark, sf).df, confidence=confidence, range_rows=50)
+    return out(curve, ["bets"], ["confidence", "hit_rate", "coverage"])

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
-from tidemark.operators import running, scaling, selection, smoothing
+from tidemark.operators import resume, running, scaling, selection, smoothing
 from tidemark.operators.smoothing import Smoothing
-from tidemark.registry.core import out, q6, r6, register
+from tidemark.registry.core import SQL, out, q6, r6, register
 from tidemark.registry.inputs import EV, EV_KEYS, EV_WINDOW, MARKET, SCORED, daily_market, ln_sql, panel_events, scored_events, sma_sql
+from tidemark.session import shared_path
+from tidemark.sources.store import PanelStore
 
 W = f"OVER ({EV_WINDOW})"
 
@@ -194,3 +196,64 @@ def macd_signal_spans(spark, sf):
 @register("chrono_split_long", f"WITH {EV} SELECT user_id, event_id, CASE WHEN rn <= round_even(n * 0.3::double, 0) THEN 'train' ELSE 'test' END AS split FROM ev")
 def chrono_split_long(spark, sf):
     return selection.chrono_split(panel_events(spark, sf, **LONG), {"train": 0.3}).df.select(*EV_KEYS, "split")
+
+
+# -- from a store ------------------------------------------------------------------------------
+
+
+def stored_events(spark, sf, **options):
+    """Events in a store, in ranges that cut every user's rows."""
+    return PanelStore.create(panel_events(spark, sf), shared_path(spark, "store"), range_rows=1000)
+
+
+@register("rolling_from_store", SQL["rolling_long"])
+def rolling_from_store(spark, sf):
+    indicators = {"sma_10": R.sma_n("x", 10), "wma_10": R.wma_n("x", 10), "cci": R.cci_n("x"), "up": R.label_next_up("x")}
+    return out(stored_events(spark, sf).panel(["x"], **LONG).roll(indicators).df, EV_KEYS, list(indicators))
+
+
+@register("macd_from_store", SQL["macd"])
+def macd_from_store(spark, sf):
+    return out(smoothing.macd(stored_events(spark, sf).panel(["x"], **LONG), "macd", "x").df, EV_KEYS, ["macd"])
+
+
+@register("macd_signal_from_store", SIGNAL_LINE_SQL)
+def macd_signal_from_store(spark, sf):
+    return out(smoothing.macd_signal(stored_events(spark, sf).panel(["x"], **LONG), "signal", "x").df, EV_KEYS, ["signal"])
+
+
+def halves(spark, sf):
+    """A store that gets the older and then the newer half of the time span."""
+    panel = panel_events(spark, sf)
+    span = panel.df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cut = span["a"] + (span["b"] - span["a"]) / 2
+    store = PanelStore.create(panel.replace(panel.df.filter(F.col("ts") < cut), same_rows=False), shared_path(spark, "store"), range_rows=1000)
+    store.append(panel.df.filter(F.col("ts") >= cut), range_rows=1000)
+    return store
+
+
+def appended(store, resumed):
+    """The older rows, then the newer ones from the stored state of the older; neither reads the other's files."""
+    older, state = resumed(store.panel(["x"], batch=0), None)
+    path = shared_path(store.spark, "state")
+    state.write.parquet(path)
+    newer, _ = resumed(store.panel(["x"], batch=1), store.spark.read.parquet(path))
+    return older.df.unionByName(newer.df)
+
+
+@register("ema_append", SQL["ema_n"])
+def ema_append(spark, sf):
+    df = appended(halves(spark, sf), lambda panel, state: resume.ema_append(panel, "ema", "x", 12, state))
+    return out(df, EV_KEYS, ["ema"])
+
+
+@register("rsi_append", SQL["rsi_n"])
+def rsi_append(spark, sf):
+    df = appended(halves(spark, sf), lambda panel, state: resume.rsi_append(panel, "rsi", "x", 15, state))
+    return out(df.withColumn("rsi_scaled", F.col("rsi") / 100.0), EV_KEYS, ["rsi", "rsi_scaled"])
+
+
+@register("macd_append", SQL["macd_signal"])
+def macd_append(spark, sf):
+    df = appended(halves(spark, sf), lambda panel, state: resume.macd_append(panel, "macd", "x", signal="signal", state=state))
+    return out(df, EV_KEYS, ["signal"])
