@@ -265,3 +265,54 @@ def read_series(spark, sf):
     )
     back = read_series(spark, path, "o_orderkey long, day string, price double, status string", sep=";", null_value=".")
     return back.select("o_orderkey", parse_day("day").alias("day"), r6("price").alias("price"), "status")
+
+
+# -- files of two generations --------------------------------------------------------------------
+
+# A price is missing, unreadable or fine; a newer file has a day that is none now and then.
+_PRICE = "CASE WHEN o_orderkey % 7 = 0 THEN '.' WHEN o_orderkey % 11 = 0 THEN 'n/k' ELSE 'fine' END"
+_ODD_DAY = "(o_orderkey % 2 = 1 AND o_orderkey % 13 = 0)"
+
+
+def two_generations(spark, sf):
+    """All orders in files of two kinds: the newer ones have other names, another order of columns, a further column and no status."""
+    from tidemark.session import shared_path
+    from tidemark.sources.ledger import read_ledger
+
+    orders = table(spark, sf, "orders", ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"])
+    key = F.col("o_orderkey")
+    price = F.when(key % 7 == 0, ".").when(key % 11 == 0, "n/k").otherwise(F.col("o_totalprice").cast("string"))
+    older = orders.filter(key % 2 == 0).select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yy").alias("day"), price.alias("price"), F.col("o_orderstatus").alias("status"))
+    day = F.when(key % 13 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    newer = orders.filter(key % 2 == 1).select(price.alias("price_usd"), key.alias("order"), F.lit("x").alias("note"), day.alias("day"))
+    paths = [shared_path(spark, "delimited") for _ in range(2)]
+    older.write.csv(paths[0], sep=";", header=True)
+    newer.write.csv(paths[1], sep=";", header=True)
+    schema = "o_orderkey long, day date, price double, status string"
+    fields = spark.createDataFrame([], schema).schema
+    return read_ledger(spark, paths, fields, {"o_orderkey": ["order"], "price": ["price_usd"]}, sep=";")
+
+
+@register("read_series_ledger", f"""SELECT o_orderkey, CASE WHEN NOT {_ODD_DAY} THEN cast(o_orderdate AS date) END AS day,
+  {q6(f"CASE WHEN ({_PRICE}) = 'fine' THEN o_totalprice END", 'price')}, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders""")
+def read_series_ledger(spark, sf):
+    rows = two_generations(spark, sf).rows
+    return rows.select("o_orderkey", "day", r6("price").alias("price"), "status")
+
+
+@register("read_series_rejected", f"""SELECT 'price' AS "column", 'n/k' AS text, count(*) AS n FROM orders WHERE ({_PRICE}) = 'n/k'
+  UNION ALL SELECT 'day', 'soon', count(*) FROM orders WHERE {_ODD_DAY}""")
+def read_series_rejected(spark, sf):
+    return two_generations(spark, sf).rejected.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("read_series_counts", f"""WITH cells AS (
+  SELECT 'o_orderkey' AS "column", 'good' AS kind FROM orders
+  UNION ALL SELECT 'day', CASE WHEN {_ODD_DAY} THEN 'bad' ELSE 'good' END FROM orders
+  UNION ALL SELECT 'price', CASE ({_PRICE}) WHEN '.' THEN 'gaps' WHEN 'n/k' THEN 'bad' ELSE 'good' END FROM orders
+  UNION ALL SELECT 'status', 'good' FROM orders WHERE o_orderkey % 2 = 0)
+  SELECT "column", count(*) FILTER (WHERE kind = 'good') AS good, count(*) FILTER (WHERE kind = 'gaps') AS gaps, count(*) FILTER (WHERE kind = 'bad') AS bad
+  FROM cells GROUP BY 1""")
+def read_series_counts(spark, sf):
+    counts = two_generations(spark, sf).counts
+    return counts.groupBy("column").agg(*(F.sum(c).alias(c) for c in ("good", "gaps", "bad")))
