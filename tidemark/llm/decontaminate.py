@@ -48,7 +48,9 @@ def prepared(df: DataFrame, text: str, plain: bool = False) -> DataFrame:
 def _windows(df: DataFrame, columns: list[str], form: str = "_form") -> DataFrame:
     """One row for each window: its place, its hash, and the words and templates of the whole text."""
     n = F.size(form)
-    each = df.filter(n >= WINDOW).select(*columns, "_raw", F.col(form).alias("_form"), F.explode(F.sequence(F.lit(0), n - WINDOW)).alias("at"))
+    # A filter on the number of words would move below the regular expressions and run them twice.
+    places = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW))
+    each = df.select(*columns, "_raw", F.col(form).alias("_form"), F.explode(places).alias("at"))
     return each.withColumn("hash", F.xxhash64(*(F.get(F.col("_form"), F.col("at") + k) for k in range(WINDOW))))
 
 
