@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import textwrap
 
@@ -38,6 +39,38 @@ def test_slots(spark, limit):
     assert got == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "verbatim", (3, 0): "template"}
 
 
+def test_a_number_is_one_slot(spark):
+    """Separators, decimals, fractions and times belong to the number, whichever of them the other text has."""
+    item = "A train goes 300 km in 4 hours and leaves at 9 so how far does it get in 7 hours at half the speed"
+    texts = [
+        "A train goes 1,250 km in 4.5 hours and leaves at 12:30 so how far does it get in 7.5 hours at half the speed",
+        "A train goes 3/4 km in 4 hours and leaves at 9_30 so how far does it get in 7.000.000,25 hours at half the speed",
+        item.replace("300", "300.").replace("7", "7,"), "300 km in 4.5 hours",
+    ]
+    assert contaminated(spark, texts, [item], least=0.7) == {(0, 0): "template", (1, 0): "template", (2, 0): "verbatim"}
+    assert contaminated(spark, [t.replace("9_30", "9") for t in texts], [item, texts[0]])[1, 0] == "template"
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_a_preamble_that_many_items_share(spark, limit):
+    """What is stored is near the pairs found, not documents times items."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    preamble = " ".join(word() for _ in range(18))
+    own = [" ".join(word() for _ in range(20)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"{preamble} {' '.join(word() for _ in range(30))}") for i in range(300)] + [(300 + i, f"{preamble} {own[i]}") for i in range(5)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"{preamble} {t}") for i, t in enumerate(own)], "item_id long, text string")
+    kept = []
+    real = decontaminate.stored
+    try:
+        decontaminate.stored = lambda df, label: kept.append((label, real(df, label))) or kept[-1][1]
+        found = decontaminate.contamination(docs, bench, broadcast_limit=limit)
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(300 + i, i) for i in range(5)}
+    finally:
+        decontaminate.stored = real
+    assert {label: df.count() for label, df in kept if label != "benchmark"} | {"short": 0} == {"candidates": 5, "hits": 5 * 34, "wanted": 5 * 34, "counted": 5, "short": 0}
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_slots_of_each_occurrence(spark, limit):
     first = "Bob has 7 apples and buys 9 lb of rice for Eva in Oslo today while Eva waits"
@@ -63,7 +96,7 @@ def test_slots_equal_sql(spark, tmp_path, changed):
     from tidemark.llm.queries import QUERIES, SQL
 
     other = "Bob has 7 apples and buys 9 lb of rice for Eva in Oslo today while Eva waits"
-    texts = [ITEM, ITEM.upper(), other, other + " " + ITEM, other.replace("Eva waits", "Max waits") if changed else other, "5kg of 3g 4x", "", None, "a b"]
+    texts = [ITEM, ITEM.upper(), other, other + " " + ITEM, other.replace("Eva waits", "Max waits") if changed else other, "5kg of 3g 4x", "", None, "a b", other.replace("7", "1,250").replace("9", "2.5"), ITEM.replace("3", "3/4").replace("5", "12:30:15")]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, ITEM), (2, other), (3, "5 kg of 3 g 4 x"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()

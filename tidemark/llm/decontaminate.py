@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import KEYS_BROADCAST, is_empty, row_keys, stored, whole, without
@@ -24,11 +24,13 @@ UNITS = (
 def prepared(df: DataFrame, text: str, plain: bool = False) -> DataFrame:
     """Adds `_raw` and `_form`, arrays of the same length: the words, lower-cased, and the words with slots.
 
-    Words are runs of letters and digits, cut where a letter follows a digit. A word that starts with a digit becomes `<num>`, a unit
+    Words are runs of letters and digits, cut where a letter follows a digit. A number with separators, decimals, a fraction or a time (`1,250`,
+    `4.5`, `3/4`, `12:30`) is one word, written with underscores. A word that starts with a digit becomes `<num>`, a unit
     after a number `<unit>`, any other word that starts with a capital and a small letter `<name>`. `plain` adds `_plain`, without
     names. A null or empty text has no words.
     """
-    df = df.withColumn("_text", F.trim(F.regexp_replace(whole(text), r"[^\p{L}\p{N}]+", " ")))
+    joined = F.regexp_replace(F.translate(whole(text), "_", " "), r"(?<=\p{N})[.,:/](?=\p{N})", "_")
+    df = df.withColumn("_text", F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}_]+", " ")))
     t = F.col("_text")
     df = df.withColumn("_text", F.when(F.rlike(t, F.lit(r"\p{N}\p{L}")), F.regexp_replace(t, r"(?<=\p{N})(?=\p{L})", " ")).otherwise(t))
     df = df.withColumn("_marked", F.regexp_replace(t, r"(^| )\p{Lu}\p{Ll}[^ ]*+", "$1<name>"))
@@ -58,10 +60,10 @@ def _cut(words: str) -> Column:
     return F.array(*(F.get(F.col(words), F.col("at") + k) for k in range(WINDOW)))
 
 
-def _pairs() -> Column:
-    """The values that the slots of an item's window have in the item and in the document."""
+def _pairs(own: Column) -> Column:
+    """The values that the slots of an item's window have in the item and in the document's window, whose words are given."""
     return F.transform(F.filter(
-        F.zip_with(F.arrays_zip("words", "slots"), _cut("_raw"), lambda x, d: F.struct(
+        F.zip_with(F.arrays_zip("words", "slots"), own, lambda x, d: F.struct(
             x["words"].alias("item"), d.alias("value"), x["slots"].alias("slot"))), lambda x: x["slot"]),
         lambda x: F.struct(x["item"].alias("item"), x["value"].alias("value")))
 
@@ -99,7 +101,7 @@ def _by_occurrence(keyed: DataFrame, items: DataFrame, missed: DataFrame, broadc
     right = items.withColumnRenamed("hash", "item_hash")
     right = F.broadcast(right) if broadcast else right.hint("merge")
     met = windows.join(right, F.col("hash") == F.col("item_hash")).select(
-        "doc_id", "key1", "key2", "item_id", "window", "reach", _pairs().alias("pairs"), (F.col("at") - F.col("place")).alias("start"))
+        "doc_id", "key1", "key2", "item_id", "window", "reach", _pairs(_cut("_raw")).alias("pairs"), (F.col("at") - F.col("place")).alias("start"))
     same = same_doc & F.col("item_id").eqNullSafe(F.col("_item"))
     hits = met.join(missed.select(*of_doc, F.col("item_id").alias("_item"), "n_windows"), same).drop("_key1", "_key2", "_item")
     hits = stored(hits.distinct().withColumn("pair", F.xxhash64("key1", "key2", "item_id", F.lit(3))), "placed")
@@ -138,6 +140,49 @@ def _whole_items(keyed: DataFrame, texts: DataFrame, broadcast_limit: int) -> Da
     return met.groupBy("doc_id", "key1", "key2", "item_id", "n_windows").agg(n.alias("n_found"), n.alias("n_verbatim"))
 
 
+def _candidates(windows: DataFrame, items: DataFrame, least: float, broadcast: bool) -> DataFrame:
+    """Pairs of a document and an item that share one of the item's rarest windows.
+
+    A document that holds the share `least` of an item's windows holds one of any set that is larger than the rest. The set taken is that of
+    the windows which fewest items have, so a preamble that many items share makes no pairs unless an item is little else.
+    """
+    item = F.xxhash64("item_id", F.lit(7))
+    shared = items.groupBy("hash").agg(F.countDistinct(item).alias("n"))
+    rare = items.join(shared, "hash").groupBy("item_id", "window").agg(F.max("n").alias("n"))
+    by_item = Window.partitionBy("item_id")
+    size = F.count(F.lit(1)).over(by_item)
+    rank = F.row_number().over(by_item.orderBy("n", "window"))
+    chosen = rare.withColumns({"_rank": rank, "_size": size}).filter(F.col("_rank") <= F.col("_size") - F.floor(F.lit(least) * F.col("_size")) + 1)
+    chosen = chosen.select(F.col("item_id").alias("_item"), F.col("window").alias("_window"))
+    probes = items.join(chosen, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("window") == F.col("_window")))
+    probes = probes.select("item_id", F.col("hash").alias("item_hash")).distinct()
+    probes = F.broadcast(probes) if broadcast else probes.hint("merge")
+    met = windows.select("key1", "key2", "hash").join(probes, F.col("hash") == F.col("item_hash"))
+    return met.select("key1", "key2", "item_id").distinct()
+
+
+def _hits(keyed: DataFrame, items: DataFrame, candidates: DataFrame, broadcast: bool) -> DataFrame:
+    """The windows that the candidates share, with the values of their slots.
+
+    Only windows that some item has leave the documents; each then meets the windows of its document's candidates, so a window that
+    many items have gives no rows for those that aren't.
+    """
+    of_doc = candidates.select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2")).distinct()
+    of_doc = F.broadcast(of_doc) if candidates.count() <= KEYS_BROADCAST else of_doc
+    docs = keyed.join(of_doc, (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")), "left_semi")
+    windows = _windows(prepared(docs, "text").drop("text"), ["doc_id", "key1", "key2"])
+    hashes = items.select(F.col("hash").alias("item_hash")).distinct()
+    hashes = F.broadcast(hashes) if broadcast else hashes.hint("merge")
+    known = windows.join(hashes, F.col("hash") == F.col("item_hash"), "left_semi")
+    # Equal hashes are equal templates, so the documents' windows need no count of words outside slots.
+    known = known.select("doc_id", "key1", "key2", "hash", _cut("_raw").alias("own")).distinct()
+    wanted = candidates.select(F.col("key1").alias("_key1"), F.col("key2").alias("_key2"), F.col("item_id").alias("_item"))
+    wanted = wanted.join(items, F.col("_item").eqNullSafe(F.col("item_id"))).drop("_item").withColumnRenamed("hash", "_hash")
+    same = (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")) & (F.col("hash") == F.col("_hash"))
+    met = known.join(wanted, same).select("doc_id", "key1", "key2", "item_id", "window", _pairs(F.col("own")).alias("pairs"))
+    return met.distinct()
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", least: float = LEAST, broadcast_limit: int = WINDOWS_BROADCAST,
@@ -174,13 +219,9 @@ def contamination(
         F.col(doc_id).alias("doc_id"), *(c.alias(n) for n, c in row_keys(doc_id, text).items()), F.col(text).alias("text")
     )
     key = ["doc_id", "key1", "key2"]
-    windows = _windows(prepared(keyed, "text").drop("text"), key)
-    # Equal hashes are equal templates, so the documents' windows need no count of words outside slots.
-    right = items.withColumnRenamed("hash", "item_hash")
     broadcast = placed.count() <= broadcast_limit
-    right = F.broadcast(right) if broadcast else right.hint("merge")
-    met = windows.join(right, F.col("hash") == F.col("item_hash")).select(*key, "item_id", "window", _pairs().alias("pairs"))
-    hits = stored(met.distinct(), "hits")
+    candidates = stored(_candidates(_windows(prepared(keyed, "text"), key), items, least, broadcast), "candidates")
+    hits = stored(_hits(keyed, items, candidates, broadcast), "hits")
     many = hits.groupBy(*key, "item_id").agg(F.countDistinct("window").alias("n"))
     same = F.col("item_id").eqNullSafe(F.col("_item"))
     wanted = many.join(totals.withColumnRenamed("item_id", "_item"), same).filter(F.col("n") >= F.lit(least) * F.col("n_windows"))

@@ -198,8 +198,11 @@ def _words_sql(table: str, key: str) -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
     number, name = r"regexp_matches(w, '^\p{N}')", r"regexp_matches(w, '^\p{Lu}\p{Ll}')"
     unit = rf"(i > 1 AND regexp_matches(cased[i - 1], '^\p{{N}}') AND lower(w) IN ({units}))"
+    joined = "translate(coalesce(text, ''), '_', ' ')"
+    for _ in range(2):  # twice, as the digits between two separators belong to both
+        joined = rf"regexp_replace({joined}, '(\p{{N}})[.,:/](\p{{N}})', '\1_\2', 'g')"
     return f"""{table}_t AS (
-  SELECT {key}, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')),
+  SELECT {key}, string_split(regexp_replace(trim(regexp_replace({joined}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')),
     '(\\p{{N}})(\\p{{L}})', '\\1 \\2', 'g'), ' ') AS cased FROM {table}),
 {table}_w AS (
   SELECT {key}, list_transform(cased, lambda w: lower(w)) AS raw,
