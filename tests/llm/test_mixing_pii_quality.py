@@ -129,13 +129,47 @@ def test_votes_find_secrets_and_leave_words_alone(spark):
     assert all("<SECRET>" in r["text"] for r in pii.mask(df, model).filter("doc_id < 60").collect())
 
 
-def test_mask_leaves_nothing_and_odd_rows(spark):
-    df = spark.createDataFrame(list(enumerate(random_texts(300))), "doc_id long, text string")
+def masked_by_hand(text, spans):
+    """The union of overlapping spans, named for the one that begins first."""
+    out, at, end = [], 0, 0
+    for start, _, stop, kind in spans:
+        if start >= end:
+            out += [text[max(at, end):start], f"<{kind.upper()}>"]
+            end = stop
+        end = max(end, stop)
+        at = end
+    return "".join(out) + text[end:] if spans else text
+
+
+def test_mask_replaces_every_span_that_is_found(spark):
+    texts = random_texts(300) + [
+        "call +33.1.42.68.53.00 now", "\ufeffmail a@b.cd,\ufeffx \U0001f600 10.0.0.1\U0001f600", "a@b.cd" * 3, "token = abcdef0123456789abcdef0123456789abcdef01 +49 30 123456789",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"found": F.lit("own"), "_x": F.lit(1)}).drop("_x")
     model = pii.fit(df)
     masked = pii.mask(df, model)
     assert masked.columns == df.columns
-    for r in masked.collect():
-        assert "email" not in base(r["text"])
+    rows = {r["doc_id"]: r for r in masked.collect()}
+    for r in pii.detect(df.drop("found"), model).collect():
+        spans = [tuple(x) for x in r["found"]]
+        assert rows[r["doc_id"]]["text"] == masked_by_hand(r["text"], spans) and rows[r["doc_id"]]["found"] == "own"
+    assert "call <PHONE> now" in {r["text"] for r in rows.values()}
+
+
+def test_masking_many_spans_takes_time_in_proportion(spark):
+    import time
+
+    text = "x@y.zz 1.2.3.4 and " * 4_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.fit(df)
+    begin = time.perf_counter()
+    row = pii.mask(df, model).first()
+    assert row["text"] == "<EMAIL> <IP> and " * 4_000 and time.perf_counter() - begin < 30
+
+
+def test_mask_of_odd_rows(spark):
+    df = spark.createDataFrame(list(enumerate(random_texts(100))), "doc_id long, text string")
+    model = pii.fit(df)
     assert pii.mask(odd(spark), model).count() == pii.detect(odd(spark), model).count() == odd(spark).count()
     assert pii.detect(empty(spark), pii.fit(empty(spark))).count() == 0
     assert pii.mask(odd(spark), model).filter("text is null").count() == odd(spark).filter("text is null").count()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,9 @@ LABELERS = ("shape", "gazetteer", "context", "assigned", "digits")
 FEATURES = ("length", "digit_share", "letters")
 
 
-def _running(values: Column, chunk: int = 1024) -> Column:
-    """Inclusive running totals of an int array, built in chunks so that long arrays aren't copied for each element."""
+def _running(values: Column, chunk: int = 1024, join: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """Inclusive running totals (or what `join` makes of two) of an int array, built in chunks so that long arrays aren't copied for each
+    element. The first one is joined to 0."""
     n = F.size(values)
     zero = F.lit(0)
     no = F.array().cast("array<int>")
@@ -67,12 +69,13 @@ def _running(values: Column, chunk: int = 1024) -> Column:
         return F.slice(values, c * chunk + 1, F.lit(chunk))
 
     def extend(state: Column, x: Column) -> Column:
-        return F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"] + x)).alias("out"))
+        at = join(state["at"], x)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(at)).alias("out"))
 
     def empty(at: Column) -> Column:
         return F.struct(at.cast("int").alias("at"), no.alias("out"))
 
-    sums = F.transform(parts, lambda c: F.aggregate(part(c), zero, lambda a, x: a + x))
+    sums = F.transform(parts, lambda c: F.aggregate(part(c), zero, join))
     ends = F.aggregate(sums, empty(zero), extend, lambda s: s["out"])
     several = F.flatten(F.transform(parts, lambda c: F.aggregate(
         part(c), empty(F.coalesce(F.get(ends, c - 1), zero)), extend, lambda s: s["out"])))
@@ -294,19 +297,48 @@ def base_only(found: Column) -> Column:
     return F.filter(found, lambda x: x["rank"] < len(BASE))
 
 
+#: Spans that are masked from one copy of their part of the text.
+BLOCK = 512
+
+
 def mask(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The text with `<EMAIL>`, `<IP>` and so on in place of what was found, kind by kind; null stays null.
+    """The text with `<EMAIL>`, `<IP>` and so on in place of the spans that `detect` finds in it; null stays null.
 
-    Each kind is searched in what the kinds before it left, so where spans of two kinds overlap the earlier kind takes both.
+    Spans that overlap are one piece, which is named for the span that begins first (of equal ones, for the kind listed first). All spans are
+    those of the original text, so what the operator reports is what goes. Other columns stay, whatever their names.
     """
     order = df.columns
-    for kind, (pattern, hint) in _patterns(model).items():
-        t = F.col(text)
-        df = df.withColumn("_found", F.when(F.rlike(t, F.lit(hint)), _matches(t, pattern)))
-        m = F.col("_found")
-        df = df.withColumn("_pieces", F.when(F.size(m) > 0, _pieces(t, pattern)))
-        pieces = F.col("_pieces")
-        between = F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), m, lambda gap, x: F.concat(
-            gap, F.when(_keeps(model, kind, x, gap), f"<{kind.upper()}>").otherwise(x)))  # noqa: B023
-        df = df.withColumn(text, F.when(F.size(m) > 0, F.concat(F.array_join(between, ""), F.element_at(pieces, -1))).otherwise(t))
-    return df.select(*order)
+    kept = {"found": "_own_found"} if "found" in order else {}
+    df = detect(df.withColumnsRenamed(kept), model, text)
+    found, t = F.col("found"), F.col(text)
+    reach = _running(F.transform(found, lambda x: x["end"]), join=lambda a, b: F.greatest(a, b))
+    df = df.withColumn("_reach", F.when(F.size(found) > 0, reach))
+    reach, places = F.col("_reach"), F.sequence(F.lit(0), F.size(found) - 1)
+    df = df.withColumn("_first", F.when(F.size(found) > 0, F.filter(places, lambda i: (i == 0) | (F.get(found, i)["start"] >= F.get(reach, i - 1)))))
+    first = F.col("_first")
+    ends = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(found)))
+    df = df.withColumn("_spans", F.zip_with(first, ends, lambda i, n: F.struct(
+        F.coalesce(F.get(reach, i - 1), F.lit(0)).alias("after"), F.get(found, i)["start"].alias("start"), F.get(reach, n - 1).alias("end"),
+        F.get(found, i)["kind"].alias("kind"))))
+    # Four bytes a code point: a piece is cut out by its place, without counting from the start of the text. Each piece is read
+    # behind a byte order mark of its own, or one that the text has would be taken for it. Every look at the whole text
+    # copies it, so it is cut into blocks of many spans first.
+    spans, wide, order_mark = F.col("_spans"), F.col("_wide"), F.unhex(F.lit("0000FEFF"))
+    df = df.withColumn("_wide", F.when(F.size(spans) > 0, F.encode(t, "UTF-32")))
+
+    def piece(source: Column, start: Column, length: Column) -> Column:
+        return F.decode(F.concat(order_mark, F.substring(source, start * 4 + 1, length * 4)), "UTF-32")
+
+    def block(own: Column) -> Column:
+        """The text up to the last of these spans, from the end of the one before them."""
+        begin = F.element_at(own, 1)["after"]
+        part = F.struct(F.substring(wide, begin * 4 + 1, (F.element_at(own, -1)["start"] - begin) * 4).alias("bytes"), begin.alias("begin"), own.alias("spans"))
+        return F.array_join(F.flatten(F.transform(F.array(part), lambda p: F.transform(p["spans"], lambda x: F.concat(
+            piece(p["bytes"], x["after"] - p["begin"], x["start"] - x["after"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))))), "")
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int"))
+    masked = F.transform(F.transform(blocks, lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))), block)
+    last = F.element_at(spans, -1)["end"]
+    tail = piece(wide, last, F.length(t) - last)
+    df = df.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(masked, ""), tail)).otherwise(t))
+    return df.drop("found").withColumnsRenamed({v: k for k, v in kept.items()}).select(*order)
