@@ -174,3 +174,15 @@ def test_repeats_of_odd_rows(spark):
     for r in rows:
         n = len((r["text"] or "").encode())
         assert r["n_removed"] == (n if n >= 400 else 0) and r["spans"] == "spans"
+
+
+def test_spans_of_many_equal_rows_do_not_grow(spark):
+    """Rows that repeat an id and its text share one array of spans, as long as that of two such rows."""
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh ", k=900))
+    other = passage[:500] + "".join(rng.choices("xyz", k=700))
+    rows = lambda n: spark.createDataFrame([(1, passage)] * n + [(2, other)], "doc_id long, text string")
+    sizes = [suffixes.repeated_spans(rows(n)).select(F.max(F.size("spans")).alias("n")).first()["n"] for n in (2, 5000)]
+    assert sizes[0] == sizes[1] and sizes[1] < 100
+    kept = suffixes.remove_repeats(rows(5000)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_removed").alias("m"), F.min("n_removed").alias("l"))
+    assert {r["doc_id"]: (r["n"], r["m"], r["l"]) for r in kept.collect()} == {1: (5000, 900, 900), 2: (1, 500, 500)}

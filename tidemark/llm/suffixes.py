@@ -370,7 +370,8 @@ def repeated_spans(
         "key1", "key2",
         F.transform("runs", lambda x: F.struct(
             (F.col("start") + x["low"]).alias("start"), (F.col("start") + x["high"] + (length - 1)).alias("stop"))).alias("spans"))
-    return sure.unionByName(placed).groupBy("key1", "key2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # A set: rows that repeat an id and its text share a row key, and each brings the spans of the same pieces.
+    return sure.unionByName(placed).groupBy("key1", "key2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def _repeats(docs: DataFrame) -> bool:
