@@ -213,8 +213,9 @@ def test_scan_places_and_odd_rows(spark):
 
 
 LLM = ["op1_simhash_near_dedup", "op2_source_mixing", "op3_license_scans", "op4_benchmark_decontamination", "op5_url_filters",
-       "op6_quality_rules", "op7_token_counts", "op8_suffix_array_dedup", "op9_pii", "op10_quality_classifier", "pipeline"]
-WITH_SQL = ["op2_source_mixing", "op4_benchmark_decontamination", "op5_url_filters", "op6_quality_rules"]
+       "op6_quality_rules", "op7_token_counts", "op8_suffix_array_dedup", "op9_pii", "op10_quality_classifier", "op11_filter_interactions",
+       "op12_conversation_prefix_trie", "op13_language_id", "pipeline"]
+WITH_SQL = ["op2_source_mixing", "op4_benchmark_decontamination", "op5_url_filters", "op6_quality_rules", "op11_filter_interactions"]
 
 
 def test_queries_are_registered():
@@ -269,3 +270,23 @@ def test_pipeline(spark):
         rows = [r for r in tables[5].values() if r["source"] == s]
         assert abs(sum(r["taken"] for r in rows) - target) <= 128
     assert corpus_pipeline.run(spark, SF).count() == len(tables[5])
+
+
+@pytest.mark.parametrize("rows", [odd, empty])
+def test_stages_take_odd_rows(spark, tmp_path, rows):
+    """Nulls in any column, empty and very long texts, repeated rows, empty tables, and columns with names that operators use."""
+    docs = rows(spark).withColumns({"n_chars": F.length("text").cast("long"), "lang": F.lit(None).cast("string")})
+    kept = docs.filter("doc_id in (4, 5, 6)")
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        here = found.collect()
+        if name in ("benchmark decontamination", "pii"):
+            assert len(here) == docs.count(), name
+            assert sorted(map(str, here)) == sorted(map(str, docs.collect())), name
+        if name == "simhash near-dedup":
+            assert len({r["doc_id"] for r in here if r["doc_id"] in (4, 5)}) == (1 if kept.count() else 0)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert all(r["taken"] > 0 and r["text"] is not None for r in mixed) and bool(mixed) == bool(kept.count())
