@@ -259,6 +259,16 @@ def test_no_place_holds_a_long_series(spark):
     assert blocks.filter("s = 'a'").count() >= 9
 
 
+def test_small_places_share_parts(spark):
+    """As many places as the rows ask for, but no more parts, which are what tasks take, than there is work for."""
+    panel, rows = design(spark, {"a": 400, "b": 10, None: 3})
+    blocks, places = batch_series.placed(panel, ["x_0", "x_1"], "y", rows_per_place=2)
+    spread = blocks.agg(F.countDistinct("_part").alias("parts"), F.countDistinct("_place").alias("places"), F.sum("_n").alias("rows")).first()
+    assert places >= 206 and spread["places"] > 100 and spread["rows"] == 413
+    assert spread["parts"] <= batch_series.parts_of(panel, places) == spark.sparkContext.defaultParallelism
+    assert all(len(r["_x"]) == 2 * r["_n"] and len(r["_y"]) == r["_n"] for r in blocks.collect())
+
+
 def test_walk_forward(spark):
     """The scores of the rows behind a share are those of a model trained on that share alone."""
     panel, rows = design(spark, {"a": 41, "b": 7, None: 15})

@@ -1,7 +1,8 @@
 """Full-batch descent of many models of many series at once, with nothing but sums between the tasks.
 
 Rows are dealt once to places of bounded size, whatever series they belong to; a series with many rows is in many places. A place keeps
-its rows as matrices. In each epoch the models travel to the places that hold rows of their series, every place gives one gradient per model, and one
+its rows as matrices. Neighbouring places make a part, which is what a task takes at once: however small the places are, there are no more parts than
+the rows ask for. In each epoch the models travel to the parts that hold rows of their series, every part gives one gradient per model, and one
 shuffle by model adds them up and moves the weights, which stay a distributed table of one array per model. So neither a series nor
 the weights of all models pass through one task or the driver, rows are never copied for a model, and an epoch is one job.
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from operator import and_
 
 import numpy as np
@@ -28,10 +30,13 @@ from tidemark.panel import Panel, attach
 from tidemark.session import remove, shared_path
 
 ROWS_PER_PLACE = 100_000
+#: Rows of the places that are worked on together.
+ROWS_PER_PART = 100_000
 #: Numbers in the largest array of a gradient: rows are taken in pieces so that models x rows x neurons stay below.
 CELLS = 4_000_000
 #: Weights of the models that one task adds up.
 WEIGHTS_PER_TASK = 4_000_000
+MODELS_PER_TASK = 50_000
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -67,9 +72,9 @@ def gradients(x: np.ndarray, y: np.ndarray, weights: np.ndarray, neurons: int) -
 
 
 def placed(panel: Panel, features: list[str], label: str, rows_per_place: int = ROWS_PER_PLACE) -> tuple[DataFrame, int]:
-    """Stored blocks (`_place`, series, `_n`, `_x`, `_y`), one for each place and series in it, and the number of places.
+    """Stored blocks (`_part`, `_place`, series, `_n`, `_x`, `_y`), one for each place and series in it, and the number of places.
 
-    A row's place follows from its keys, so a repeated task deals it alike.
+    A row's place follows from its keys, so a repeated task deals it alike. The places of a series are neighbours.
     """
     spark = panel.df.sparkSession
     places = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_place))
@@ -77,26 +82,38 @@ def placed(panel: Panel, features: list[str], label: str, rows_per_place: int =
     first = F.pmod(F.xxhash64(*panel.series), F.lit(places))
     shift = F.lit(0)
     if panel.stats.longest > rows_per_place:
-        parts = rows.groupBy(*panel.series).agg(F.ceil(F.count(F.lit(1)) / rows_per_place).alias("_parts"))
-        rows = attach(rows, parts, panel.series, panel.stats.series)
-        shift = F.pmod(F.xxhash64(F.lit(1), *(F.col(c) for c in panel.order)), F.col("_parts"))
+        lengths = rows.groupBy(*panel.series).agg(F.ceil(F.count(F.lit(1)) / rows_per_place).alias("_spread"))
+        rows = attach(rows, lengths, panel.series, panel.stats.series)
+        shift = F.pmod(F.xxhash64(F.lit(1), *(F.col(c) for c in panel.order)), F.col("_spread"))
     rows = rows.withColumn("_place", F.pmod(first + shift, F.lit(places)).cast("int"))
+    rows = rows.withColumn("_part", F.floor(F.col("_place").cast("long") * parts_of(panel, places) / places).cast("int"))
     series = [F.col(c) for c in panel.series]
-    schema = rows.select("_place", *series, F.lit(0).cast("long").alias("_n"), F.array().cast("array<double>").alias("_x"), F.array().cast("array<double>").alias("_y")).schema
+    schema = rows.select("_part", "_place", *series, F.lit(0).cast("long").alias("_n"), F.array().cast("array<double>").alias("_x"), F.array().cast("array<double>").alias("_y")).schema
     names = panel.series
 
     def as_blocks(part: pd.DataFrame) -> pd.DataFrame:
-        blocks = []
-        for _, own in part.groupby(names, sort=False, dropna=False):
-            head = own.iloc[:1][["_place", *names]]
-            blocks.append(head.assign(_n=len(own), _x=[own[features].to_numpy(float).ravel()], _y=[own[label].to_numpy(float)]))
-        return pd.concat(blocks)
+        order, cuts = _groups(part, ["_place", *names])
+        x, y = part[features].to_numpy(float)[order], part[label].to_numpy(float)[order]
+        heads = part[["_part", "_place", *names]].iloc[order[np.concatenate([[0], cuts])]]
+        return heads.assign(_n=np.diff([0, *cuts, len(part)]), _x=[a.ravel() for a in np.split(x, cuts)], _y=np.split(y, cuts))
 
     path = shared_path(spark, "blocks")
-    rows.select("_place", *names, *dict.fromkeys([*features, label])).groupBy("_place").applyInPandas(as_blocks, schema).write.parquet(path)
+    rows.select("_part", "_place", *names, *dict.fromkeys([*features, label])).groupBy("_part").applyInPandas(as_blocks, schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path), places
 
 
+def parts_of(panel: Panel, places: int) -> int:
+    """Parts that the places are put together to."""
+    return min(places, max(panel.df.sparkSession.sparkContext.defaultParallelism, -(-panel.stats.rows // ROWS_PER_PART)))
+
+
+def _groups(frame: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal rows next to each other, and where in it a group begins, but for the first."""
+    code = frame.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(code, kind="stable")
+    return order, np.flatnonzero(np.diff(code[order])) + 1
+
+
 def _same(left: list[str], right: list[str]):
     return reduce(and_, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)))
 
@@ -136,30 +153,41 @@ def fit_batch_by_series(
     path = shared_path(spark, "models")
     state.write.parquet(path)
     state = spark.read.schema(schema).parquet(path)
-    size = state.agg(F.max("epochs").alias("epochs"), F.sum(F.size("weights")).alias("weights")).first()
-    tasks = max(spark.sparkContext.defaultParallelism, -(-(size["weights"] or 0) // WEIGHTS_PER_TASK))
+    size = state.agg(F.max("epochs").alias("epochs"), F.sum(F.size("weights")).alias("weights"), F.count(F.lit(1)).alias("models")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(size["weights"] or 0) // WEIGHTS_PER_TASK), -(-size["models"] // MODELS_PER_TASK))
 
     # Read once per epoch: kept by the executors, and read again from the stored blocks where one of them is lost.
-    held = blocks.repartition(places, "_place").persist()
+    held = blocks.repartition(parts_of(panel, places), "_part").persist()
     # Fresh column identities keep the two sides of the cogroup apart.
-    spots = blocks.select(F.col("_place").alias("_place"), *(F.col(c).alias(f"_at_{c}") for c in names))
+    spots = blocks.select(F.col("_part").alias("_part"), *(F.col(c).alias(f"_at_{c}") for c in names)).distinct().persist()
     types = {f.name: f.dataType.simpleString() for f in schema.fields}
     partial = ", ".join(f"`{c}` {types[c]}" for c in ids) + ", _gradient array<double>, _sse double, _hits long"
     inputs = len(features)
 
     def partials(rows: pd.DataFrame, nets: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(nets):
-            by_series = {_key(k): part for k, part in nets.groupby(names, sort=False, dropna=False)}
-            for key, x, y in zip(rows[names].itertuples(index=False, name=None), rows["_x"], rows["_y"]):
-                own = by_series.get(_key(key))
-                if own is None:
-                    continue
-                x = x.reshape(-1, inputs)
-                for neurons, part in own.groupby("neurons"):
-                    sums, sse, hits = gradients(x, y, np.stack(part["weights"].to_list()), int(neurons))
-                    found.append(part[ids].assign(_gradient=list(sums), _sse=sse, _hits=hits))
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in [*ids, "_gradient", "_sse", "_hits"]})
+        found = {c: [] for c in ["_gradient", "_sse", "_hits"]}
+        if not len(nets) or not len(rows):
+            return pd.DataFrame({c: [] for c in [*ids, *found]})
+        # Models of one series and shape, with their sums over the blocks of the part.
+        order, cuts = _groups(nets, [*names, "neurons"])
+        nets = nets.iloc[order]
+        weights = nets["weights"].to_list()
+        keys = list(nets[names].itertuples(index=False, name=None))
+        fleets: dict[tuple, list] = {}
+        every = []
+        for at, stop in pairwise([0, *cuts, len(nets)]):
+            fleet = [int(nets["neurons"].iat[at]), np.stack(weights[at:stop]), 0.0, 0.0, 0]
+            fleets.setdefault(_key(keys[at]), []).append(fleet)
+            every.append(fleet)
+        for key, x, y in zip(rows[names].itertuples(index=False, name=None), rows["_x"], rows["_y"]):
+            for fleet in fleets.get(_key(key), ()):
+                sums, sse, hits = gradients(x.reshape(-1, inputs), y, fleet[1], fleet[0])
+                fleet[2], fleet[3], fleet[4] = fleet[2] + sums, fleet[3] + sse, fleet[4] + hits
+        for *_, sums, sse, hits in every:
+            found["_gradient"] += list(sums)
+            found["_sse"] += list(sse)
+            found["_hits"] += list(hits)
+        return nets[ids].assign(**found)
 
     def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nets: dict[tuple, dict] = {}
@@ -186,14 +214,15 @@ def fit_batch_by_series(
     for epoch in range(size["epochs"] or 0):
         busy = state.filter((F.col("epochs") > epoch) & (F.col("length") > 0))
         idle = state.filter((F.col("epochs") <= epoch) | (F.col("length") == 0))
-        copies = busy.select(*ids, "neurons", "weights").join(spots, _same(names, [f"_at_{c}" for c in names])).select("_place", *ids, "neurons", "weights")
-        parts = held.groupBy("_place").cogroup(copies.groupBy("_place")).applyInPandas(partials, partial)
+        copies = busy.select(*ids, "neurons", "weights").join(spots, _same(names, [f"_at_{c}" for c in names])).select("_part", *ids, "neurons", "weights")
+        parts = held.groupBy("_part").cogroup(copies.groupBy("_part")).applyInPandas(partials, partial)
         both = busy.unionByName(parts, allowMissingColumns=True).repartition(tasks, *ids)
         before, path = path, shared_path(spark, "models")
         both.mapInPandas(moved, schema).unionByName(idle).write.parquet(path)
         state = spark.read.schema(schema).parquet(path)
         remove(spark, before)
     held.unpersist()
+    spots.unpersist()
     return Fit(state, ids, inputs)
 
 
