@@ -201,6 +201,38 @@ def test_conditional_size_is_smaller(scanner):
     assert given < alone / 2 and scanner.templates[best][0] == "Apache-2.0"
 
 
+def test_compressed_sizes_decide_between_passages():
+    """The template that leaves much of itself out of the text gives way, though it counts more equal words."""
+    text = "alpha beta to gamma of delta in epsilon zeta eta theta iota kappa lambda license"
+    fits = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda license"
+    long = ["xylophonequartzjudgementvowp", "knightlyfjordbuckwheatzymurgy", "wizardrymnemonicsphinxqubit"]
+    leaves = text.replace("eta theta", f"eta {long[0]} theta {long[1]}").replace("kappa", f"{long[2]} kappa")
+    scanner = licenses.Scanner([("Leaves", "license", (leaves,)), ("Fits", "license", (fits,))])
+    assert [(f["license"], f["n_missing"], f["n_extra"]) for f in licenses.statements(scanner, text)] == [("Fits", 0, 3)]
+    alone = licenses.Scanner([("Leaves", "license", (leaves,))])
+    assert [(f["license"], f["n_missing"]) for f in licenses.statements(alone, text)] == [("Leaves", 3)]
+
+
+def test_templates_are_ranked_before_wording_is_compared():
+    """All that a block may hold are compressed with it, and only then compared, most saved first."""
+    seen = []
+
+    class Watched(licenses.Scanner):
+        def ranked(self, block, among=None):
+            found = super().ranked(block, among)
+            seen.append([i for *_, i in found])
+            return found
+
+        def _passages(self, i, own):
+            seen.append(i)
+            return super()._passages(i, own)
+
+    scanner = Watched()
+    assert [f["license"] for f in licenses.statements(scanner, "Released under the MIT License.")] == ["MIT"]
+    assert len(seen[0]) >= 2 and seen[1:] == seen[0] and scanner.templates[seen[0][0]][1] == "Released under the MIT License."
+
+
+
 def test_scan_places_and_odd_rows(spark):
     text = "é 😀 first.\nReleased under the MIT License.\nlast"
     df = odd(spark).unionByName(odd(spark).limit(1).withColumn("text", F.lit(text)))
