@@ -291,6 +291,23 @@ def test_many_epochs_take_few_jobs_and_leave_one_table(spark, monkeypatch):
     assert all(b[k] == pytest.approx(a[k], abs=1e-10) for a, b in zip(whole, everything(fit)) for k in a)
 
 
+def test_series_go_in_waves(spark, monkeypatch):
+    """A task holds the rows of one wave; traces, scores and models without rows are those of whole series."""
+    from tidemark.models import relay
+
+    monkeypatch.setattr(relay, "ROWS_PER_WAVE", 15)
+    panel, rows, nets = long_series(spark)
+    assert relay.waves_of(spark, panel.stats.rows, 2) == 4 and not relay.fits(spark, relay.slots(spark) * relay.ROWS_PER_TASK + 1)
+    init = wt.random_init(nets, 3, 0, seed=2)
+    options = {"eta": 0.4, "epochs": 2, "keep_scores": True}
+    whole = online.fit_online(Panel(panel.df, "s", "t"), FEATURES, "y", init, **options).pinned()
+    sliced = online.fit_online(panel, FEATURES, "y", init, **options, relay=True, tasks=2, epochs_per_job=1).pinned()
+    for a, b in zip(everything(whole), everything(sliced)):
+        assert a.keys() == b.keys() and a and all(b[k] == pytest.approx(a[k], abs=1e-12) for k in a)
+    scores = [{(r["s"], r["model_id"], r["rn"]): r["p"] for r in f.scores.collect()} for f in (whole, sliced)]
+    assert scores[0].keys() == scores[1].keys() and all(scores[1][k] == pytest.approx(v, abs=1e-12) for k, v in scores[0].items())
+
+
 def test_a_failed_task_changes_nothing(tmp_path):
     """In a session that allows failures, one task of the barrier stage fails once; the stage runs again."""
     code = f"""

@@ -145,12 +145,17 @@ def fit_online(
     size = min(panel.segment_rows, rows_per_task)
     panel, segment, _ = panel.segments(size)
     path = shared_path(spark, "rounds")
-    panel.rows.select(*columns, ROW_NUMBER, SERIES_ROWS, segment.alias("_slice")).write.parquet(path)
-    rows = spark.read.parquet(path)
     if relay is None:
-        relay = barrier.fits(spark, panel.stats.rows)
+        relay = barrier.fits(spark, panel.stats.longest)
+    waves = barrier.waves_of(spark, panel.stats.rows, relay_options.get("tasks")) if relay else 1
+    numbered = panel.rows.select(*columns, ROW_NUMBER, SERIES_ROWS, segment.alias("_slice"))
+    if waves > 1:
+        numbered.withColumn("_wave", barrier.wave(panel.series, waves)).write.partitionBy("_wave").parquet(path)
+    else:
+        numbered.write.parquet(path)
+    rows = spark.read.parquet(path)
     if relay:
-        table = barrier.train(rows.drop("_slice"), state, trainer, size, panel.stats.rows, **relay_options)
+        table = barrier.train(rows.drop("_slice"), state, trainer, size, panel.stats, waves, **relay_options)
     else:
         table = _by_jobs(rows.drop(SERIES_ROWS), state, trainer, panel, batches, rows_per_task)
     remove(spark, path)
