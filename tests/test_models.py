@@ -291,6 +291,12 @@ def test_many_epochs_take_few_jobs_and_leave_one_table(spark, monkeypatch):
     assert all(b[k] == pytest.approx(a[k], abs=1e-10) for a, b in zip(whole, everything(fit)) for k in a)
 
 
+def test_groups_follow_the_rows(spark):
+    """Series are dealt to groups of bounded size however many rows a task may hold."""
+    assert online.groups_of(spark, 36_000_000, 500_000) == 36_000_000 // online.ROWS_PER_GROUP
+    assert online.groups_of(spark, 100, 500_000) == spark.sparkContext.defaultParallelism and online.groups_of(spark, 100, 2) == 50
+
+
 def test_series_go_in_waves(spark, monkeypatch):
     """A task holds the rows of one wave; traces, scores and models without rows are those of whole series."""
     from tidemark.models import relay

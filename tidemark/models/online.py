@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.models import relay as barrier
@@ -37,6 +37,15 @@ COLUMNS = {
 }
 
 
+#: Rows of the short series that are trained together. A Python worker holds one group at a time, so its memory doesn't grow with the table.
+ROWS_PER_GROUP = 50_000
+
+
+def groups_of(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Groups that the series are dealt to; a task may take several, one after another."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // min(rows_per_task, ROWS_PER_GROUP)))
+
+
 @dataclass(frozen=True)
 class Fit:
     """Outcome of a fit: final weights, one curve row per model and epoch, and optionally a weight trace and the last scores."""
@@ -138,9 +147,9 @@ def fit_online(
     trainer = Trainer(panel.series, features, label, perceptron, trace_every, keep_scores, tuple(snapshot_shares))
 
     if panel.stats.longest <= rows_per_task and not panel.is_long:
-        tasks = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_task))
+        groups = groups_of(spark, panel.stats.rows, rows_per_task)
         rows = panel.df.select(*dict.fromkeys([*columns, *panel.order]))
-        return Fit(_train(rows, state, trainer, panel.order, tasks, batches), ids, len(features))
+        return Fit(_train(rows, state, trainer, panel.order, groups, batches), ids, len(features))
 
     size = min(panel.segment_rows, rows_per_task)
     panel, segment, _ = panel.segments(size)
@@ -162,9 +171,9 @@ def fit_online(
     return Fit(table, ids, len(features))
 
 
-def _train(rows: DataFrame, models: DataFrame, trainer: Trainer, order: list[str], tasks: int, batches: int, epoch: int | None = None, first: bool = True) -> DataFrame:
+def _train(rows: DataFrame, models: DataFrame, trainer: Trainer, order: list[str], groups: int, batches: int, epoch: int | None = None, first: bool = True) -> DataFrame:
     """One cogroup of rows and models: all epochs of whole series, or one epoch of a slice."""
-    bucket = F.pmod(F.xxhash64(*trainer.series), F.lit(tasks)).cast("int")
+    bucket = F.pmod(F.xxhash64(*trainer.series), F.lit(groups)).cast("int")
     schema = models.schema
     spread = F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))
     rows = rows.withColumn("_bucket", bucket).withColumn("_batch", spread).groupBy("_bucket", "_batch")
@@ -180,7 +189,7 @@ def _train(rows: DataFrame, models: DataFrame, trainer: Trainer, order: list[str
 def _by_jobs(rows: DataFrame, state: DataFrame, trainer: Trainer, panel: Panel, batches: int, rows_per_task: int) -> DataFrame:
     """A job per epoch and slice; each writes the models that it trained, and those of the job before go."""
     spark = rows.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-panel.stats.rows // rows_per_task))
+    groups = groups_of(spark, panel.stats.rows, rows_per_task)
     lengths = rows.groupBy(*trainer.series).agg(F.max("_slice").alias("_last"), F.count(F.lit(1)).alias("_length"))
     columns = state.columns
     state = attach(state, lengths, trainer.series, panel.stats.series).na.fill(-1, ["_last"]).na.fill(0, ["_length"])
@@ -195,7 +204,7 @@ def _by_jobs(rows: DataFrame, state: DataFrame, trainer: Trainer, panel: Panel,
             # A series without rows has one empty slice.
             busy = (F.col("epochs") > epoch) & (F.greatest("_last", F.lit(0)) >= number)
             part = rows.filter(F.col("_slice") == number).drop("_slice")
-            trained = _train(part, state.filter(busy), trainer, [ROW_NUMBER], tasks, batches, epoch, number == 0)
+            trained = _train(part, state.filter(busy), trainer, [ROW_NUMBER], groups, batches, epoch, number == 0)
             before, path = path, shared_path(spark, "models")
             trained.unionByName(state.filter(~busy)).write.parquet(path)
             table = spark.read.parquet(path)
