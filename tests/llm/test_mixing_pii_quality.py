@@ -175,6 +175,18 @@ def test_mask_of_odd_rows(spark):
     assert pii.mask(odd(spark), model).filter("text is null").count() == odd(spark).filter("text is null").count()
 
 
+def test_filters_on_masked_text_end(spark):
+    texts = ["mail a@b.co or c@d.co now", "nothing here", None, "call +1 202 555 0100 please"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    masked = pii.mask(df, pii.Model({"secret": (1,), "iban": (1,), "ssn": (1,)}))
+    # The text is made once, below the filter that asks for it. Plans only: the planner itself did not end.
+    plan = masked.filter(F.contains("text", F.lit("<EMAIL>")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UTF-32") < 20
+    assert [r["doc_id"] for r in masked.filter(F.contains("text", F.lit("<EMAIL>"))).collect()] == [0]
+    assert [r["doc_id"] for r in masked.filter("text is null").collect()] == [2]
+    assert [r["text"] for r in masked.join(masked.select("text"), "text").filter("doc_id > 1").collect()] == ["call <PHONE> please"]
+
+
 def test_trees_learn_and_traverse(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 6)).round(1)

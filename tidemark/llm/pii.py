@@ -340,5 +340,7 @@ def mask(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     masked = F.transform(F.transform(blocks, lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))), block)
     last = F.element_at(spans, -1)["end"]
     tail = piece(wide, last, F.length(t) - last)
-    df = df.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(masked, ""), tail)).otherwise(t))
+    # An exploded array of one text, as filters on it stay above it: pushed below, they would repeat these expressions in each other
+    # until the planner does not end.
+    df = df.withColumn(text, F.explode(F.array(F.when(F.size(spans) > 0, F.concat(F.array_join(masked, ""), tail)).otherwise(t))))
     return df.drop("found").withColumnsRenamed({v: k for k, v in kept.items()}).select(*order)
